@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import embeddings, simhash
+from tidewire.llm import embeddings, hosts, mixing, sharding, simhash, sketches
 from tidewire.llm.common import table
 
 
@@ -16,3 +16,21 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=2)
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, docs, labels = (table(spark, sf_dir, t) for t in ("pages", "documents", "labels"))
+    return hosts.judge(pages, hosts.outcomes_by_text(pages, docs, labels), hosts.RULES)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
+def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprint_versions(table(spark, sf_dir, "documents"))
