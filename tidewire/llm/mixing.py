@@ -109,7 +109,8 @@ def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     start = F.greatest(first, F.col("block") * block_words)
     stop = F.least(first + size, (F.col("block") + 1) * block_words)
     parts = spread.select("doc_id", "source", "idx", "first", "size", "source_size", "target", "block", (start - first).alias("from"), (stop - start).alias("words"))
-    return parts.join(used, ["idx", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))).drop("idx", "block"), sizes.drop("idx")
+    # Sizes estimated through explode() are far too small, so the join says itself that neither side is to be broadcast.
+    return parts.join(used.hint("merge"), ["idx", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))).drop("idx", "block"), sizes.drop("idx")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:

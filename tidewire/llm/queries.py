@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import embeddings, hosts, mixing, sharding, simhash, sketches
+from tidewire.llm import embeddings, hosts, mixing, sharding, simhash, sketches, substrings
 from tidewire.llm.common import table
 
 
@@ -34,3 +34,7 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))

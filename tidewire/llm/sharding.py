@@ -34,7 +34,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text_col: str = "text", id_
 
     size is the text's UTF-8 bytes plus 1 (null: 1). The order is by a hash of the text, so that equal texts stand side
     by side, then by the id; rows are range-partitioned and sorted by it, the partitions' totals are summed to give each
-    partition its start, and the prefix sums are cut at equal targets. A cut that falls into a group of equal texts of at
+    partition its start, and the prefix sums are cut at equal targets, a row going to the side that its middle is on. A cut that falls into a group of equal texts of at
     most `whole_group` of a shard moves to the nearer edge of the group; larger groups are cut, so that no group
     holds up the balance. A null text has a null text_crc32. Null ids come first among equal texts; rows that repeat are rows
     of their own. Other columns are not used. An empty table gives an empty result.
@@ -60,7 +60,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, text_col: str = "text", id_
 
     shard = F.lit(0)
     for c in cuts:
-        shard = shard + (F.col("at") >= c).cast("int")
+        shard = shard + (F.col("at") + F.col("size") / 2 >= c).cast("int")
     sharded = placed.withColumn("shard", shard.cast("int"))
     first = {r.shard: r.row for r in sharded.groupBy("shard").agg(F.min("row").alias("row")).collect()}  # a row a shard
     first_row = F.coalesce(*(F.when(F.col("shard") == k, F.lit(v)) for k, v in first.items()), F.lit(0))
