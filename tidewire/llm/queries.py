@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import embeddings, hosts, mixing, packing, sharding, simhash, sketches, substrings
+from tidewire.llm import embeddings, hosts, mixing, packing, quality, sharding, simhash, sketches, substrings
 from tidewire.llm.common import table
 
 
@@ -44,3 +44,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op6_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
