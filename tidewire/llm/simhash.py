@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import forest, stage
@@ -205,7 +205,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, parts: int | None = Non
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, fp, component_id: the class of each document (the smallest id among those its fingerprint can reach).
+    """id_col, fp, component_id (the smallest id among the documents whose fingerprints this one's can reach), component (the smallest of these fingerprints).
 
     A null text counts as one without words, of fingerprint 0, which links like any other. Repeated rows and ids
     come out as often as they came in. A component whose ids are all null has a null id. Other columns of docs are
@@ -217,8 +217,31 @@ def near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id",
     reached = reached.select(F.col("node").alias("fp"), "component")
     grouped = firsts.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    named = grouped.join(smallest, "component").select("fp", "component_id", "component")
+    return prints.join(named, "fp").select(id_col, "fp", "component_id", "component")
+
+
+def one_of_each(docs: DataFrame, distance: int = 2, words: int = 3) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) of which one stands for each class: the one with the smallest id.
+
+    Of rows that share that id, the smallest fingerprint and then the smallest text stays. A class whose ids are all null
+    keeps one row.
+    """
+    near = stage(near_duplicates(docs, distance))
+    chosen = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.first("component_id").alias("__id"), F.min("fp").alias("__fp")).drop("component")
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            fps = [simhash(t.as_py(), words) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*names, "__own_fp"])
+
+    rows = docs.mapInArrow(run, f"{schema}, `__own_fp` long")
+    kept = rows.join(chosen, (rows["__own_fp"] == chosen["__fp"]) & rows["doc_id"].eqNullSafe(chosen["__id"]))
+    first = F.row_number().over(Window.partitionBy("__own_fp").orderBy("text"))
+    return kept.withColumn("__rank", first).where("__rank = 1").select(*names)
 
 
 def hex_fingerprint(fp: Column) -> Column:
