@@ -1,9 +1,17 @@
 """Every query of the library by name, with its SQL where there is one."""
 
+from __future__ import annotations
+
+from tidewire.plans import relations, scalars
+
 
 def queries():
-    return {}
+    return {**scalars.QUERIES, **relations.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {**scalars.SQL, **relations.SQL}
+
+
+def flagship(spark, sf_dir):
+    return relations.brief_select(spark, sf_dir)
