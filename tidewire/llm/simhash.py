@@ -185,7 +185,7 @@ def fingerprint_links(fps: DataFrame, distance: int = 2, parts: int | None = Non
     agree within the threshold in one part at least. Within each bucket links are reduced to a forest before they
     leave the task, so a large group of near copies yields a row per member and not one per pair; none is lost.
     """
-    parts = parts or distance + 1
+    parts = max(2, parts or distance + 1)
     n, both = bit_statistics(fps)
     layout = group_bits(n, both, parts)
     thresholds = allocate(estimated_costs(fps, n, both, layout, distance), distance - parts + 1)

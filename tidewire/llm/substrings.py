@@ -192,7 +192,7 @@ def _drop(words: list[bytes], runs) -> list[bytes]:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """id, tie, runs (array of start, n): the runs of windows of each document (doc_id, text) that also start earlier.
+    """id, tie, __runs (array of start, n): the runs of windows of each document (doc_id, text) that also start earlier.
 
     id is doc_id (the largest long for null, which so comes last), tie the CRC-32 of the text: rows that share an id go by
     it, and rows that share both are one document.
@@ -214,7 +214,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     cut = texts.join(wanted, ["id", "tie"]).dropDuplicates(["id", "tie"]).mapInArrow(_cut, "id long, tie long, start long, shard int, words binary")
     late = cut.repartition("shard").sortWithinPartitions("shard").mapInPandas(whole_groups(_search, ["shard"]), "id long, tie long, start long, n long")
     runs = shared.where("again").select("id", "tie", "start", "n").unionByName(late)
-    return stage(runs.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
+    return stage(runs.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("__runs")))
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def removed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist()):
                 words = _words(text)
                 kept = _drop(words, runs)
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
@@ -242,7 +242,7 @@ def removed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _with_runs(docs.select("doc_id", "text"), repeated_runs(docs)).select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_runs(docs.select("doc_id", "text"), repeated_runs(docs)).select("doc_id", "text", "__runs").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist()):
                 if runs:
                     text = b" ".join(_drop(_words(text), runs)).decode("utf-8", "surrogatepass") or None
                 texts.append((text, bool(runs)))
@@ -261,7 +261,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([c for _, c in texts], pa.bool_())], names=[*names, "__cut"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = _with_runs(docs, repeated_runs(docs)).select(*names, "runs").mapInArrow(run, f"{schema}, `__cut` boolean")
+    out = _with_runs(docs, repeated_runs(docs)).select(*names, "__runs").mapInArrow(run, f"{schema}, `__cut` boolean")
     out = out.where("NOT (`__cut` AND text IS NULL)")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
