@@ -144,7 +144,9 @@ def without(rows):
     return [(i, len(WORD.findall(t or "")), kept[i if i is not None else 2**63 - 1, t or ""]) for i, t, _ in rows]
 
 
-def test_substring_removal_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2_000, 1])
+def test_substring_removal_matches_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT_CONTENTS", hot)
     docs = odd_documents(spark)
     want = sorted((str(i), n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, n, k in without(plain(docs)))
     got = substrings.removed(docs.repartition(5)).collect()

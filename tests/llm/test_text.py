@@ -77,7 +77,7 @@ def test_url_rules_and_reputation(spark):
     assert scores["few.org"].mean < 1 and scores["few.org"].low < 0.5 < scores["bad.org"].low and scores["good.org"].mean < 0.2
     empty = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "host string, bad int")
     assert hosts.judge(*empty, hosts.RULES).count() == 0
-    assert hosts.judge(spark.createDataFrame(rows, "page_id long, url string, host int"), empty[1], hosts.RULES).where("verdict = 'block'").count() == 5
+    assert hosts.judge(spark.createDataFrame(rows, "page_id long, url string, host int"), empty[1], hosts.RULES).where("verdict = 'block'").count() == 4
 
 
 def test_quality_separates_and_uses_no_held_out_labels(spark):

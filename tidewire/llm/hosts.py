@@ -53,12 +53,12 @@ def domain_of(host: Column) -> Column:
     return F.when(two.isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def _shrunk(children: DataFrame, key: str, parents: DataFrame, parent: str, name: str) -> DataFrame:
-    """Posterior mean and strength of the bad rate of each child under a beta prior around its parent's mean.
+def _shrunk(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
+    """Posterior mean m and variance v of the bad rate of each child under a beta prior around its parent's mean.
 
     The prior's strength is the same for all children of a level, from the spread of their counts about the parents' means:
     with Var(bad) = n m (1 - m) (1 + (n - 1) rho), rho by the method of moments over all children, and
-    strength = 1 / rho - 1 within STRENGTH.
+    strength = 1 / rho - 1 within STRENGTH. What isn't known of the parent's mean adds to the variance, as far as it was drawn on.
     """
     rows = children.join(parents, parent)
     m, n, bad = F.col("mean"), F.col("n"), F.col("bad")
@@ -69,7 +69,9 @@ def _shrunk(children: DataFrame, key: str, parents: DataFrame, parent: str, name
     moments = rows.agg((1 / F.least(F.greatest(F.coalesce(rho, F.lit(low)), F.lit(low)), F.lit(high)) - 1).alias("strength"))
     rows = rows.crossJoin(moments)  # of one row
     s = F.col("strength")
-    return rows.select(*children.columns, ((bad + s * m) / (n + s)).alias(name), (n + s).alias(f"{name}_weight"))
+    mean = (bad + s * m) / (n + s)
+    spread = mean * (1 - mean) / (n + s + 1) + F.pow(s / (n + s), 2) * F.col("var")
+    return rows.select(*children.columns, mean.alias("m"), spread.alias("v"))
 
 
 def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
@@ -84,12 +86,11 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     hosts = counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host")), "top": F.lit(0)})
     domains = per(hosts, "domain", "suffix", "top")
     suffixes = per(domains, "suffix", "top")
-    top = per(suffixes, "top").select("top", ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"))
-    of_suffix = _shrunk(suffixes, "suffix", top, "top", "m").select("suffix", F.col("m").alias("mean"))
-    of_domain = _shrunk(domains, "domain", of_suffix, "suffix", "m").select("domain", F.col("m").alias("mean"))
-    of_host = _shrunk(hosts, "host", of_domain, "domain", "m")
-    m = F.col("m")
-    return of_host.select("host", "n", "bad", m.alias("mean"), (m - z * F.sqrt(m * (1 - m) / (F.col("m_weight") + 1))).alias("low"))
+    top = per(suffixes, "top").select("top", ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"), F.lit(0.0).alias("var"))
+    of_suffix = _shrunk(suffixes, top, "top").select("suffix", F.col("m").alias("mean"), F.col("v").alias("var"))
+    of_domain = _shrunk(domains, of_suffix, "suffix").select("domain", F.col("m").alias("mean"), F.col("v").alias("var"))
+    of_host = _shrunk(hosts, of_domain, "domain")
+    return of_host.select("host", "n", "bad", F.col("m").alias("mean"), (F.col("m") - z * F.sqrt("v")).alias("low"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], most_bad: float = 0.5, z: float = 1.645) -> DataFrame:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import stage, whole_groups
@@ -21,8 +21,8 @@ WINDOW, GRAM = 20, 6
 SEGMENT = 16
 #: Words hashed at a time; words whose hash a worker remembers.
 CHUNK, REMEMBERED = 200_000, 400_000
-#: Words that an index should hold.
-SHARD_WORDS = 200_000
+#: Words that an index should hold; different segments from which on a key is hot.
+SHARD_WORDS, HOT_CONTENTS = 200_000, 2_000
 
 _NO_ID = (1 << 63) - 1
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
@@ -130,14 +130,24 @@ def _find(batches):
 
 
 def _cut(batches):
-    """From documents with their segments (start, n, key): a row a segment, with its words."""
+    """From documents with their segments (start, n, key, hot): a row a segment, with its words.
+
+    A hot segment comes as single windows, each with a key of its own words, so that a key with very many segments spreads over the
+    shards; equal windows still share a key.
+    """
     for batch in batches:
         rows = []
         for id_, tie, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "tie", "text", "found"))):
             words = _words(text)
-            rows += [(id_, tie, s["start"], s["shard"], b" ".join(words[s["start"] : s["start"] + s["n"] + WINDOW - 1])) for s in found]
+            for s in found:
+                start, n = s["start"], s["n"]
+                if s["hot"]:
+                    windows = [(k, b" ".join(words[k : k + WINDOW])) for k in range(start, start + n)]
+                    rows += [(id_, tie, k, xxhash.xxh64_intdigest(w) - (1 << 63), w) for k, w in windows]
+                else:
+                    rows.append((id_, tie, start, s["key"], b" ".join(words[start : start + n + WINDOW - 1])))
         columns = list(zip(*rows)) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["id", "tie", "start", "shard", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["id", "tie", "start", "key", "words"])
 
 
 def _search(pdf):
@@ -197,23 +207,24 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     id is doc_id (the largest long for null, which so comes last), tie the CRC-32 of the text: rows that share an id go by
     it, and rows that share both are one document.
     """
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, "id long, tie long, start long, n long, key long, content long, inner boolean, again boolean")
-    place = [F.col(c) for c in ("id", "tie", "start")]
-    same = Window.partitionBy("key", "content").orderBy(*place)
-    of_key = Window.partitionBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = found.repartition("key").withColumn("rank", F.rank().over(same)).withColumn("of_key", F.count(F.lit(1)).over(of_key))
-    shared = stage(ranked.where("of_key > 1 OR inner").select("id", "tie", "start", "n", "key", (F.col("again") | (F.col("rank") > 1)).alias("again")))
+    found = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, "id long, tie long, start long, n long, key long, content long, inner boolean, again boolean"))
+    # Sums by content and by key leave the tasks added up, so a passage that a third of all documents share is a row a task.
+    contents = found.groupBy("key", "content").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("inner").alias("inner"))
+    keys = contents.groupBy("key").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("contents"), F.max("inner").alias("inner")).where("times > 1 OR inner")
+    shared = stage(contents.select("key", "content", "first").join(keys.select("key", "contents"), "key"))
 
     # One document's segment of each content stands for all with it in the shards; the others are repeated as a whole.
-    firsts = shared.where("NOT again").dropDuplicates(["id", "tie", "start"])
-    words = firsts.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
+    firsts = found.join(shared, ["key", "content"]).withColumn("again", F.struct("id", "tie", "start") != F.col("first"))
+    firsts = stage(firsts.select("id", "tie", "start", "n", "key", "again", (F.col("contents") > HOT_CONTENTS).alias("hot")))
+    again, firsts = firsts.where("again"), firsts.where("NOT again").dropDuplicates(["id", "tie", "start"])
+    words = firsts.agg(F.sum(F.when(F.col("hot"), F.col("n") * WINDOW).otherwise(F.col("n") + WINDOW))).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    wanted = firsts.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", shard.alias("shard"))).alias("found"))
+    wanted = firsts.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("found"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    cut = texts.join(wanted, ["id", "tie"]).dropDuplicates(["id", "tie"]).mapInArrow(_cut, "id long, tie long, start long, shard int, words binary")
+    cut = texts.join(wanted, ["id", "tie"]).mapInArrow(_cut, "id long, tie long, start long, key long, words binary")
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).drop("key")
     late = cut.repartition("shard").sortWithinPartitions("shard").mapInPandas(whole_groups(_search, ["shard"]), "id long, tie long, start long, n long")
-    runs = shared.where("again").select("id", "tie", "start", "n").unionByName(late)
+    runs = again.select("id", "tie", "start", "n").unionByName(late)
     return stage(runs.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("__runs")))
 
 
