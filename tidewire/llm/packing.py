@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -14,18 +15,27 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import salted_prefix, stage
 
-#: Chunks whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 64
-_seen: dict[bytes, bytes] = {}
-_tokenizers: dict[str, object] = {}
+#: Words whose ids a worker remembers, and the longest that it does.
+REMEMBERED, LONGEST = 600_000, 64
+#: Characters for which the tokenizer's way to words is plain: no special tokens, no composing marks, one-to-one lower case.
+_LETTERS = "a-zß-öø-ÿā-įı-ĸĺ-ňŋ-ž"
+_OTHER = re.compile(r"<\||[^\t-\r -~À-ÖØ-öø-įı-ĸĺ-ňŊ-ž‐-‧€]")
+_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+_seen: dict[str, bytes] = {}
+_tokenizers: dict[str, tuple] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer, and of each id whether it ends a word."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _tokenizers[path] = tokenizer, ends
         _seen.clear()
     return _tokenizers[path]
 
@@ -33,22 +43,33 @@ def _tokenizer(path: str):
 def _token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each text, without special tokens, as little-endian unsigned 32-bit numbers.
 
-    No token of this tokenizer spans white space, so texts are encoded by the chunks between ASCII blanks, and each
-    distinct chunk once.
+    This tokenizer lowers a text, cuts it into words by a pattern and encodes each word by itself. Texts of plain characters
+    are cut here, and each distinct word is encoded once; all others go to the tokenizer as they are.
     """
-    encode = _tokenizer(path).encode_batch
-    split = [(t or "").encode("utf-8").split() for t in texts]
+    tokenizer, ends = _tokenizer(path)
+    words = [None if _OTHER.search(t or "") else _WORD.findall((t or "").lower()) for t in texts]
+    odd = [k for k, w in enumerate(words) if w is None]
+    ids = lambda e: np.array(e.ids, dtype="<u4").tobytes()
+    whole = dict(zip(odd, map(ids, tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False))))
     if len(_seen) > REMEMBERED:
         _seen.clear()
-    new = {w for words in split for w in words}.difference(_seen)
-    long = {w for w in new if len(w) > LONGEST}
-    ids = lambda words: {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, encode([w.decode("utf-8") for w in words], add_special_tokens=False))}
-    short = list(new - long)
-    for at in range(0, len(short), 10_000):
-        _seen.update(ids(short[at : at + 10_000]))
-    rare = ids(list(long))
+    new = {w for own in words if own for w in own}.difference(_seen)
+    long = [w for w in new if len(w) > LONGEST]
+    some = list(new.difference(long))
+    lines = [" ".join(some[k : k + 200]) for k in range(0, len(some), 200)]
+    for k, e in enumerate(tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
+        own, row = some[200 * k : 200 * k + 200], np.array(e.ids, dtype="<u4")
+        cut = (np.flatnonzero(ends[row]) + 1) * 4
+        if len(cut) == len(own):
+            raw, at = row.tobytes(), 0
+            for w, z in zip(own, cut.tolist()):
+                _seen[w] = raw[at:z]
+                at = z
+        else:
+            _seen.update((w, ids(tokenizer.encode(w, add_special_tokens=False))) for w in own)
+    rare = {w: ids(tokenizer.encode(w, add_special_tokens=False)) for w in long}
     get = {**_seen, **rare}.__getitem__ if rare else _seen.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    return [whole[k] if own is None else b"".join(map(get, own)) for k, own in enumerate(words)]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, chunk_chars: int = 2_000_000) -> DataFrame:
