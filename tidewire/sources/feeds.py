@@ -11,7 +11,7 @@ from tidewire.functions import text as T
 from tidewire.functions import times
 
 ITEM_COLUMNS = ["source", "unique_id", "title", "url", "body", "published_at"]
-RFC822 = ["EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z"]
+RFC822 = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"]  # after the day's name
 
 
 def _tag(block: Column, name: str) -> Column:
@@ -31,7 +31,7 @@ def feed_items(payloads: DataFrame, per_feed: int = 15, body: int = 2000, zone:
     link = F.coalesce(F.nullif(_tag(block, "link"), F.lit("")), F.nullif(F.regexp_extract(block, r"""(?i)<link\b[^>]*href=["']([^"']+)""", 1), F.lit("")))
     when = F.coalesce(F.nullif(_tag(block, "pubDate"), F.lit("")), F.nullif(_tag(block, "published"), F.lit("")), F.nullif(_tag(block, "updated"), F.lit("")))
     text = F.coalesce(F.nullif(_tag(block, "description"), F.lit("")), F.nullif(_tag(block, "summary"), F.lit("")), F.lit(""))
-    dated = F.coalesce(*(F.try_to_timestamp(when, F.lit(f)) for f in RFC822), F.try_to_timestamp(when), times.local_time(when, zone, ["yyyy-MM-dd HH:mm:ss"]))
+    dated = F.coalesce(*(F.try_to_timestamp(F.regexp_replace(when, r"^[A-Za-z]{3},\s*", ""), F.lit(f)) for f in RFC822), F.try_to_timestamp(when), times.local_time(when, zone, ["yyyy-MM-dd HH:mm:ss"]))
     items = entries.select("source", "pos", link.alias("url"), T.plain(_tag(block, "title")).alias("title"), F.substring(T.squeeze(T.plain(T.unescape(text))), 1, body).alias("body"), F.coalesce(F.nullif(_tag(block, "guid"), F.lit("")), link).alias("unique_id"), dated.alias("published_at"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
     return items.where("url IS NOT NULL").withColumn("place", place).where(F.col("place") <= per_feed).select(*ITEM_COLUMNS)
@@ -108,9 +108,9 @@ def sitemap_rows(files: DataFrame, day: str, newest: int = 3) -> DataFrame:
 
 def posts(rows: DataFrame, words: list[str], category: str) -> DataFrame:
     """Posts (id, link, title, content, date: UTC without a zone) that hold any of the words, with those they hold."""
-    text = F.concat_ws(" ", T.plain(F.col("title")), T.plain(F.col("content")))
-    out = rows.withColumn("found", T.matched(text, words)).where(F.size("found") > 0)
-    return out.select(F.lit("posts").alias("source"), F.col("id").cast("string").alias("unique_id"), T.plain(F.col("title")).alias("title"), F.col("link").alias("url"), T.squeeze(T.plain(F.col("content"))).alias("body"), F.to_timestamp("date").alias("published_at"), "found", F.lit(category).alias("force_category"))
+    bare = rows.withColumns({"__title": T.plain(F.col("title")), "__body": T.plain(F.col("content"))})
+    out = bare.withColumn("found", T.matched(F.concat_ws(" ", "__title", "__body"), words)).where(F.size("found") > 0)
+    return out.select(F.lit("posts").alias("source"), F.col("id").cast("string").alias("unique_id"), F.col("__title").alias("title"), F.col("link").alias("url"), T.squeeze(F.col("__body")).alias("body"), F.to_timestamp("date").alias("published_at"), "found", F.lit(category).alias("force_category"))
 
 
 NOTICE_SCHEMA = "data struct<catalogs: array<struct<catalogName: string, articles: array<struct<id: long, code: string, title: string, releaseDate: long>>>>>"
