@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewire.llm import oracles
 from tidewire.llm import queries as q
 
 
@@ -10,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return dict(oracles.SQL)

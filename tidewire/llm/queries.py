@@ -24,7 +24,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, docs, labels = (table(spark, sf_dir, t) for t in ("pages", "documents", "labels"))
-    return hosts.judge(pages, hosts.outcomes_by_text(pages, docs, labels), hosts.RULES)
+    judged = hosts.judge(pages, hosts.outcomes_by_text(pages, docs, labels), hosts.RULES)
+    return judged.withColumn("bad_low", F.round("bad_low", 6))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
