@@ -18,14 +18,16 @@ def blocked_pairs(a: DataFrame, b: DataFrame, keys: list[str], id_col: str = "ke
         return F.transform(k, lambda x: F.concat(F.lit(f"{k}:"), x))
 
     def element(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.struct("*").alias(side), F.explode(F.array_distinct(F.concat(*map(marked, keys)))).alias("__block"))
+        blocks = F.array_distinct(F.concat(*map(marked, keys)))
+        return df.select(F.struct("*").alias(side), blocks.alias(f"__in_{side}")).withColumn("__block", F.explode(f"__in_{side}"))
 
     pairs = element(a, "a").join(element(b, "b"), "__block")
     if same:
         pairs = pairs.where(F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
     if condition is not None:
         pairs = pairs.where(condition)
-    return pairs.groupBy(F.col(f"a.{id_col}").alias("__a"), F.col(f"b.{id_col}").alias("__b")).agg(F.first("a").alias("a"), F.first("b").alias("b")).drop("__a", "__b")
+    # A pair counts at the first element that it shares, so it comes once without a shuffle to drop repeats.
+    return pairs.where(F.col("__block") == F.array_min(F.array_intersect("__in_a", "__in_b"))).select("a", "b")
 
 
 def jaccard_pairs(rows: DataFrame, threshold: float, id_col: str = "key", words: str = "tokens") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidewire.functions import rules as R
 from tidewire.functions import text as T
 from tidewire.functions import times
-from tidewire.operators import clusters, editions, ledgers, marts, pairs
+from tidewire.functions import published
+from tidewire.operators import clusters, editions, ledgers, marts, pairs, routing
 from tidewire.plans import sample as S
 from tidewire.sources import feeds
 
@@ -372,3 +373,46 @@ def channel_items(spark, sf_dir):
     rows = S.table(spark, sf_dir, "conversations")
     messages = rows.select(F.col("role").alias("channel"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit("2024-01-02").cast("timestamp").alias("at"), "text", F.array().cast("array<string>").alias("photos"), F.array().cast("array<string>").alias("links"), F.lit(1).alias("page"))
     return feeds.channel_items(messages, F.lit("2024-01-01").cast("timestamp")).select("unique_id", "title")
+
+
+# Routing
+
+
+@query(f"WITH {S.LOG} SELECT key, CASE WHEN key % 4 = 1 THEN 'market' ELSE action END AS category, key % 4 = 1 AND action <> 'market' AS moved FROM log WHERE key % 4 <> 0")
+def verdicts_applied(spark, sf_dir):
+    log = S.log(spark, sf_dir).select("key", F.col("action").alias("category"))
+    verdicts = log.where("key % 4 < 2").select("key", (F.col("key") % 4 != 0).alias("relevant"), F.when(F.col("key") % 4 == 1, "market").alias("category"))
+    return routing.apply_verdicts(log, verdicts)
+
+
+@query(f"WITH {S.LOG}, h AS (SELECT * FROM log WHERE score >= 65) SELECT a.key FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.cluster = a.cluster AND floor(epoch(a.ts)) - floor(epoch(b.ts)) BETWEEN 1 AND 86400)")
+def once_a_day(spark, sf_dir):
+    high = S.log(spark, sf_dir).where("score >= 65")
+    return routing.once_a_day(high, high).select("key")
+
+
+@query(f"WITH {S.LOG} SELECT cluster, key FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY k DESC, score DESC, key) AS rn FROM log WHERE score > 10) WHERE rn = 1")
+def readable_member(spark, sf_dir):
+    rows = S.log(spark, sf_dir).withColumns({"coverage": F.col("k"), "readable": F.col("score") > 10})
+    return routing.first_readable(rows, "cluster").select("cluster", "key")
+
+
+@query("SELECT doc_id, source AS label FROM documents")
+def source_labels(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("feed:x("), "source", F.lit(")"))).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit(" ("), "source", F.lit(".com)"))).otherwise(F.concat("source", F.lit(" policy")))
+    return S.table(spark, sf_dir, "documents").select("doc_id", published.source_label(raw, r"^feed:[^(]*\((.+)\)$", ["US"], ["policy"]).alias("label"))
+
+
+@query(f"""WITH {S.ITEMS} SELECT doc_id, CASE WHEN regexp_matches(trim(title), '^(The|Les)') THEN 'rules' WHEN lang = 'en' AND NOT {S.fits("split_part(trim(title), ',', 1)", 'the')} THEN source ELSE lang END AS topic FROM items""")
+def corrected_topics(spark, sf_dir):
+    topic = routing.corrected_topic(F.col("lang"), F.array("lang", "source"), F.col("title"), "en", "the", "other", "The|Les", "rules")
+    return S.items(spark, sf_dir).select("doc_id", topic.alias("topic"))
+
+
+@query(f"""WITH {S.LOG} SELECT strftime(ts, '%Y-%m-%d') AS day, action, CASE WHEN score < 50 THEN 'dropped' WHEN score < 65 THEN 'stored' ELSE 'posted' END AS disposition, count(*) AS n FROM log GROUP BY ROLLUP (1, 2, 3)""")
+def stage_rollup(spark, sf_dir):
+    """Counters by day, topic and disposition with all subtotals."""
+    from tidewire.functions.judgments import disposition
+
+    rows = S.log(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "action", disposition(F.col("score")).alias("disposition"))
+    return rows.rollup("day", "action", "disposition").agg(F.count(F.lit(1)).alias("n"))
