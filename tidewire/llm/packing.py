@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import salted_prefix, stage
 
 #: Words whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Characters for which the tokenizer's way to words is plain: no special tokens, no composing marks, one-to-one lower case.
 _LETTERS = "a-zß-öø-ÿā-įı-ĸĺ-ňŋ-ž"
 _OTHER = re.compile(r"<\||[^\t-\r -~À-ÖØ-öø-įı-ĸĺ-ňŊ-ž‐-‧€]")
