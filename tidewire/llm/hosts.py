@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import stage
+
 #: Rules of the registered query: verdict, host, path.
 RULES = [
     ("allow", "com", "/"),
@@ -66,9 +68,7 @@ def _shrunk(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
     under = F.sum(n * (n - 1) * m * (1 - m))
     rho = F.when(under > 0, over / under).otherwise(0.0)
     low, high = 1 / (1 + STRENGTH[1]), 1 / (1 + STRENGTH[0])
-    moments = rows.agg((1 / F.least(F.greatest(F.coalesce(rho, F.lit(low)), F.lit(low)), F.lit(high)) - 1).alias("strength"))
-    rows = rows.crossJoin(moments)  # of one row
-    s = F.col("strength")
+    s = F.lit(rows.agg(1 / F.least(F.greatest(F.coalesce(rho, F.lit(low)), F.lit(low)), F.lit(high)) - 1).first()[0])  # one number
     mean = (bad + s * m) / (n + s)
     spread = mean * (1 - mean) / (n + s + 1) + F.pow(s / (n + s), 2) * F.col("var")
     return rows.select(*children.columns, mean.alias("m"), spread.alias("v"))
@@ -83,7 +83,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """
     per = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     counts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host")), "top": F.lit(0)})
+    hosts = stage(counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host")), "top": F.lit(0)}))
     domains = per(hosts, "domain", "suffix", "top")
     suffixes = per(domains, "suffix", "top")
     top = per(suffixes, "top").select("top", ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"), F.lit(0.0).alias("var"))
