@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df into the folder of spark.checkpoint.dir (a local one only where that is unset) and reads it back."""
-    spark: SparkSession = df.sparkSession
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, or in a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-rounds-"))
         base = _OWN[0]
-    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Writes df to a new stage path and reads it back, so that its lineage ends there."""
+    path = stage_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def first_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,4 +14,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return relations.brief_select(spark, sf_dir)
+    return relations.curated_top(spark, sf_dir)

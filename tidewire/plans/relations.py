@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules as R
@@ -11,6 +12,7 @@ from tidewire.functions import published
 from tidewire.operators import clusters, editions, ledgers, marts, pairs, routing
 from tidewire.plans import sample as S
 from tidewire.sources import feeds
+from tidewire.streaming import flows
 
 QUERIES, SQL = {}, {}
 
@@ -416,3 +418,28 @@ def stage_rollup(spark, sf_dir):
 
     rows = S.log(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "action", disposition(F.col("score")).alias("disposition"))
     return rows.rollup("day", "action", "disposition").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {S.ITEMS}, a AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY epoch, key) AS rn FROM items), k AS (SELECT *, {S.score()} AS score, {S.category()} AS category FROM a WHERE (rn = 1 OR title = '') AND {S.reason()} IS NULL),
+ c AS (SELECT *, row_number() OVER (PARTITION BY source, category ORDER BY score DESC, key) AS n FROM k) SELECT source, key, place FROM (SELECT source, key, row_number() OVER (PARTITION BY source ORDER BY score DESC, key)::INT AS place FROM c
+ WHERE n <= CASE category WHEN 'trade' THEN 3 WHEN 'merger' THEN 3 ELSE 2 END) WHERE place <= 10""")
+def curated_top(spark, sf_dir):
+    """Items, first of each title, through the gates, scored, capped by category, the ten best of a source."""
+    title = F.col("title")
+    rows = ledgers.first_wins(S.items(spark, sf_dir), ["title"], [F.col("ts"), F.col("key")]).where(R.reject_reason(title, S.RULES).isNull())
+    scored = rows.select("source", "key", R.score(title, F.lit(""), None, S.RULES).alias("score"), R.primary_category(title, S.RULES).alias("category"))
+    kept = editions.capped(scored, ["source"], "category", S.RULES.category_caps, 2, [F.col("score").desc(), "key"])
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.col("score").desc(), "key"))
+    return kept.select("source", "key", place.alias("place")).where("place <= 10")
+
+
+@query("SELECT event_type, strftime(date_trunc('hour', ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H') AS window_end, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_hourly(spark, sf_dir):
+    """Whole hours by type, read as a stream and written by micro-batches."""
+    schema = S.table(spark, sf_dir, "events").schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events.parquet*")
+    out = clusters.stage_path(spark)
+    counted = flows.hourly(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "ts")
+    batch = counted.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    batch.awaitTermination()
+    return spark.read.parquet(out).select("event_type", F.date_format("window_end", "yyyy-MM-dd HH").alias("window_end"), "n")
