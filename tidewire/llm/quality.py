@@ -31,7 +31,7 @@ def features(text: str | None) -> np.ndarray:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     lengths = np.fromiter(map(len, words), dtype=np.int32, count=len(words))
     distinct = len(set(words))
-    bare = [w.strip(_MARKS) for w in words[:: max(1, len(words) // 2000)]]
+    bare = [w.strip(_MARKS) for w in words]
     out[len(_MARKS) :] = (
         upper / max(1, upper + lower),
         digit / n,

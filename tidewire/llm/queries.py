@@ -29,7 +29,7 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken_words(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(table(spark, sf_dir, "documents"), block_words=32)
 
 
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
