@@ -208,15 +208,18 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     it, and rows that share both are one document.
     """
     found = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, "id long, tie long, start long, n long, key long, content long, inner boolean, again boolean"))
-    # Sums by content and by key leave the tasks added up, so a passage that a third of all documents share is a row a task.
-    contents = found.groupBy("key", "content").agg(F.min(F.struct("id", "tie", "start")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("inner").alias("inner"))
-    keys = contents.groupBy("key").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("contents"), F.max("inner").alias("inner")).where("times > 1 OR inner")
-    shared = stage(contents.select("key", "content", "first").join(keys.select("key", "contents"), "key"))
+    # Sums leave the tasks added up, so a passage that a third of all documents share is a row a task; the joins' hot keys AQE splits.
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("inner").alias("inner")).where("times > 1 OR inner").select("key")
+    shared = stage(found.drop("inner").join(keys, "key"))
 
     # One document's segment of each content stands for all with it in the shards; the others are repeated as a whole.
-    firsts = found.join(shared, ["key", "content"]).withColumn("again", F.struct("id", "tie", "start") != F.col("first"))
-    firsts = stage(firsts.select("id", "tie", "start", "n", "key", "again", (F.col("contents") > HOT_CONTENTS).alias("hot")))
-    again, firsts = firsts.where("again"), firsts.where("NOT again").dropDuplicates(["id", "tie", "start"])
+    new = shared.where("NOT again").drop("again")
+    contents = new.groupBy("key", "content").agg(F.min(F.struct("id", "tie", "start")).alias("first"))
+    hot = contents.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where(F.col("contents") > HOT_CONTENTS).select("key", F.lit(True).alias("hot"))
+    placed = new.join(contents, ["key", "content"]).select("id", "tie", "start", "n", "key", (F.struct("id", "tie", "start") != F.col("first")).alias("again"))
+    placed = stage(placed.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    again = shared.where("again").select("id", "tie", "start", "n").unionByName(placed.where("again").select("id", "tie", "start", "n"))
+    firsts = placed.where("NOT again").dropDuplicates(["id", "tie", "start"])
     words = firsts.agg(F.sum(F.when(F.col("hot"), F.col("n") * WINDOW).otherwise(F.col("n") + WINDOW))).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     wanted = firsts.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("found"))
@@ -224,7 +227,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     cut = texts.join(wanted, ["id", "tie"]).mapInArrow(_cut, "id long, tie long, start long, key long, words binary")
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).drop("key")
     late = cut.repartition("shard").sortWithinPartitions("shard").mapInPandas(whole_groups(_search, ["shard"]), "id long, tie long, start long, n long")
-    runs = again.select("id", "tie", "start", "n").unionByName(late)
+    runs = again.unionByName(late)
     return stage(runs.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("__runs")))
 
 
