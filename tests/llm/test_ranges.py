@@ -1,0 +1,14 @@
+import bisect
+import random
+
+from pyspark.sql import functions as F
+
+from tidewire.llm.sketches import _range_of
+
+
+def test_ranges_are_found_in_two_steps(spark):
+    r = random.Random(1)
+    for n in (0, 1, 2, 7, 50, 1000):
+        bounds = sorted(r.sample(range(-3000, 3000), n))
+        got = spark.range(-3100, 3100, 7).select("id", _range_of(F.col("id"), bounds).alias("x")).collect()
+        assert all(x.x == bisect.bisect_left(bounds, x.id) for x in got), n

@@ -13,8 +13,8 @@ PARAGRAPH = r"[^\n]{1,200}"
 BASE_CELLS = 24
 #: Rounds of peeling, each over one of the three tables, for the base sketch and for the larger ones.
 BASE_ROUNDS, ROUNDS = 6, 15
-#: Stands for a null id, after all others.
-_NO_ID = -(1 << 63)
+#: Rows that a range of ids should hold, and the most ranges (beyond that they grow).
+RANGE_ROWS, MOST_RANGES = 1000, 16_384
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -111,38 +111,43 @@ def likeness(pairs: DataFrame, retries: int = 6) -> DataFrame:
     return done.unionByName(open_.select("pair", (shared / (F.size("a") + F.size("b") - shared)).alias("likeness")))
 
 
-def _before(keys: DataFrame) -> DataFrame:
-    """id, h, before_id, before_h, before_n for each row of keys (id, h, n): the row that stands before it by descending id and hash.
-
-    Before the first stands the last. Keys are range-partitioned, the partition is written with them, and neighbours
-    are found within it; the first row of a partition takes the last one of the partition before.
-    """
-    ranged = stage(keys.repartitionByRange(F.col("id").desc(), F.col("h").desc()).withColumn("part", F.spark_partition_id()))
-    order = [F.col("id").desc(), F.col("h").desc()]
-    row = F.struct("id", "h", "n")
-    within = ranged.withColumn("before", F.lag(row).over(Window.partitionBy("part").orderBy(*order)))
-    lasts = ranged.groupBy("part").agg(F.min(row).alias("last"))  # a row a partition
-    down = Window.orderBy("part")
-    final = F.last("last").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    lasts = lasts.select("part", F.coalesce(F.lag("last").over(down), final).alias("last"))
-    joined = within.join(lasts, "part").withColumn("before", F.coalesce("before", "last"))
-    return joined.select("id", "h", F.col("before.id").alias("before_id"), F.col("before.h").alias("before_h"), F.col("before.n").alias("before_n"))
+def _range_of(id_: Column, bounds: list[int]) -> Column:
+    """How many bounds lie below an id, found among every n-th bound first and then in between."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, round(len(bounds) ** 0.5))
+    rows = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    count = lambda cells: F.size(F.filter(cells, lambda b: b < id_))
+    row = count(F.array(*(F.lit(r[-1]).cast("long") for r in rows)))
+    cells = F.try_element_at(F.array(*(F.array(*(F.lit(b).cast("long") for b in r)) for r in rows)), (row + 1).cast("int"))
+    return F.when(row < len(rows), row * step + count(cells)).otherwise(len(bounds))
 
 
 def _with_next(docs: DataFrame, digests: str) -> DataFrame:
-    """Adds n_chars, next_start and next_digests: of the document with the next smaller id, after the last of the first.
+    """Adds next_text and next_digests: of the row with the next smaller id, after the last of the first.
 
-    next_start is as much of the next text as the edit of this one takes. Each text goes once to its own key and its start
-    once to the key of the document before it. Ties go by a hash of the text; null ids come last; rows that repeat id and text are one
-    document, with a result each.
+    Ids are cut into ranges of RANGE_ROWS by quantiles over all rows, so the number of ranges grows with the table; neighbours
+    meet within a range, and the row at the end of a range gets the first row of the next. Ties go by a hash of the text; null ids come last.
     """
-    rows = docs.withColumns({"id": F.coalesce("doc_id", F.lit(_NO_ID)), "h": F.xxhash64("text"), "n_chars": F.length("text").cast("long")})
-    keys = rows.select("id", "h", F.col("n_chars").alias("n")).distinct()
-    own = rows.join(_before(keys).hint("merge"), ["id", "h"])
-    one = own.withColumn("copy", F.row_number().over(Window.partitionBy("id", "h").orderBy("n_chars"))).where("copy = 1")
-    start = F.substring("text", F.lit(1), F.floor(F.col("before_n") / 2).cast("int"))
-    following = one.select(F.col("before_id").alias("id"), F.col("before_h").alias("h"), start.alias("next_start"), F.col(digests).alias("next_digests"))
-    return own.join(following.hint("merge"), ["id", "h"]).select(*docs.columns, "n_chars", "next_start", "next_digests")
+    tie = F.xxhash64("text")
+    ranges = min(MOST_RANGES, docs.count() // RANGE_ROWS + 1)
+    bounds = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges + 1)], 10 * ranges)).first()[0] or []
+    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(_range_of(F.col("doc_id"), sorted(set(bounds)))))
+    order = [F.col("doc_id").desc_nulls_last(), tie.desc_nulls_last()]
+    within = Window.partitionBy("range").orderBy(*order)
+    row = F.struct("text", digests)
+    led = ranged.withColumns({"__next": F.lead(row).over(within), "__last": F.lead(F.lit(1)).over(within).isNull()})
+
+    # The first row of each range: at most MOST_RANGES + 2 rows, so their ids can be broadcast.
+    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
+    of_top = ranged.join(F.broadcast(tops.withColumnRenamed("range", "top_range")), (F.col("range") == F.col("top_range")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = of_top.withColumn("rank", F.row_number().over(within)).where("rank = 1").select("range", row.alias("__head"))
+    down = Window.orderBy(F.col("range").desc())
+    first = F.first("__head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select(F.col("range").alias("__range"), F.coalesce(F.lead("__head").over(down), first).alias("__head"))
+    joined = led.join(heads, F.col("__last") & (F.col("range") == F.col("__range")), "left")
+    follow = F.coalesce("__next", "__head")
+    return joined.select(*docs.columns, follow["text"].alias("next_text"), follow[digests].alias("next_digests"))
 
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
@@ -151,14 +156,14 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     The edited text keeps the first half and ends with as many characters of the next document (by descending id, after
     the last the first). A fingerprint is the number of distinct paragraph digests and the base sketch of them; a likeness is the
     share of digests that two sketches have in common, from their peeled difference. A null text counts as empty; two texts without
-    paragraphs have likeness 1. Null ids come last, tied ids go by a hash of the text, and rows that repeat id and text are one document, with a result each.
+    paragraphs have likeness 1. Null ids come last, tied ids go by a hash of the text, and rows that repeat keep a result each.
     Other columns are not used. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("digests", paragraph_digests(F.col("text")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    paired = _with_next(texts, "digests")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("next_start"))
+    paired = _with_next(texts, "digests").withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
     versions = paired.withColumn("edited", edited).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", paragraph_digests(F.col("edited")).alias("edited_digests"), "next_digests")
     kept = stage(versions)
 
