@@ -14,8 +14,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return simhash.one_of_each(docs, distance=2)
+    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8) the document with the smallest id stays."""
+    return simhash.one_of_similar(docs, words=5, distance=14, least=(4, 5))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import corpus_pipeline
-from tidewire.llm import catalog
-from tests.llm.data import odd_documents
+from tidewire.llm import catalog, components, simhash
+from tests.llm.data import odd_documents, words
 
 
 def test_stages_run_on_odd_documents(spark, tmp_path):
@@ -24,3 +26,58 @@ def test_stages_run_on_odd_documents(spark, tmp_path):
 def test_ten_operators_are_registered():
     names = list(catalog.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+def test_near_copies_by_five_words_leave_one(spark):
+    r = random.Random(8)
+    rows, k = [], 0
+    for _ in range(25):
+        base = words(r, 200).split()
+        rows.append((k, " ".join(base)))
+        for edits in (1, 2, 4, 8, 12):  # 5 shingles each: similar up to 4 edits
+            copy = list(base)
+            for e in range(edits):
+                copy[10 + 15 * e] = "edited"
+            rows.append((k + edits, " ".join(copy)))
+        k += 20
+    hot = words(r, 120).split()  # a large group of near copies
+    for m in range(150):
+        rows.append((k + m, " ".join([*hot[: 3 + m % 100], f"x{m}", *hot[4 + m % 100 :]])))
+    rows += [(None, rows[0][1]), (9_000, ""), (9_001, None), (9_002, "few words"), (9_003, "Few  words")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    prints, all_pairs, found_pairs = [simhash.simhash(t, 5) for _, t in rows], 0, 0
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            alike = 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])
+            all_pairs += alike
+            if alike and (sets[x] == sets[y] or ((prints[x] ^ prints[y]) & (2**64 - 1)).bit_count() <= 14):
+                found_pairs += 1
+                root[top(x)] = top(y)
+    assert found_pairs >= 0.95 * all_pairs  # what the distance reaches
+    want = {}
+    for x, (i, _) in enumerate(rows):
+        want.setdefault(top(x), []).append(10**9 if i is None else i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(row.doc_id for row in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == sorted(map(min, want.values()))
+
+
+def test_tiles_verify_every_pair(spark):
+    r = random.Random(9)
+    base = [words(r, 150).split() for _ in range(6)]
+    rows = [(k, " ".join([*(b := base[k % 6])[: 5 + k], f"y{k}", *b[6 + k :]])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "content long, text string").selectExpr("content + 1 AS content", "text")
+    marked = docs.join(simhash.fingerprints(docs, "content", words=5), "content")
+    links = [{(x.node, x.component) for x in components.connected_components(simhash.similar_links(marked, 5, 14, (4, 5), 5, tile_rows=n)).collect()} for n in (4, 1024)]
+    assert links[0] == links[1] and len({c for _, c in links[0]}) == 6

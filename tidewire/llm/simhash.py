@@ -19,19 +19,30 @@ BITS = 64
 CHUNK = 1 << 15
 
 
-def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint as a signed long; 0 for a text without words, or none."""
+def _shingles(text: str | None, words: int, seed: int = 42):
+    """The hashes of all shingles, in pieces; of a text with fewer words, of all of it; none of a text without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z only, and the six ASCII blanks
     if not found:
-        return 0
+        return
     n = max(1, len(found) - words + 1)
-    ones = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         part = found[at : min(n, at + CHUNK) + words - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(words)))) if len(found) >= words else [b" ".join(found)]
-        hashes = np.array([digest(s, seed) for s in shingles], dtype=">u8")
+        yield np.array([digest(s, seed) for s in shingles], dtype=">u8")
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes, as sorted signed longs."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, words)]).astype(np.uint64).view(np.int64))
+
+
+def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint as a signed long; 0 for a text without words, or none."""
+    ones, n = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in _shingles(text, words, seed):
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     bits = np.packbits(ones * 2 > n)
     return int(bits.view(">i8")[0])
 
@@ -244,5 +255,180 @@ def one_of_each(docs: DataFrame, distance: int = 2, words: int = 3) -> DataFrame
     return kept.withColumn("__rank", first).where("__rank = 1").select(*names)
 
 
+def _hits(pdf, distance: int, layout: list[list[int]], thresholds: list[int]):
+    """For whole pairs of tiles: the pairs of rows (i, j) within `distance`, of different components, each where its two rows first meet.
+
+    Rows share up to dozens of keys; they count as meeting under their first part within its threshold and there under the key half-way.
+    """
+    fp, comp, in_a = pdf["fp"].to_numpy(), pdf["comp"].to_numpy(), pdf["in_a"].to_numpy()
+    keys = [pdf[k].to_numpy() for k in ("part", "key", "tile_a", "tile_b")]
+    part, key, one = keys[0], keys[1], keys[2] == keys[3]
+    masks = [np.int64(np.uint64(sum(1 << b for b in p)).view(np.int64)) for p in layout]
+    new = np.ones(len(fp), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    group = np.cumsum(new) - 1
+    end = (np.flatnonzero(new) + np.bincount(group))[group]
+    open_, shift = np.arange(len(fp)), 1
+    while len(open_ := open_[open_ + shift < end[open_]]):  # each row against the one `shift` places on
+        near = np.bitwise_count((fp[open_] ^ fp[open_ + shift]).view(np.uint64)) <= distance
+        i = open_[near]
+        j = i + shift
+        shift += 1
+        i, j = (x[(comp[i] != comp[j]) & (one[i] | (in_a[i] != in_a[j]))] for x in (i, j))
+        if not len(i):
+            continue
+        differ, first = fp[i] ^ fp[j], np.full(len(i), -1)
+        for k in reversed(range(len(layout))):
+            if thresholds[k] >= 0:
+                first[np.bitwise_count((differ & masks[k]).view(np.uint64)) <= thresholds[k]] = k
+        i, j = i[first == part[i]], j[first == part[i]]
+        x, y = (sum((((fp[r] >> np.int64(layout[k][b])) & 1) << b) * (part[i] == k) for k in range(len(layout)) for b in range(len(layout[k]))) for r in (i, j))
+        at, left = np.minimum(x, y), x ^ y
+        turns = (np.bitwise_count(left) + 1) // 2
+        while (turns > 0).any():
+            low = np.where(turns > 0, left & -left, 0)
+            at, left, turns = at ^ low, left ^ low, np.maximum(turns, 1) - 1
+        i, j = i[at == key[i]], j[at == key[i]]
+        if len(i):
+            yield i, j
+
+
+def probes(rows: DataFrame, layout: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """rows (with the column fp, a long) under every part and key where their fingerprints stand: keys within t bits share one within ceil(t / 2) of each."""
+    kept = list(rows.columns)
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column(kept.index("fp")).to_numpy()
+            for i, (part, t) in enumerate(zip(layout, thresholds)):
+                if t < 0:
+                    continue
+                masks = {0}
+                for _ in range((t + 1) // 2):
+                    masks |= {m ^ (1 << k) for m in masks for k in range(len(part))}
+                key = np.zeros(len(fp), dtype=np.int64)
+                for k, b in enumerate(part):
+                    key |= ((fp >> np.int64(b)) & np.int64(1)) << np.int64(k)
+                for m in sorted(masks):
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(fp), i, np.int32)), pa.array(key ^ np.int64(m))], names=[*kept, "part", "key"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", part int, key long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether the Jaccard similarity of two sets is at least the fraction `least`."""
+    if min(len(a), len(b)) * least[1] < max(len(a), len(b)) * least[0]:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * least[1] >= (len(a) + len(b) - both) * least[0]
+
+
+def _candidates(*search):
+    """Kernel over pairs of tiles: the rows that have a pair to be verified."""
+
+    def kernel(pdf):
+        open_ = np.zeros(len(pdf), dtype=bool)
+        for i, j in _hits(pdf, *search):
+            open_[i] = open_[j] = True
+        return pdf[open_][["part", "key", "tile_a", "tile_b", "in_a", "content", "fp", "comp"]]
+
+    return kernel
+
+
+def _verified(least: tuple[int, int], *search):
+    """Kernel over pairs of tiles with the sets: links between similar contents, none where others join the two already."""
+
+    def kernel(pdf):
+        import pandas as pd
+
+        content, sets = pdf["content"].to_numpy(), pdf["shingles"].to_numpy()
+        root = {c: c for c in pdf["comp"]}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        comp, out = pdf["comp"].to_numpy(), []
+        for i, j in _hits(pdf, *search):
+            for x, y in zip(i.tolist(), j.tolist()):
+                a, b = top(comp[x]), top(comp[y])
+                if a != b and similar(sets[x], sets[y], least):
+                    root[a] = b
+                    out.append((content[x], content[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return kernel
+
+
+def similar_links(marked: DataFrame, words: int, distance: int, least: tuple[int, int], parts: int, tile_rows: int = 1024) -> DataFrame:
+    """a, b: links between contents (content, fp, text) that join all whose fingerprints lie within `distance` and whose sets are similar.
+
+    First each content is held against one other of each of its buckets, which joins most of a large group of near copies by
+    a few links a member. Then the pairs of a bucket that are not joined yet are verified, in tiles.
+    """
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["content", "shingles"])
+
+        texts = marked.join(wanted.distinct(), "content").groupBy("content").agg(F.min("text").alias("text"))
+        return texts.select("content", "text").mapInArrow(run, "content long, shingles array<long>")
+
+    nodes = stage(marked.where("content != 0").select("content", "fp").distinct())
+    n, both = bit_statistics(nodes)
+    layout = group_bits(n, both, parts)
+    thresholds = allocate(estimated_costs(nodes, n, both, layout, distance), distance - parts + 1)
+    spread = probes(nodes, layout, thresholds)
+    anchors = spread.groupBy("part", "key").agg(F.min(F.struct("content", "fp")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = spread.join(anchors.hint("merge"), ["part", "key"]).where((F.col("content") != F.col("to.content")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("to.fp"))) <= distance))
+    pairs = stage(near.select(F.col("content").alias("a"), F.col("to.content").alias("b")).distinct())
+    held = stage(sets(pairs.select(F.col("a").alias("content")).union(pairs.select("b"))))
+    sides = pairs.join(held.withColumnsRenamed({"content": "a", "shingles": "x"}).hint("merge"), "a").join(held.withColumnsRenamed({"content": "b", "shingles": "y"}).hint("merge"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    first = stage(sides.where(common * least[1] >= (F.size("x") + F.size("y") - common) * least[0]).select("a", "b"))
+
+    joined = connected_components(first).withColumnRenamed("node", "content")
+    grouped = stage(nodes.join(joined, "content", "left").select("content", "fp", F.coalesce("component", "content").alias("comp")))
+    keys, search = ["part", "key"], (distance, layout, thresholds)
+    schema = "part int, key long, tile_a int, tile_b int, in_a boolean, content long, fp long, comp long"
+    open_ = stage(per_pair(tile_pairs(probes(grouped, layout, thresholds), keys, "content", tile_rows), keys, _candidates(*search), schema))
+    full = open_.join(sets(open_.select("content")).hint("merge"), "content")
+    return first.unionByName(per_pair(full, keys, _verified(least, *search), "a long, b long"))
+
+
+def one_of_similar(docs: DataFrame, words: int = 5, distance: int = 14, least: tuple[int, int] = (4, 5), parts: int = 5) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) of which one stands for each class of similar texts: the one with the smallest id, null last.
+
+    Texts are linked where the Jaccard similarity of their distinct shingles of `words` words is at least the fraction `least`:
+    always where the shingles are the same, else where their fingerprints lie within `distance` bits. Of rows that share that id the
+    smallest fingerprint, content and text stays. Texts without words are one class. An empty table gives an empty result.
+    """
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    at = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for t in batch.column(at):
+                own = shingle_set(t.as_py(), words)
+                found.append((simhash(t.as_py(), words), (xxhash.xxh64_intdigest(own.tobytes()) | 1) - (1 << 63) if len(own) else 0))
+            fps, contents = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64()), pa.array(contents, pa.int64())], names=[*names, "__fp", "__content"])
+
+    marked = stage(docs.mapInArrow(run, f"{schema}, `__fp` long, `__content` long"))
+    links = similar_links(marked.select(F.col("__content").alias("content"), F.col("__fp").alias("fp"), "text"), words, distance, least, parts)
+    classes = stage(connected_components(links)).withColumnsRenamed({"node": "__content", "component": "__class"})
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__fp", "__content")
+    firsts = marked.select("doc_id", "__fp", "__content").distinct().join(classes, "__content", "left")
+    chosen = firsts.groupBy(F.coalesce("__class", "__content")).agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.__fp").alias("__f"), F.col("f.__content").alias("__c"))
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    kept = marked.join(chosen, (marked["__content"] == chosen["__c"]) & (marked["__fp"] == chosen["__f"]) & marked["doc_id"].eqNullSafe(chosen["__id"]))
+    return kept.groupBy("__content").agg(F.min(F.struct("doc_id", "text", *rest)).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in names))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
