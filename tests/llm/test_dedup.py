@@ -158,6 +158,18 @@ def test_substring_removal_matches_brute_force(spark, monkeypatch, hot):
     assert substrings.removed(spark.createDataFrame([], DOCS)).count() == 0 and substrings.without_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_equal_windows_of_a_hot_key_never_gather(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_CONTENTS", 20)
+    common = " ".join(f"common{k}" for k in range(25))
+    rows = [(i, " ".join([*(f"a{i}_{k}" for k in range(30)), common, *(f"b{i}_{k}" for k in range(30))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, pieces, _ = substrings.candidates(docs)
+    has_common = pieces.where(F.instr(F.col("words").cast("string"), "common10") > 0)
+    assert has_common.count() <= 20
+    want = {i: (85, 25 if i else 0) for i in range(120)}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substrings.removed(docs).collect()} == want
+
+
 def test_fm_index_counts_patterns():
     r = np.random.default_rng(4)
     text = np.concatenate([np.append(r.integers(1, 4, 60), 0) for _ in range(20)])

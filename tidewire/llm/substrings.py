@@ -132,8 +132,7 @@ def _find(batches):
 def _cut(batches):
     """From documents with their segments (start, n, key, hot): a row a segment, with its words.
 
-    A hot segment comes as single windows, each with a key of its own words, so that a key with very many segments spreads over the
-    shards; equal windows still share a key.
+    A hot segment comes as single windows, each with a key of its own words in place of them.
     """
     for batch in batches:
         rows = []
@@ -143,7 +142,7 @@ def _cut(batches):
                 start, n = s["start"], s["n"]
                 if s["hot"]:
                     windows = [(k, b" ".join(words[k : k + WINDOW])) for k in range(start, start + n)]
-                    rows += [(id_, tie, k, xxhash.xxh64_intdigest(w) - (1 << 63), w) for k, w in windows]
+                    rows += [(id_, tie, k, xxhash.xxh64_intdigest(w) - (1 << 63), None) for k, w in windows]
                 else:
                     rows.append((id_, tie, start, s["key"], b" ".join(words[start : start + n + WINDOW - 1])))
         columns = list(zip(*rows)) if rows else [[]] * 5
@@ -201,8 +200,18 @@ def _drop(words: list[bytes], runs) -> list[bytes]:
     return [w for w, k in zip(words, keep) if k]
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """id, tie, __runs (array of start, n): the runs of windows of each document (doc_id, text) that also start earlier.
+def late_windows(windows: DataFrame) -> DataFrame:
+    """id, tie, start, n: the windows (id, tie, start, key) whose key stands at an earlier place too, each as a run of one.
+
+    Equal windows are reduced by min() before the shuffle, and only joined after it.
+    """
+    place = F.struct("id", "tie", "start")
+    first = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
+    return windows.join(first, "key").where(place != F.col("first")).select("id", "tie", "start", F.lit(1).cast("long").alias("n"))
+
+
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """runs (id, tie, start, n) known to occur earlier, the segments (id, tie, start, key, words) left to search, and over how many shards.
 
     id is doc_id (the largest long for null, which so comes last), tie the CRC-32 of the text: rows that share an id go by
     it, and rows that share both are one document.
@@ -220,15 +229,24 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     placed = stage(placed.join(hot, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     again = shared.where("again").select("id", "tie", "start", "n").unionByName(placed.where("again").select("id", "tie", "start", "n"))
     firsts = placed.where("NOT again").dropDuplicates(["id", "tie", "start"])
-    words = firsts.agg(F.sum(F.when(F.col("hot"), F.col("n") * WINDOW).otherwise(F.col("n") + WINDOW))).first()[0] or 0
+    words = firsts.agg(F.sum(F.when(~F.col("hot"), F.col("n") + WINDOW))).first()[0] or 0
     shards = max(1, -(-words // SHARD_WORDS))
     wanted = firsts.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n", "key", "hot")).alias("found"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tie"), "text")
     cut = texts.join(wanted, ["id", "tie"]).mapInArrow(_cut, "id long, tie long, start long, key long, words binary")
+    if placed.where("hot").isEmpty():
+        return again, cut, shards
+    # All windows equal to a hot key's have that key, so they only meet each other: no index is needed to find their first places.
+    cut = stage(cut)
+    return again.unionByName(late_windows(cut.where("words IS NULL"))), cut.where("words IS NOT NULL"), shards
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """id, tie, __runs (array of start, n): the runs of windows of each document (doc_id, text) that also start earlier; id and tie as in candidates()."""
+    runs, cut, shards = candidates(docs)
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).drop("key")
     late = cut.repartition("shard").sortWithinPartitions("shard").mapInPandas(whole_groups(_search, ["shard"]), "id long, tie long, start long, n long")
-    runs = again.unionByName(late)
-    return stage(runs.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("__runs")))
+    return stage(runs.unionByName(late).groupBy("id", "tie").agg(F.collect_list(F.struct("start", "n")).alias("__runs")))
 
 
 def _with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
