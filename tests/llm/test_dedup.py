@@ -61,10 +61,7 @@ def test_simhash_matches_brute_force(spark):
     want = sorted((str(i), f"{fingerprint(t):016x}", min(smallest[roots[fingerprint(t)]], default=None)) for i, t, _ in rows)
     got = simhash.near_duplicates(docs).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("f"), "component_id").collect()
     assert sorted((str(r.doc_id), r.f, r.component_id) for r in got) == want
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert kept.count() == len({roots[p] for p in prints})
-    assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0 and simhash.one_of_each(spark.createDataFrame([], DOCS)).count() == 0
+    assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0 and simhash.one_of_similar(spark.createDataFrame([], DOCS)).count() == 0
 
 
 @pytest.mark.parametrize("parts", [2, 3, 4])
@@ -144,9 +141,10 @@ def without(rows):
     return [(i, len(WORD.findall(t or "")), kept[i if i is not None else 2**63 - 1, t or ""]) for i, t, _ in rows]
 
 
-@pytest.mark.parametrize("hot", [2_000, 1])
-def test_substring_removal_matches_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, heavy", [(2_000, 2_000), (1, 2_000), (2_000, 1), (3, 4)])
+def test_substring_removal_matches_brute_force(spark, monkeypatch, hot, heavy):
     monkeypatch.setattr(substrings, "HOT_CONTENTS", hot)
+    monkeypatch.setattr(substrings, "HEAVY_ROWS", heavy)
     docs = odd_documents(spark)
     want = sorted((str(i), n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, n, k in without(plain(docs)))
     got = substrings.removed(docs.repartition(5)).collect()
@@ -172,16 +170,27 @@ def test_equal_windows_of_a_hot_key_never_gather(spark, monkeypatch):
 
 def test_fm_index_counts_patterns():
     r = np.random.default_rng(4)
-    text = np.concatenate([np.append(r.integers(1, 4, 60), 0) for _ in range(20)])
-    index = fmindex.FMIndex(text, 3, 5)
-    begin = np.array([k for k in range(len(text) - 4) if 0 not in text[k : k + 5]])
-    which, lo, hi = index.repeated(text, begin)
+    lengths = r.integers(3, 70, 25)
+    text = np.concatenate([np.append(r.integers(1, 4, n), 0) for n in lengths])
+    inside = np.concatenate([np.arange(n + 1) for n in lengths])
+    index = fmindex.FMIndex(text, 3, inside)
+    ends = np.flatnonzero(inside >= 5)  # a stream is read within its segment
+    got = zip(ends, *index.matching(text, ends, 5))
     count = defaultdict(list)
-    for b in begin:
-        count[tuple(text[b : b + 5])].append(b)
-    assert {int(begin[w]) for w in which} == {int(b) for v in count.values() if len(v) > 1 for b in v}
-    for w, a, z in zip(which, lo, hi):
-        assert sorted(index.suffixes[a:z]) == sorted(count[tuple(text[begin[w] : begin[w] + 5])])
+    for e in np.flatnonzero(inside > 0):
+        for n in range(1, min(5, inside[e]) + 1):
+            count[tuple(text[e - n : e])].append(e - n)
+    for e, n, a, z in got:
+        n = int(n)
+        assert n == max((k for k in range(1, 6) if len(count[tuple(text[e - k : e])]) > 1), default=0)
+        assert not n or sorted(index.locate(np.arange(a, z))) == sorted(count[tuple(text[e - n : e])])
+
+
+def test_heavy_keys_are_found_whatever_the_partitions(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN -2 ELSE id END AS key").repartition(7)
+    found, total = substrings.heavy(rows, "key", counters=40)
+    assert total == 20_000 and {7, -2} >= set(found) and 7 in found and found[7] <= 6667 and len(found) <= 40
+
 
 
 def test_sharding_is_balanced_contiguous_and_gapless(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,7 +35,33 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _STAGED[id(back)] = (weakref.ref(back), path)
+    return back
+
+
+_STAGED: dict[int, tuple] = {}
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes tables that stage() wrote and that no later step reads: all that follows from them has been written itself."""
+    for df in tables:
+        ref, path = _STAGED.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows that go to a Python worker at a time, so that it never holds many whole texts.
+PYTHON_ROWS = 1000
+
+
+def python_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to PYTHON_ROWS rows where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= PYTHON_ROWS:
+        spark.conf.set(name, str(PYTHON_ROWS))
 
 
 def salted_prefix(df: DataFrame, groups: list[str], order: list[Column], value: Column, salts: int, out: str) -> DataFrame:
@@ -79,39 +106,46 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def whole_groups(kernel, keys: list[str]):
+def whole_groups(kernel, keys: list[str], least_rows: int = 1):
     """A function for mapInPandas over partitions sorted by keys: hands kernel frames that hold whole groups only.
 
-    A group is held back until its last row has come, so memory is bounded by the largest group and one batch.
+    A group is held back until its last row has come, and groups until there are least_rows of them, so memory is bounded by the
+    largest group, least_rows and one batch.
     """
 
     def run(batches):
         import pandas as pd
 
-        held: list[pd.DataFrame] = []
-        last = None
+        held: list[pd.DataFrame] = []  # whole groups, then the start of the last one
+        rows, last, open_ = 0, None, 0
+
+        def hand_over(parts):
+            out = kernel(pd.concat(parts, ignore_index=True))
+            return [out] if len(out) else []
+
         for batch in batches:
             if not len(batch):
                 continue
-            rows = list(zip(*(batch[k].to_numpy() for k in keys)))
-            if held and rows[0] != last:
-                out = kernel(pd.concat(held, ignore_index=True))
-                if len(out):
-                    yield out
-                held = []
-            last = rows[-1]
-            cut = len(rows)
-            while cut and rows[cut - 1] == last:
-                cut -= 1
-            if cut:
-                out = kernel(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
-                if len(out):
-                    yield out
-                held = []
-            held.append(batch.iloc[cut:])
+            found = [batch[k].to_numpy() for k in keys]
+            ends = np.flatnonzero(np.any([c[1:] != c[:-1] for c in found], axis=0)) + 1
+            final = tuple(c[-1] for c in found)
+            if held and tuple(c[0] for c in found) != last:
+                open_ = len(held)  # all that is held is whole
+            if len(ends):
+                cut = int(ends[-1])
+                held.append(batch.iloc[:cut])
+                open_, rows = len(held), rows + cut
+                held.append(batch.iloc[cut:])
+                rows += len(batch) - cut
+            else:
+                held.append(batch)
+                rows += len(batch)
+            last = final
+            if open_ and rows >= least_rows:
+                yield from hand_over(held[:open_])
+                held, open_ = held[open_:], 0
+                rows = sum(map(len, held))
         if held:
-            out = kernel(pd.concat(held, ignore_index=True))
-            if len(out):
-                yield out
+            yield from hand_over(held)
 
     return run

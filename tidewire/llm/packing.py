@@ -13,15 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import salted_prefix, stage
+from tidewire.llm.common import python_batches, salted_prefix, stage
 
-#: Words whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words whose ids a worker remembers (the last used ones: two halves, of which the older one is dropped), and the longest that it does.
+REMEMBERED, LONGEST = 120_000, 64
 #: Characters for which the tokenizer's way to words is plain: no special tokens, no composing marks, one-to-one lower case.
 _LETTERS = "a-zß-öø-ÿā-įı-ĸĺ-ňŋ-ž"
 _OTHER = re.compile(r"<\||[^\t-\r -~À-ÖØ-öø-įı-ĸĺ-ňŊ-ž‐-‧€]")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 _seen: dict[str, bytes] = {}
+_before: dict[str, bytes] = {}
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -37,6 +38,7 @@ def _tokenizer(path: str) -> tuple:
         ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         _tokenizers[path] = tokenizer, ends
         _seen.clear()
+        _before.clear()
     return _tokenizers[path]
 
 
@@ -51,9 +53,13 @@ def _token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     odd = [k for k, w in enumerate(words) if w is None]
     ids = lambda e: np.array(e.ids, dtype="<u4").tobytes()
     whole = dict(zip(odd, map(ids, tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False))))
-    if len(_seen) > REMEMBERED:
-        _seen.clear()
+    global _seen, _before
+    if len(_seen) > REMEMBERED // 2:
+        _seen, _before = {}, _seen
     new = {w for own in words if own for w in own}.difference(_seen)
+    again = new.intersection(_before)
+    _seen.update((w, _before[w]) for w in again)
+    new -= again
     long = [w for w in new if len(w) > LONGEST]
     some = list(new.difference(long))
     lines = [" ".join(some[k : k + 200]) for k in range(0, len(some), 200)]
@@ -74,6 +80,7 @@ def _token_bytes(texts: list[str | None], path: str) -> list[bytes]:
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, chunk_chars: int = 2_000_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each text and end_id, cut after every `capacity` ids."""
+    python_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
     kind = docs.schema["doc_id"].dataType.simpleString()
 

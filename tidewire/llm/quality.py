@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import stage
+from tidewire.llm.common import python_batches, stage
 
 _MARKS = string.punctuation.encode()
 FEATURES = len(_MARKS) + 18
@@ -57,6 +57,7 @@ def features(text: str | None) -> np.ndarray:
 
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id, x: the features of every whole text."""
+    python_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -155,7 +156,7 @@ def fit_on(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mo
     """
     learn = rows.where(~held_out(F.col("doc_id"))).withColumn("order", F.xxhash64("doc_id"))
     good = labels.where("quality = 1").select("doc_id").distinct()
-    take = lambda df: np.array([list(r.x) for r in df.orderBy("order", "x").limit(most_rows).select("x").collect()], dtype=np.float64)
+    take = lambda df: np.array(df.orderBy("order", "x").limit(most_rows).select("x").toArrow()["x"].to_pylist(), dtype=np.float64)
     positive, unlabelled = take(learn.join(good, "doc_id", "left_semi")), take(learn)
     return fit(positive, unlabelled)[0] if len(positive) > 1 and len(unlabelled) > 1 else None
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import forest, stage
+from tidewire.llm.common import drop_staged, forest, python_batches, stage, whole_groups
 from tidewire.llm.components import connected_components
 from tidewire.llm.tiles import per_pair, tile_pairs
 
@@ -37,18 +38,39 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, words)]).astype(np.uint64).view(np.int64))
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the big-endian hashes each bit is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n).view(">i8")[0])
+
+
 def simhash(text: str | None, words: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint as a signed long; 0 for a text without words, or none."""
     ones, n = np.zeros(BITS, dtype=np.int64), 0
     for hashes in _shingles(text, words, seed):
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += _ones(hashes)
         n += len(hashes)
-    bits = np.packbits(ones * 2 > n)
-    return int(bits.view(">i8")[0])
+    return _majority(ones, n)
+
+
+def both_fingerprints(text: str | None, words: int = 5) -> tuple[int, int, np.ndarray]:
+    """The fingerprint of a text's distinct shingles, a second one from other bits of them, and the sorted hashes themselves."""
+    own = shingle_set(text, words)
+    ones, more = np.zeros(BITS, dtype=np.int64), np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(own), CHUNK):
+        h = own[at : at + CHUNK].view(np.uint64)
+        ones += _ones(h.astype(">u8"))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        more += _ones((h ^ (h >> np.uint64(32))).astype(">u8"))
+    return _majority(ones, len(own)), _majority(more, len(own)), own
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """id_col, fp: the signed 64-bit fingerprint of every whole text."""
+    python_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -232,171 +254,275 @@ def near_duplicates(docs: DataFrame, distance: int = 2, id_col: str = "doc_id",
     return prints.join(named, "fp").select(id_col, "fp", "component_id", "component")
 
 
-def one_of_each(docs: DataFrame, distance: int = 2, words: int = 3) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) of which one stands for each class: the one with the smallest id.
+def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether the Jaccard similarity of two sets is at least the fraction `least`."""
+    if min(len(a), len(b)) * least[1] < max(len(a), len(b)) * least[0]:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * least[1] >= (len(a) + len(b) - both) * least[0]
 
-    Of rows that share that id, the smallest fingerprint and then the smallest text stays. A class whose ids are all null
-    keeps one row.
-    """
-    near = stage(near_duplicates(docs, distance))
-    chosen = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.first("component_id").alias("__id"), F.min("fp").alias("__fp")).drop("component")
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = names.index("text")
+
+def _texts_sets(marked: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """content, shingles: the sets of the wanted contents (content), each from one of its texts."""
 
     def run(batches):
         for batch in batches:
-            fps = [simhash(t.as_py(), words) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*names, "__own_fp"])
+            found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["content", "shingles"])
 
-    rows = docs.mapInArrow(run, f"{schema}, `__own_fp` long")
-    kept = rows.join(chosen, (rows["__own_fp"] == chosen["__fp"]) & rows["doc_id"].eqNullSafe(chosen["__id"]))
-    first = F.row_number().over(Window.partitionBy("__own_fp").orderBy("text"))
-    return kept.withColumn("__rank", first).where("__rank = 1").select(*names)
+    texts = marked.join(wanted.distinct().hint("merge"), "content").groupBy("content").agg(F.min("text").alias("text"))
+    return texts.select("content", "text").mapInArrow(run, "content long, shingles array<long>")
 
 
-def _hits(pdf, distance: int, layout: list[list[int]], thresholds: list[int]):
-    """For whole pairs of tiles: the pairs of rows (i, j) within `distance`, of different components, each where its two rows first meet.
+class Search:
+    """How the distinct fingerprints of a table are searched: bits dealt to parts, thresholds, and how many rows stand in each cell.
 
-    Rows share up to dozens of keys; they count as meeting under their first part within its threshold and there under the key half-way.
+    A cell is a part, a key and a class of set sizes. Classes are RATIO wide; a set that is large enough to be similar to the
+    smallest of the next class stands there too, as a guest. There are at most parts * 2^width * classes cells, whatever the input.
     """
-    fp, comp, in_a = pdf["fp"].to_numpy(), pdf["comp"].to_numpy(), pdf["in_a"].to_numpy()
-    keys = [pdf[k].to_numpy() for k in ("part", "key", "tile_a", "tile_b")]
-    part, key, one = keys[0], keys[1], keys[2] == keys[3]
-    masks = [np.int64(np.uint64(sum(1 << b for b in p)).view(np.int64)) for p in layout]
-    new = np.ones(len(fp), dtype=bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    group = np.cumsum(new) - 1
-    end = (np.flatnonzero(new) + np.bincount(group))[group]
-    open_, shift = np.arange(len(fp)), 1
-    while len(open_ := open_[open_ + shift < end[open_]]):  # each row against the one `shift` places on
-        near = np.bitwise_count((fp[open_] ^ fp[open_ + shift]).view(np.uint64)) <= distance
-        i = open_[near]
-        j = i + shift
-        shift += 1
-        i, j = (x[(comp[i] != comp[j]) & (one[i] | (in_a[i] != in_a[j]))] for x in (i, j))
-        if not len(i):
-            continue
-        differ, first = fp[i] ^ fp[j], np.full(len(i), -1)
-        for k in reversed(range(len(layout))):
-            if thresholds[k] >= 0:
-                first[np.bitwise_count((differ & masks[k]).view(np.uint64)) <= thresholds[k]] = k
-        i, j = i[first == part[i]], j[first == part[i]]
-        x, y = (sum((((fp[r] >> np.int64(layout[k][b])) & 1) << b) * (part[i] == k) for k in range(len(layout)) for b in range(len(layout[k]))) for r in (i, j))
-        at, left = np.minimum(x, y), x ^ y
-        turns = (np.bitwise_count(left) + 1) // 2
-        while (turns > 0).any():
-            low = np.where(turns > 0, left & -left, 0)
-            at, left, turns = at ^ low, left ^ low, np.maximum(turns, 1) - 1
-        i, j = i[at == key[i]], j[at == key[i]]
-        if len(i):
-            yield i, j
-
-
-def probes(rows: DataFrame, layout: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """rows (with the column fp, a long) under every part and key where their fingerprints stand: keys within t bits share one within ceil(t / 2) of each."""
-    kept = list(rows.columns)
 
-    def run(batches):
-        for batch in batches:
-            fp = batch.column(kept.index("fp")).to_numpy()
-            for i, (part, t) in enumerate(zip(layout, thresholds)):
-                if t < 0:
-                    continue
-                masks = {0}
-                for _ in range((t + 1) // 2):
-                    masks |= {m ^ (1 << k) for m in masks for k in range(len(part))}
-                key = np.zeros(len(fp), dtype=np.int64)
-                for k, b in enumerate(part):
-                    key |= ((fp >> np.int64(b)) & np.int64(1)) << np.int64(k)
-                for m in sorted(masks):
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(fp), i, np.int32)), pa.array(key ^ np.int64(m))], names=[*kept, "part", "key"])
-
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", part int, key long")
+    #: Width of a class of set sizes; similar sets differ by less than that.
+    RATIO = 2.5
+    CLASSES = 24
+
+    def __init__(self, nodes: DataFrame, distance: int, parts: int, least: tuple[int, int], tile_rows: int):
+        self.distance, self.least, self.tile_rows = distance, least, tile_rows
+        self.bounds = np.ceil(self.RATIO ** np.arange(self.CLASSES)).astype(np.int64)
+        n, both = bit_statistics(nodes)
+        self.layout = group_bits(n, both, parts)
+        keys = F.explode(F.array(*(F.struct(F.lit(i).alias("part"), part_key(p, F.col("fp")).alias("key")) for i, p in enumerate(self.layout))))
+        kind = F.size(F.filter(F.array(*(F.lit(int(b)).cast("long") for b in self.bounds)), lambda b: b <= F.col("size")))
+        counted = nodes.select(kind.alias("kind"), keys.alias("k")).groupBy("k.part", "k.key", "kind").agg(F.count(F.lit(1)).alias("n")).toPandas()
+        self.own = [np.zeros((1 << len(p), self.CLASSES + 1), dtype=np.int64) for p in self.layout]
+        for i, own in enumerate(self.own):
+            rows = counted[counted.part == i]
+            own[rows.key.to_numpy(np.int64), rows.kind.to_numpy(np.int64)] = rows.n
+        budget = distance - parts + 1
+        most = -(-budget // parts) + 2
+        self.thresholds = allocate([self._costs(own, len(p), n, most) for own, p in zip(self.own, self.layout)], budget)
+        self.masks = [_ball(len(p), (t + 1) // 2) if t >= 0 else [] for p, t in zip(self.layout, self.thresholds)]
+        self.tiles = []
+        for own, masks in zip(self.own, self.masks):
+            here = sum((own[np.arange(len(own)) ^ m] for m in masks), np.zeros_like(own))
+            here[:, 1:] += here[:, :-1]  # guests: no more than the class below has
+            self.tiles.append(np.maximum(1, -(-here // tile_rows)).astype(np.int32))
+        del self.own
+
+    @staticmethod
+    def _costs(own: np.ndarray, width: int, n: float, most: int) -> list[float]:
+        """What a part costs at thresholds -1, 0, .. most: the pairs that meet in its cells, counted over all fingerprints, and the rows in them."""
+        at, table = np.arange(len(own)), own.astype(np.float64)
+        apart = [float(sum((table * table[at ^ m]).sum() for m in _shell(width, d))) / 2 for d in range(min(width, 2 * ((most + 1) // 2)) + 1)]
+        out = [0.0]
+        for t in range(most + 1):
+            r = (t + 1) // 2
+            meet = [sum(math.comb(d, x) * math.comb(width - d, y) for x in range(d + 1) for y in range(width - d + 1) if max(x, d - x) + y <= r) for d in range(len(apart))]
+            out.append(sum(p * m for p, m in zip(apart, meet)) + 10 * n * len(_ball(width, r)))
+        return out
+
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """rows (content, fp, more, comp long; size int) in every cell and pair of tiles where they stand: cell, pair, in_a, own, and the row."""
+        names = ["content", "fp", "more", "comp", "size"]
 
+        def run(batches):
+            for batch in batches:
+                content, fp, size = (batch.column(names.index(c)).to_numpy() for c in ("content", "fp", "size"))
+                kind = np.searchsorted(self.bounds, size, side="right")
+                guest = (kind < len(self.bounds)) & (size * self.least[1] >= self.bounds[np.minimum(kind, len(self.bounds) - 1)] * self.least[0])
+                rows_ = np.concatenate([np.arange(len(fp)), np.flatnonzero(guest)])
+                kinds = np.concatenate([kind, kind[guest] + 1])
+                own = np.arange(len(rows_)) < len(fp)
+                dealt = (content.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                for i, part in enumerate(self.layout):
+                    key = np.zeros(len(fp), dtype=np.int64)
+                    for k, b in enumerate(part):
+                        key |= ((fp >> np.int64(b)) & np.int64(1)) << np.int64(k)
+                    for m in self.masks[i]:
+                        at = key[rows_] ^ np.int64(m)
+                        n = self.tiles[i][at, kinds]
+                        pick = np.repeat(np.arange(len(rows_)), n)
+                        other = np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)
+                        tile = (dealt[rows_[pick]] % n[pick].astype(np.uint64)).astype(np.int64)
+                        a, b = np.minimum(tile, other), np.maximum(tile, other)
+                        cell = ((np.int64(i) << np.int64(40)) | (at[pick] << np.int64(8)) | kinds[pick]).astype(np.int64)
+                        row = pa.array(rows_[pick])
+                        arrays = [pa.array(cell), pa.array((a << 31) | b), pa.array(tile == a), pa.array(own[pick]), *(batch.column(names.index(c)).take(row) for c in names)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["cell", "pair", "in_a", "own", *names])
+
+        schema = "cell long, pair long, in_a boolean, own boolean, content long, fp long, more long, comp long, size int"
+        return rows.select(*names).mapInArrow(run, schema)
+
+    def may_link(self, pdf, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of rows of a cell can be similar: by the probed fingerprint, by the second one and by the sizes of their sets."""
+        fp, more, size, own = pdf
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        near = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= self.distance
+        near &= low * self.least[1] >= high * self.least[0]
+        near &= own[i] | own[j]
+        near[near] = np.bitwise_count((more[i[near]] ^ more[j[near]]).view(np.uint64)) <= self.distance + SLACK
+        return near
+
+
+#: Bits by which the second fingerprints of similar sets may differ beyond the distance of the first.
+SLACK = 6
+
+
+def _shell(width: int, t: int) -> list[int]:
+    return [sum(1 << b for b in bits) for bits in itertools.combinations(range(width), t)]
+
+
+def _ball(width: int, radius: int) -> list[int]:
+    return [m for t in range(radius + 1) for m in _shell(width, t)]
+
+
+def _trees(search: Search):
+    """Kernel over whole cells: candidate pairs that join what the candidates of a cell join, as a forest: a row less than members.
+
+    All rows are held against the first of the cell; what lies near it is joined to it, and only the other rows are compared one by
+    one, so that a large group of near copies takes time in proportion to its size.
+    """
 
-def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
-    """Whether the Jaccard similarity of two sets is at least the fraction `least`."""
-    if min(len(a), len(b)) * least[1] < max(len(a), len(b)) * least[0]:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * least[1] >= (len(a) + len(b) - both) * least[0]
+    def kernel(pdf):
+        import pandas as pd
+
+        content, comp, in_a = (pdf[c].to_numpy() for c in ("content", "comp", "in_a"))
+        group = _groups(pdf["cell"].to_numpy(), pdf["pair"].to_numpy())
+        columns = [pdf[c].to_numpy() for c in ("fp", "more", "size", "own")]
+        begin = (np.cumsum(np.bincount(group)) - np.bincount(group))[group]
+        every = np.arange(len(group))
+        close = (begin != every) & search.may_link(columns, every, begin)
+        order = np.lexsort((~(close | (begin == every)), group))
+        content, comp, in_a, close = content[order], comp[order], in_a[order], close[order]
+        columns = [c[order] for c in columns]
+        joined = np.flatnonzero(close)
+        out = [(content[joined], content[begin[joined]])]
+        root = every.copy()
+        root[joined] = begin[joined]
+        rest, shift = np.flatnonzero(~close & (begin != every)), 1
+        while len(rest := rest[rest - shift >= begin[rest]]):
+            before = rest - shift
+            hit = (root[rest] != root[before]) & search.may_link(columns, rest, before)
+            x, y = rest[hit], before[hit]
+            kept = []
+            for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+                p, q = _top(root, p), _top(root, q)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    kept.append(k)
+            out.append((content[x[kept]], content[y[kept]]))
+            shift += 1
+        a, b = (np.concatenate(c) for c in zip(*out))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b]
+
+    return kernel
+
+
+def _top(root: np.ndarray, k: int) -> int:
+    while root[k] != k:
+        root[k] = k = int(root[root[k]])
+    return k
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Numbers the runs of equal keys."""
+    new = np.ones(len(keys[0]), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.cumsum(new) - 1
+
+
+def _open_pairs(search: Search):
+    """Rows of whole cells that can link: (i, j) of different components, in pieces."""
+
+    def pairs(pdf):
+        comp, in_a, pair = (pdf[c].to_numpy() for c in ("comp", "in_a", "pair"))
+        columns = [pdf[c].to_numpy() for c in ("fp", "more", "size", "own")]
+        group = _groups(pdf["cell"].to_numpy(), pair)
+        end = np.cumsum(np.bincount(group))[group]
+        one = (pair >> 31) == (pair & ((1 << 31) - 1))
+        open_, shift = np.arange(len(group)), 1
+        while len(open_ := open_[open_ + shift < end[open_]]):
+            j = open_ + shift
+            hit = (comp[open_] != comp[j]) & (one[open_] | (in_a[open_] != in_a[j])) & search.may_link(columns, open_, j)
+            if hit.any():
+                yield open_[hit], j[hit]
+            shift += 1
 
+    return pairs
 
-def _candidates(*search):
-    """Kernel over pairs of tiles: the rows that have a pair to be verified."""
+
+def _candidates(search: Search):
+    """Kernel: the rows that have a pair to be verified."""
+    pairs = _open_pairs(search)
 
     def kernel(pdf):
         open_ = np.zeros(len(pdf), dtype=bool)
-        for i, j in _hits(pdf, *search):
+        for i, j in pairs(pdf):
             open_[i] = open_[j] = True
-        return pdf[open_][["part", "key", "tile_a", "tile_b", "in_a", "content", "fp", "comp"]]
+        return pdf[open_]
 
     return kernel
 
 
-def _verified(least: tuple[int, int], *search):
-    """Kernel over pairs of tiles with the sets: links between similar contents, none where others join the two already."""
+def _verified(search: Search):
+    """Kernel over cells with the sets: links between similar contents, none where others join the two already."""
+    pairs = _open_pairs(search)
 
     def kernel(pdf):
         import pandas as pd
 
         content, sets = pdf["content"].to_numpy(), pdf["shingles"].to_numpy()
-        root = {c: c for c in pdf["comp"]}
-
-        def top(c):
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        comp, out = pdf["comp"].to_numpy(), []
-        for i, j in _hits(pdf, *search):
+        names, root = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        top, out = np.arange(len(names)), []
+        for i, j in pairs(pdf):
             for x, y in zip(i.tolist(), j.tolist()):
-                a, b = top(comp[x]), top(comp[y])
-                if a != b and similar(sets[x], sets[y], least):
-                    root[a] = b
+                a, b = _top(top, root[x]), _top(top, root[y])
+                if a != b and similar(sets[x], sets[y], search.least):
+                    top[a] = b
                     out.append((content[x], content[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return kernel
 
 
-def similar_links(marked: DataFrame, words: int, distance: int, least: tuple[int, int], parts: int, tile_rows: int = 1024) -> DataFrame:
-    """a, b: links between contents (content, fp, text) that join all whose fingerprints lie within `distance` and whose sets are similar.
+_CELLS = ["cell", "pair"]
 
-    First each content is held against one other of each of its buckets, which joins most of a large group of near copies by
-    a few links a member. Then the pairs of a bucket that are not joined yet are verified, in tiles.
-    """
 
-    def sets(wanted: DataFrame) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["content", "shingles"])
+def _per_cell(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    return rows.repartition(*_CELLS).sortWithinPartitions(*_CELLS).mapInPandas(whole_groups(kernel, _CELLS, least_rows=1 << 15), schema)
 
-        texts = marked.join(wanted.distinct(), "content").groupBy("content").agg(F.min("text").alias("text"))
-        return texts.select("content", "text").mapInArrow(run, "content long, shingles array<long>")
 
-    nodes = stage(marked.where("content != 0").select("content", "fp").distinct())
-    n, both = bit_statistics(nodes)
-    layout = group_bits(n, both, parts)
-    thresholds = allocate(estimated_costs(nodes, n, both, layout, distance), distance - parts + 1)
-    spread = probes(nodes, layout, thresholds)
-    anchors = spread.groupBy("part", "key").agg(F.min(F.struct("content", "fp")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = spread.join(anchors.hint("merge"), ["part", "key"]).where((F.col("content") != F.col("to.content")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("to.fp"))) <= distance))
-    pairs = stage(near.select(F.col("content").alias("a"), F.col("to.content").alias("b")).distinct())
-    held = stage(sets(pairs.select(F.col("a").alias("content")).union(pairs.select("b"))))
+def similar_links(marked: DataFrame, words: int, distance: int, least: tuple[int, int], parts: int, tile_rows: int = 4096) -> DataFrame:
+    """a, b: links between contents (content, fp, more, size, text) that join all whose fingerprints lie within `distance` and whose sets are similar.
+
+    The candidates of each cell leave it as a forest, whose pairs are verified by their sets. Where all pairs of a tree hold, so does every
+    link among its members, and nothing is left to compare. The members of trees with a pair that doesn't hold are searched
+    again, and of them all pairs that are not joined yet are verified.
+    """
+    nodes = stage(marked.where("content != 0").groupBy("content").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("size").alias("size")))
+    search = Search(nodes, distance, parts, least, tile_rows)
+    found = stage(_per_cell(search.spread(nodes.withColumn("comp", F.col("content"))), _trees(search), "a long, b long"))
+    pairs = stage(found.distinct())
+    texts = marked.select("content", "text")
+    held = stage(_texts_sets(texts, pairs.select(F.col("a").alias("content")).union(pairs.select("b")), words))
     sides = pairs.join(held.withColumnsRenamed({"content": "a", "shingles": "x"}).hint("merge"), "a").join(held.withColumnsRenamed({"content": "b", "shingles": "y"}).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    first = stage(sides.where(common * least[1] >= (F.size("x") + F.size("y") - common) * least[0]).select("a", "b"))
-
-    joined = connected_components(first).withColumnRenamed("node", "content")
-    grouped = stage(nodes.join(joined, "content", "left").select("content", "fp", F.coalesce("component", "content").alias("comp")))
-    keys, search = ["part", "key"], (distance, layout, thresholds)
-    schema = "part int, key long, tile_a int, tile_b int, in_a boolean, content long, fp long, comp long"
-    open_ = stage(per_pair(tile_pairs(probes(grouped, layout, thresholds), keys, "content", tile_rows), keys, _candidates(*search), schema))
-    full = open_.join(sets(open_.select("content")).hint("merge"), "content")
-    return first.unionByName(per_pair(full, keys, _verified(least, *search), "a long, b long"))
+    judged = stage(sides.select("a", "b", (common * least[1] >= (F.size("x") + F.size("y") - common) * least[0]).alias("holds")))
+    drop_staged(found, pairs, held)
+    first = judged.where("holds").select("a", "b")
+    if judged.where("NOT holds").isEmpty():
+        return first
+
+    trees = stage(connected_components(judged)).withColumnsRenamed({"node": "content", "component": "tree"})
+    doubtful = judged.where("NOT holds").select(F.col("a").alias("content")).join(trees, "content").select("tree").distinct()
+    joined = connected_components(first).withColumnsRenamed({"node": "content", "component": "joined"})
+    members = trees.join(doubtful, "tree").select("content")
+    again = stage(nodes.join(members, "content").join(joined, "content", "left").withColumn("comp", F.coalesce("joined", "content")).select("content", "fp", "more", "comp", "size"))
+    search = Search(again, distance, parts, least, tile_rows // 4)
+    schema = "cell long, pair long, in_a boolean, own boolean, content long, fp long, more long, comp long, size int"
+    open_ = stage(_per_cell(search.spread(again), _candidates(search), schema))
+    full = open_.join(_texts_sets(texts, open_.select("content"), words).hint("merge"), "content")
+    full = full.repartition(*_CELLS).sortWithinPartitions(*_CELLS)  # rows with whole sets: a cell at a time
+    return first.unionByName(full.mapInPandas(whole_groups(_verified(search), _CELLS), "a long, b long"))
 
 
 def one_of_similar(docs: DataFrame, words: int = 5, distance: int = 14, least: tuple[int, int] = (4, 5), parts: int = 5) -> DataFrame:
@@ -404,30 +530,34 @@ def one_of_similar(docs: DataFrame, words: int = 5, distance: int = 14, least: t
 
     Texts are linked where the Jaccard similarity of their distinct shingles of `words` words is at least the fraction `least`:
     always where the shingles are the same, else where their fingerprints lie within `distance` bits. Of rows that share that id the
-    smallest fingerprint, content and text stays. Texts without words are one class. An empty table gives an empty result.
+    smallest fingerprint, content and text stays, of rows that repeat all of these any one. Texts without words are one class.
+    An empty table gives an empty result.
     """
+    python_batches(docs.sparkSession)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = names.index("text")
+    own = {"__fp": pa.int64(), "__more": pa.int64(), "__content": pa.int64(), "__size": pa.int32(), "__tie": pa.int64()}
 
     def run(batches):
         for batch in batches:
             found = []
             for t in batch.column(at):
-                own = shingle_set(t.as_py(), words)
-                found.append((simhash(t.as_py(), words), (xxhash.xxh64_intdigest(own.tobytes()) | 1) - (1 << 63) if len(own) else 0))
-            fps, contents = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64()), pa.array(contents, pa.int64())], names=[*names, "__fp", "__content"])
-
-    marked = stage(docs.mapInArrow(run, f"{schema}, `__fp` long, `__content` long"))
-    links = similar_links(marked.select(F.col("__content").alias("content"), F.col("__fp").alias("fp"), "text"), words, distance, least, parts)
+                text = t.as_py()
+                fp, more, distinct = both_fingerprints(text, words)
+                content = (xxhash.xxh64_intdigest(distinct.tobytes()) | 1) - (1 << 63) if len(distinct) else 0
+                found.append((fp, more, content, len(distinct), xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)))
+            columns = zip(*found) if found else [()] * len(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, own.values()))], names=[*names, *own])
+
+    marked = stage(docs.mapInArrow(run, schema + ", `__fp` long, `__more` long, `__content` long, `__size` int, `__tie` long").withColumn("__row", F.monotonically_increasing_id()))
+    inner = {"__content": "content", "__fp": "fp", "__more": "more", "__size": "size"}
+    links = similar_links(marked.select(*(F.col(a).alias(b) for a, b in inner.items()), "text"), words, distance, least, parts)
     classes = stage(connected_components(links)).withColumnsRenamed({"node": "__content", "component": "__class"})
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__fp", "__content")
-    firsts = marked.select("doc_id", "__fp", "__content").distinct().join(classes, "__content", "left")
-    chosen = firsts.groupBy(F.coalesce("__class", "__content")).agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.__fp").alias("__f"), F.col("f.__content").alias("__c"))
-    rest = [c for c in names if c not in ("doc_id", "text")]
-    kept = marked.join(chosen, (marked["__content"] == chosen["__c"]) & (marked["__fp"] == chosen["__f"]) & marked["doc_id"].eqNullSafe(chosen["__id"]))
-    return kept.groupBy("__content").agg(F.min(F.struct("doc_id", "text", *rest)).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in names))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__fp", "__content", "__tie", "__row")
+    firsts = marked.groupBy("__content").agg(F.min(order).alias("f")).join(classes, "__content", "left")
+    chosen = firsts.groupBy(F.coalesce("__class", "__content")).agg(F.min("f").alias("f")).select(F.col("f.__row").alias("__row"))
+    return marked.join(chosen.hint("merge"), "__row").select(*names)
 
 
 def hex_fingerprint(fp: Column) -> Column:
