@@ -234,9 +234,26 @@ def test_sketch_fingerprints_match_brute_force(spark):
 
 
 def test_peeling_recovers_or_reports_failure(spark):
-    sets = [(0, 8, list(range(5)), list(range(3, 8))), (1, 8, list(range(400)), []), (2, 600, list(range(400)), []), (3, 8, [1], [1])]
-    df = spark.createDataFrame(sets, "pair long, third int, a array<long>, b array<long>")
-    got = {r.pair: r for r in sketches.decode(df, sketches.ROUNDS).collect()}
+    rows = [(0, 8, [1, 2, 3, 4], [3, 5, 6, 7] + []), (1, 8, list(range(100)), list(range(100, 200))), (2, 700, list(range(400)), []), (3, 8, [1, 2], [1, 2])]
+    df = spark.createDataFrame(rows, "row long, third int, a array<long>, b array<long>").withColumn("which", F.lit(0)).repartition("row")
+    got = {r.row: r for r in sketches.decode(df, sketches.ROUNDS).collect()}
     assert got[0].ok and (got[0].only_a, got[0].only_b) == (3, 3) and not got[1].ok and got[2].ok and got[2].only_a == 400 and 3 not in got
-    near = {r.pair: r.likeness for r in sketches.likeness(df.drop("third")).collect()}
-    assert near == {0: 0.25, 1: 0.0, 2: 0.0, 3: 1.0}
+    pairs = df.select("row", F.array(F.struct("which", "a", "b"), F.struct(F.lit(1).alias("which"), F.col("b").alias("a"), F.col("a").alias("b"))).alias("pairs"))
+    found = {(r.row, r.which): (r.only_a, r.only_b) for r in sketches.differences(pairs).collect()}
+    assert found == {(0, 0): (3, 3), (0, 1): (3, 3), (1, 0): (100, 100), (1, 1): (100, 100), (2, 0): (400, 0), (2, 1): (0, 400)}
+
+
+def test_neighbours_of_repeated_and_null_ids(spark):
+    docs = odd_documents(spark).unionByName(odd_documents(spark).where("doc_id IS NULL OR doc_id % 9 = 4"))
+    alike = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    parts = lambda t: set(re.findall(r"[^\n]{1,200}", t))
+    tied = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).collect()
+    order = sorted(tied, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.tie))
+    want = []
+    for k, r in enumerate(order):
+        t, after = r.text, order[(k + 1) % len(order)].text
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((str(r.doc_id), len(t), hashlib.sha256(edited.encode()).hexdigest(), round(alike(parts(t), parts(edited)), 9), round(alike(parts(t), parts(after)), 9)))
+    for n in (1, 7):
+        got = sketches.fingerprint_versions(docs.repartition(n)).collect()
+        assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)

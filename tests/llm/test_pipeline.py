@@ -74,7 +74,7 @@ def test_near_copies_by_five_words_leave_one(spark):
     assert got == sorted(map(min, want.values()))
 
 
-def test_tiles_verify_every_pair(spark):
+def test_tiles_verify_every_pair(spark, monkeypatch):
     r = random.Random(9)
     base = [words(r, 150).split() for _ in range(6)]
     rows = [(k, " ".join([*(b := base[k % 6])[: 5 + k], f"y{k}", *b[6 + k :]])) for k in range(60)]
@@ -95,5 +95,8 @@ def test_tiles_verify_every_pair(spark):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     want = {(k, top(k)) for k in root if any(top(o) == top(k) for o in root if o != k)}
-    links = [{(x.node, x.component) for x in components.connected_components(simhash.similar_links(marked, 5, 14, (4, 5), 5, tile_rows=n)).collect()} for n in (4, 1024)]
-    assert links[0] == links[1] == want and len({c for _, c in want}) >= 6
+    links = []
+    for tile, whole in ((4, 0), (1024, 32), (1024, 8192)):
+        monkeypatch.setattr(simhash, "WHOLE_TREE", whole)
+        links.append({(x.node, x.component) for x in components.connected_components(simhash.similar_links(marked, 5, 14, (4, 5), 5, tile_rows=tile)).collect()})
+    assert links[0] == links[1] == links[2] == want and len({c for _, c in want}) >= 6

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import drop_staged, forest, python_batches, stage, whole_groups
+from tidewire.llm.common import forest, python_batches, stage, whole_groups
 from tidewire.llm.components import connected_components
 from tidewire.llm.tiles import per_pair, tile_pairs
 
@@ -349,8 +349,7 @@ class Search:
                         arrays = [pa.array(cell), pa.array((a << 31) | b), pa.array(tile == a), pa.array(own[pick]), *(batch.column(names.index(c)).take(row) for c in names)]
                         yield pa.RecordBatch.from_arrays(arrays, names=["cell", "pair", "in_a", "own", *names])
 
-        schema = "cell long, pair long, in_a boolean, own boolean, content long, fp long, more long, comp long, size int"
-        return rows.select(*names).mapInArrow(run, schema)
+        return rows.select(*names).mapInArrow(run, _CELL_ROWS)
 
     def may_link(self, pdf, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs of rows of a cell can be similar: by the probed fingerprint, by the second one and by the sizes of their sets."""
@@ -363,6 +362,9 @@ class Search:
         return near
 
 
+_CELL_ROWS = "cell long, pair long, in_a boolean, own boolean, content long, fp long, more long, comp long, size int"
+#: Members up to which a tree of candidates is compared as it is, in up to 16 tiles; a matter of layout alone.
+WHOLE_TREE = 8192
 #: Bits by which the second fingerprints of similar sets may differ beyond the distance of the first.
 SLACK = 6
 
@@ -495,8 +497,8 @@ def similar_links(marked: DataFrame, words: int, distance: int, least: tuple[int
     """a, b: links between contents (content, fp, more, size, text) that join all whose fingerprints lie within `distance` and whose sets are similar.
 
     The candidates of each cell leave it as a forest, whose pairs are verified by their sets. Where all pairs of a tree hold, so does every
-    link among its members, and nothing is left to compare. The members of trees with a pair that doesn't hold are searched
-    again, and of them all pairs that are not joined yet are verified.
+    link among its members, and nothing is left to compare. Among the members of trees with a pair that doesn't hold, all
+    candidates that are not joined yet are verified.
     """
     nodes = stage(marked.where("content != 0").groupBy("content").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("size").alias("size")))
     search = Search(nodes, distance, parts, least, tile_rows)
@@ -507,22 +509,28 @@ def similar_links(marked: DataFrame, words: int, distance: int, least: tuple[int
     sides = pairs.join(held.withColumnsRenamed({"content": "a", "shingles": "x"}).hint("merge"), "a").join(held.withColumnsRenamed({"content": "b", "shingles": "y"}).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     judged = stage(sides.select("a", "b", (common * least[1] >= (F.size("x") + F.size("y") - common) * least[0]).alias("holds")))
-    drop_staged(found, pairs, held)
     first = judged.where("holds").select("a", "b")
     if judged.where("NOT holds").isEmpty():
         return first
 
     trees = stage(connected_components(judged)).withColumnsRenamed({"node": "content", "component": "tree"})
     doubtful = judged.where("NOT holds").select(F.col("a").alias("content")).join(trees, "content").select("tree").distinct()
+    sized = trees.groupBy("tree").agg(F.count(F.lit(1)).alias("members")).join(doubtful, "tree")
     joined = connected_components(first).withColumnsRenamed({"node": "content", "component": "joined"})
-    members = trees.join(doubtful, "tree").select("content")
-    again = stage(nodes.join(members, "content").join(joined, "content", "left").withColumn("comp", F.coalesce("joined", "content")).select("content", "fp", "more", "comp", "size"))
-    search = Search(again, distance, parts, least, tile_rows // 4)
-    schema = "cell long, pair long, in_a boolean, own boolean, content long, fp long, more long, comp long, size int"
-    open_ = stage(_per_cell(search.spread(again), _candidates(search), schema))
-    full = open_.join(_texts_sets(texts, open_.select("content"), words).hint("merge"), "content")
-    full = full.repartition(*_CELLS).sortWithinPartitions(*_CELLS)  # rows with whole sets: a cell at a time
-    return first.unionByName(full.mapInPandas(whole_groups(_verified(search), _CELLS), "a long, b long"))
+    again = nodes.join(trees, "content").join(sized, "tree").join(joined, "content", "left")
+    again = stage(again.select("tree", "members", "content", "fp", "more", F.coalesce("joined", "content").alias("comp"), "size"))
+    # Candidates share a tree, so the pairs of a small tree are simply all of its own; a large one is searched by cells once more.
+    small = tile_pairs(again.where(F.col("members") <= WHOLE_TREE), ["tree"], "content", WHOLE_TREE // 16)
+    pair = (F.shiftleft(F.col("tile_a").cast("long"), 31) + F.col("tile_b")).alias("pair")
+    rows = small.select(F.col("tree").alias("cell"), pair, "in_a", F.lit(True).alias("own"), "content", "fp", "more", "comp", "size")
+    links = first
+    for part in (rows, Search(again.where(F.col("members") > WHOLE_TREE), distance, parts, least, tile_rows // 4).spread(again.where(F.col("members") > WHOLE_TREE))):
+        open_ = stage(_per_cell(part, _candidates(search), _CELL_ROWS))
+        if open_.isEmpty():
+            continue
+        full = open_.join(held.hint("merge"), "content").repartition(*_CELLS).sortWithinPartitions(*_CELLS)  # rows with whole sets: a cell at a time
+        links = links.unionByName(full.mapInPandas(whole_groups(_verified(search), _CELLS), "a long, b long"))
+    return links
 
 
 def one_of_similar(docs: DataFrame, words: int = 5, distance: int = 14, least: tuple[int, int] = (4, 5), parts: int = 5) -> DataFrame:

@@ -13,8 +13,6 @@ PARAGRAPH = r"[^\n]{1,200}"
 BASE_CELLS = 24
 #: Rounds of peeling, each over one of the three tables, for the base sketch and for the larger ones.
 BASE_ROUNDS, ROUNDS = 6, 15
-#: Rows that a range of ids should hold, and the most ranges (beyond that they grow).
-RANGE_ROWS, MOST_RANGES = 1000, 16_384
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -68,86 +66,76 @@ def _peel_round(cells: DataFrame, keys: list[str], table: int) -> DataFrame:
 
 
 def decode(pairs: DataFrame, rounds: int) -> DataFrame:
-    """pair, ok, only_a, only_b from pairs (pair, third, a, b: arrays of distinct digests, third: cells in each of three tables).
+    """row, which, ok, only_a, only_b from pairs (row, which, third, a, b: arrays of distinct digests, third: cells in each of three tables).
 
     The sketch of b is subtracted from that of a, cell by cell, and the difference is peeled. ok: every cell came out
-    empty, so that only_a and only_b are the numbers of digests that the other side lacks.
+    empty, so that only_a and only_b are the numbers of digests that the other side lacks. Pairs with equal digests leave
+    no cell and are not in the result. Expects pairs partitioned by row, and then adds no shuffle.
     """
-    keys = ["pair", "third"]
-    rows = pairs.repartition("pair")
+    keys = ["row", "which", "third"]
     signed = F.concat(F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("n"))), F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("n"))))
-    each = rows.select(*keys, F.explode(signed).alias("s")).select(*keys, "s.*")
+    each = pairs.select(*keys, F.explode(signed).alias("s")).select(*keys, "s.*")
     entries = each.select(*keys, F.explode(F.array(*(_entry(c, F.col("n"), F.col("d"), _check(F.col("d"))) for c in _cells(F.col("d"), F.col("third"))))).alias("e")).select(*keys, "e.*")
     cells = _folded(entries, keys)
     for r in range(rounds):
         cells = _peel_round(cells, keys, r % 3)
     count = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).cast("int")
-    return cells.groupBy("pair").agg((F.max("cell") < 0).alias("ok"), count(-1).alias("only_a"), count(-2).alias("only_b"))
+    return cells.groupBy("row", "which").agg((F.max("cell") < 0).alias("ok"), count(-1).alias("only_a"), count(-2).alias("only_b"))
 
 
-def likeness(pairs: DataFrame, retries: int = 6) -> DataFrame:
-    """pair, likeness (shared digests over all, 1 for two empty sets) from pairs (pair, a, b).
+def differences(rows: DataFrame, base_cells: int = BASE_CELLS) -> DataFrame:
+    """row, which, only_a, only_b from rows (row, pairs: array of (which, a, b)): how many digests each side of a pair has alone; no row where none.
 
     The base sketch is tried first. Where its difference can't be peeled, a larger one is made, of twice the cells that the
-    digests of both could need, and then of four times the last; what is left after all retries (none in practice) is
-    compared digest by digest.
+    digests of both could need, and then of twice the last, until every difference has been peeled.
     """
-    # Pairs with equal digests leave no cell at all, so they are not in decode()'s result.
-    open_ = pairs.withColumn("third", F.lit(BASE_CELLS // 3))
-    done = None
-    for attempt in range(retries):
-        got = stage(decode(open_, ROUNDS if attempt else BASE_ROUNDS))
-        joined = open_.join(got, "pair", "left")
-        solved = joined.where(F.coalesce("ok", F.lit(True)))
-        both = F.size("a") - F.coalesce("only_a", F.lit(0))
-        result = solved.select("pair", F.when(F.size("a") + F.size("b") == 0, 1.0).otherwise(both / (F.size("a") + F.coalesce("only_b", F.lit(0)))).alias("likeness"))
-        done = result if done is None else done.unionByName(result)
-        if got.where("NOT ok").isEmpty():
-            return done
-        bound = F.ceil((F.size("a") + F.size("b")) * 2 / 3 + 4).cast("int")
-        larger = F.lit(4) * F.col("third") if attempt else bound
-        open_ = stage(joined.where("NOT ok").select("pair", "a", "b", larger.cast("int").alias("third")))
-    shared = F.size(F.array_intersect("a", "b"))
-    return done.unionByName(open_.select("pair", (shared / (F.size("a") + F.size("b") - shared)).alias("likeness")))
-
-
-def _range_of(id_: Column, bounds: list[int]) -> Column:
-    """How many bounds lie below an id, found among every n-th bound first and then in between."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    rows = [bounds[k : k + step] for k in range(0, len(bounds), step)]
-    count = lambda cells: F.size(F.filter(cells, lambda b: b < id_))
-    row = count(F.array(*(F.lit(r[-1]).cast("long") for r in rows)))
-    cells = F.try_element_at(F.array(*(F.array(*(F.lit(b).cast("long") for b in r)) for r in rows)), (row + 1).cast("int"))
-    return F.when(row < len(rows), row * step + count(cells)).otherwise(len(bounds))
-
-
-def _with_next(docs: DataFrame, digests: str) -> DataFrame:
-    """Adds next_text and next_digests: of the row with the next smaller id, after the last of the first.
-
-    Ids are cut into ranges of RANGE_ROWS by quantiles over all rows, so the number of ranges grows with the table; neighbours
-    meet within a range, and the row at the end of a range gets the first row of the next. Ties go by a hash of the text; null ids come last.
+    each = rows.repartition("row").select("row", F.explode("pairs").alias("p")).select("row", "p.*")
+    got = stage(decode(each.withColumn("third", F.lit(base_cells // 3)), BASE_ROUNDS))
+    done = got.where("ok")
+    failed, factor = got.where("NOT ok"), 1
+    if failed.isEmpty():
+        return done.drop("ok")
+    bound = F.ceil((F.size("a") + F.size("b")) * 2 / 3 + 4).cast("int")
+    open_ = stage(rows.select("row", F.explode("pairs").alias("p")).select("row", "p.*").join(failed.select("row", "which").hint("merge"), ["row", "which"]).withColumn("bound", bound))
+    while True:
+        got = stage(decode(open_.withColumn("third", F.col("bound") * factor).repartition("row"), ROUNDS))
+        done = done.unionByName(got.where("ok"))
+        failed, factor = got.where("NOT ok"), factor * 2
+        if failed.isEmpty():
+            return done.drop("ok")
+        open_ = stage(open_.join(failed.select("row", "which").hint("merge"), ["row", "which"]))
+
+
+#: What tells a document: its id (0 for null), whether that is null, and a hash of its text.
+_KEY = ["kid", "knull", "tie"]
+
+
+def _with_next(docs: DataFrame) -> DataFrame:
+    """_KEY, n, text, tail, next_text_digests of each distinct row of docs (doc_id, text), n times there: what the edit of its last copy takes from the next document.
+
+    Keys alone are put in order, by ranges over all tasks; the last of each range and the first of the next one are neighbours too.
+    Each text then moves once, to its key, and from there the part that the document before it needs, to that one.
     """
-    tie = F.xxhash64("text")
-    ranges = min(MOST_RANGES, docs.count() // RANGE_ROWS + 1)
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges + 1)], 10 * ranges)).first()[0] or []
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(_range_of(F.col("doc_id"), sorted(set(bounds)))))
-    order = [F.col("doc_id").desc_nulls_last(), tie.desc_nulls_last()]
+    named = docs.select(F.coalesce("doc_id", F.lit(0)).alias("kid"), F.col("doc_id").isNull().cast("int").alias("knull"), F.xxhash64("text").alias("tie"), "text")
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    keys = named.select(*_KEY, F.length("text").alias("n_chars")).groupBy(*_KEY).agg(F.max("n_chars").alias("n_chars")).select(*_KEY, half.alias("half"))
+    order = [F.col("knull").asc(), F.col("kid").desc(), F.col("tie").desc()]
+    ranged = stage(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    own = F.struct(*_KEY, "half")
     within = Window.partitionBy("range").orderBy(*order)
-    row = F.struct("text", digests)
-    led = ranged.withColumns({"__next": F.lead(row).over(within), "__last": F.lead(F.lit(1)).over(within).isNull()})
+    # A row a range: its last key, which comes before the first of the next range that has any; the very last one before the very first.
+    ends = ranged.groupBy("range").agg(F.max(F.struct("knull", -F.col("kid"), F.bitwise_not("tie"), own.alias("own")))["own"].alias("last"))
+    by_range = Window.orderBy("range")
+    ends = ends.select(F.col("range").alias("__range"), F.coalesce(F.lag("last").over(by_range), F.last("last").over(by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("end"))
+    led = ranged.withColumn("before", F.lag(own).over(within))
+    led = led.join(ends, (F.col("range") == F.col("__range")) & F.col("before").isNull(), "left").withColumn("before", F.coalesce("before", "end"))
+    befores = led.select(*_KEY, *(F.col("before")[c].alias(f"b_{c}") for c in (*_KEY, "half")))
 
-    # The first row of each range: at most MOST_RANGES + 2 rows, so their ids can be broadcast.
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
-    of_top = ranged.join(F.broadcast(tops.withColumnRenamed("range", "top_range")), (F.col("range") == F.col("top_range")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = of_top.withColumn("rank", F.row_number().over(within)).where("rank = 1").select("range", row.alias("__head"))
-    down = Window.orderBy(F.col("range").desc())
-    first = F.first("__head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select(F.col("range").alias("__range"), F.coalesce(F.lead("__head").over(down), first).alias("__head"))
-    joined = led.join(heads, F.col("__last") & (F.col("range") == F.col("__range")), "left")
-    follow = F.coalesce("__next", "__head")
-    return joined.select(*docs.columns, follow["text"].alias("next_text"), follow[digests].alias("next_digests"))
+    whole = named.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    # Both sides use all columns of `whole`, so that they share its one shuffle.
+    sent = whole.join(befores.hint("merge"), _KEY).where("n > 0")
+    sent = sent.select(*(F.col(f"b_{c}").alias(c) for c in _KEY), F.substring("text", F.lit(1), F.col("b_half")).alias("tail"), paragraph_digests(F.col("text")).alias("next_digests"))
+    return whole.join(sent.hint("merge"), _KEY)
 
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
@@ -156,24 +144,34 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     The edited text keeps the first half and ends with as many characters of the next document (by descending id, after
     the last the first). A fingerprint is the number of distinct paragraph digests and the base sketch of them; a likeness is the
     share of digests that two sketches have in common, from their peeled difference. A null text counts as empty; two texts without
-    paragraphs have likeness 1. Null ids come last, tied ids go by a hash of the text, and rows that repeat keep a result each.
-    Other columns are not used. An empty table gives an empty result.
+    paragraphs have likeness 1. Null ids come last and tied ids go by a hash of the text. Rows that repeat follow each other and keep a
+    result each: of n copies n - 1 have an equal one next. Other columns are not used. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("digests", paragraph_digests(F.col("text")))
+    paired = _with_next(texts).withColumns({"n_chars": F.length("text").cast("long"), "digests": paragraph_digests(F.col("text"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    paired = _with_next(texts, "digests").withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))
-    versions = paired.withColumn("edited", edited).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", paragraph_digests(F.col("edited")).alias("edited_digests"), "next_digests")
+    last = F.struct(F.lit(1).cast("long").alias("copies"), "tail", "next_digests")
+    others = F.struct((F.col("n") - 1).alias("copies"), F.substring("text", F.lit(1), half).alias("tail"), F.col("digests").alias("next_digests"))
+    each = paired.withColumn("v", F.explode(F.when(F.col("n") > 1, F.array(last, others)).otherwise(F.array(last))))
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("v.tail"))
+    doc_id = F.when(F.col("knull") == 0, F.col("kid")).alias("doc_id")
+    versions = each.withColumn("edited", edited).select(F.monotonically_increasing_id().alias("row"), doc_id, F.col("v.copies").alias("copies"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", paragraph_digests(F.col("edited")).alias("edited_digests"), F.col("v.next_digests").alias("next_digests"))
     kept = stage(versions)
 
-    pair = lambda k, other: F.struct((F.col("row") * 2 + k).alias("pair"), F.col("digests").alias("a"), F.col(other).alias("b"))
-    pairs = kept.select(F.explode(F.array(pair(0, "edited_digests"), pair(1, "next_digests"))).alias("p")).select("p.*")
-    near = likeness(pairs).select(F.shiftright("pair", 1).alias("row"), F.when(F.col("pair") % 2 == 0, F.col("likeness")).alias("e"), F.when(F.col("pair") % 2 == 1, F.col("likeness")).alias("x"))
-    near = near.groupBy("row").agg(F.max("e").alias("near_edited"), F.max("x").alias("near_next"))
+    pair = lambda k, other: F.struct(F.lit(k).alias("which"), F.col("digests").alias("a"), F.col(other).alias("b"))
+    found = differences(kept.select("row", F.array(pair(0, "edited_digests"), pair(1, "next_digests")).alias("pairs")))
+    alone = lambda k, c: F.coalesce(F.max(F.when(F.col("which") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
+    found = found.groupBy("row").agg(*(alone(k, c) for k in (0, 1) for c in ("only_a", "only_b")))
+
+    dealt = kept.select("row", "digests", "edited_digests").repartition("row")
+    both = dealt.select("row", F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("digests")), F.struct(F.lit(1).alias("version"), F.col("edited_digests").alias("digests")))).alias("v")).select("row", "v.*")
+    shown = sketch(both, ["row", "version"], F.col("digests")).groupBy("row").agg(F.max(F.when(F.col("version") == 0, F.col("sketch"))).alias("s0"), F.max(F.when(F.col("version") == 1, F.col("sketch"))).alias("s1"))
+    sizes = kept.select("row", "doc_id", "copies", "n_chars", "edited_sha256", *(F.size(c).alias(s) for c, s in (("digests", "n0"), ("edited_digests", "n1"), ("next_digests", "n2"))))
+    joined = sizes.join(shown, "row", "left").join(found, "row", "left")
+
+    def near(k: int) -> Column:
+        a, b = F.coalesce(f"only_a{k}", F.lit(0)), F.coalesce(f"only_b{k}", F.lit(0))
+        return F.when(F.col("n0") + b == 0, 1.0).otherwise((F.col("n0") - a) / (F.col("n0") + b))
 
-    dealt = kept.select("row", F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("digests")), F.struct(F.lit(1).alias("version"), F.col("edited_digests").alias("digests")))).alias("v")).select("row", "v.*").repartition("row")
-    shown = sketch(dealt, ["row", "version"], F.col("digests")).groupBy("row").agg(F.max(F.when(F.col("version") == 0, F.col("sketch"))).alias("s0"), F.max(F.when(F.col("version") == 1, F.col("sketch"))).alias("s1"))
-    joined = kept.join(near, "row").join(shown, "row", "left")
-    print_ = lambda digests, s: F.concat(F.size(digests).cast("string"), F.lit(";"), F.coalesce(s, F.lit("")))
-    return joined.select("doc_id", "n_chars", "edited_sha256", print_("digests", "s0").alias("fingerprint"), print_("edited_digests", "s1").alias("edited_fingerprint"), "near_edited", "near_next")
+    print_ = lambda n, s: F.concat(F.col(n).cast("string"), F.lit(";"), F.coalesce(s, F.lit("")))
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc_id", "n_chars", "edited_sha256", print_("n0", "s0").alias("fingerprint"), print_("n1", "s1").alias("edited_fingerprint"), near(0).alias("near_edited"), near(1).alias("near_next"))
