@@ -1,10 +1,13 @@
 import random
+import time
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewire.llm import extraction, hosts, labelled_pages, mixing, packing, quality
@@ -54,6 +57,53 @@ def test_extraction_of_odd_pages(spark, field):
     assert extraction.extract(spark.createDataFrame([], "page_id long, url string, html string"), field).count() == 0
 
 
+_trained = lru_cache(1)(extraction.trained)
+_PROSE = [
+    "The storm of last week brought a great deal of rain to the valley, and the river rose quickly.",
+    "Farmers moved their cattle to higher ground, as they had done in 1987, while the town built a wall of sand.",
+    "By Friday the water had gone down, and the council met to count what had been lost in the flood.",
+    "Nobody was hurt, said the mayor, who thanked all the people that had helped in those long nights.",
+]
+_AROUND = (
+    '<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>',
+    '<div class="comments"><h3>Comments</h3><div class="comment"><p>I was there that night, and it was much worse than they say here, believe me.</p></div></div>'
+    "<footer><p>Copyright 2024 The Valley Paper. All rights reserved. Read our privacy policy and terms, which changed in May, before you write.</p></footer>",
+)
+
+
+@pytest.mark.parametrize(
+    "layout",
+    ["<article>%s</article>", "<article><div>%s</div></article>", "<article><div><div>%s</div></div></article>", "<article><div><div><div>%s</div></div></div></article>", '<article><div class="entry-content">%s</div></article>',
+     '<div class="page"><div class="wrap"><div class="row"><article>%s</article></div></div></div>', '<div id="content">%s</div>', "<table><tr><td>%s</td></tr></table>", "<main>%s</main>", "<div><div>%s</div></div>", "%s"],
+)
+def test_layouts_give_the_article_and_nothing_else(layout):
+    field = _trained()
+    for heading in ("<h1>River falls after flood</h1>", ""):
+        inner = heading + "".join(f"<p>{p}</p>" for p in _PROSE)
+        page = f"<html><head><title>River falls after flood</title></head><body>{_AROUND[0]}{layout % inner}{_AROUND[1]}</body></html>"
+        assert extraction.main_text(page, field).split("\n\n") == ["River falls after flood"] * bool(heading) + _PROSE
+
+
+@pytest.mark.parametrize("left_out", ["nested", "wrapped", "table", "bare"])
+def test_a_layout_not_learnt_from_is_still_read(left_out):
+    others = [p for k, name in enumerate(n for n in labelled_pages.LAYOUTS if n != left_out) for p in labelled_pages.labelled(60, 30 + k, name)]
+    field = extraction.Field().fit([extraction._with_labels(*p) for p in others])
+    right = wrong = 0
+    for page in labelled_pages.labelled(60, 99, left_out):
+        features, truth = extraction._with_labels(*page)
+        got = field.decode([np.array(f) for f in features])
+        right += sum(g == t for g, t in zip(got, truth))
+        wrong += sum(g != t for g, t in zip(got, truth))
+    assert right > 0.93 * (right + wrong)
+
+
+def test_broken_pages_take_time_in_proportion(field):
+    for part in ('<a b="', "<p ", "<div></b></p>", "<a b='\">", "<div>", "<!", "<script"):
+        began = time.time()
+        extraction.main_text("<p>x</p>" + part * (1_000_000 // len(part)), field)
+        assert time.time() - began < 20, part
+
+
 def test_url_rules_and_reputation(spark):
     urls = {
         "http://A.Example.COM/en/1": ("a.example.com", "/en/1", "example.com/en/", "block"),
@@ -80,6 +130,26 @@ def test_url_rules_and_reputation(spark):
     assert hosts.judge(spark.createDataFrame(rows, "page_id long, url string, host int"), empty[1], hosts.RULES).where("verdict = 'block'").count() == 4
 
 
+def test_reputation_decides_where_hosts_differ(spark):
+    pages, docs, labels = [], [], []
+    for k in range(300):
+        host = ["good.org", "fair.net", "spam.info", "www.spam.info", "new.spam.info"][k % 5]
+        bad = int(k % 10 == 0) if k % 5 < 2 else int(k % 7 != 0)
+        docs.append((k, f"Text {k} of a page &c."))
+        labels.append((k, 1 - bad))
+        tag = ["article", "main", "body"][k % 3]
+        pages.append((k, f"https://{host}/{k}", f"<html><{tag}><h1>Head</h1><p>Text {k} of a\n page &amp;c.</p></{tag}></html>"))
+    pages += [(900, "https://good.org/", "<article></article>"), (901, "https://good.org/", None)]
+    docs += [(900, " "), (901, None)]
+    tables = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (900, 0), (901, 0)], "doc_id long, quality int")
+    outcomes = hosts.outcomes_by_text(*tables)
+    assert sum(r.n for r in outcomes.collect()) == 300
+    found = {r.host: (r.verdict, r.bad_mean, r.bad_low) for r in hosts.judge(tables[0], outcomes, []).collect()}
+    assert {h for h, (v, *_) in found.items() if v == "block"} == {"spam.info", "www.spam.info", "new.spam.info"}
+    assert all(low < mean for _, mean, low in found.values())
+    assert hosts.judge(tables[0], outcomes.where("false"), []).where("verdict = 'block'").count() == 0
+
+
 def test_quality_separates_and_uses_no_held_out_labels(spark):
     r = random.Random(1)
     good = lambda: " ".join("".join(r.choices("abcdefg", k=r.randint(2, 7))) for _ in range(60)) + "."
@@ -143,6 +213,31 @@ def test_mix_meets_targets(spark):
     assert mixing.taken_words(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_draws_use_up_quotas_by_permutations(spark):
+    r = random.Random(5)
+    sources = [(i, r.choice([1, 2, 3, 7, 40, 333]), 0) for i in range(30)]
+    sources = [(i, b, r.randint(0, 2 * b)) for i, b, _ in sources] + [(30, 900, 1500)]
+    table = spark.createDataFrame(sources, "idx int, blocks long, quota long")
+    got = mixing.draws(table, sum(q for *_, q in sources), len(sources), 100, 3).collect()
+    times = defaultdict(lambda: defaultdict(int))
+    for x in got:
+        times[x.idx][x.block] += 1
+    per_shard = defaultdict(int)
+    for x in got:
+        per_shard[x.shard] += 1
+    total = sum(q for *_, q in sources)
+    assert all(n == min(100, total - 100 * s) for s, n in per_shard.items()) and len(got) == total
+    for i, b, q in sources:
+        assert sum(times[i].values()) == q and set(times[i]) <= set(range(b))
+        assert all(times[i].get(k, 0) in (q // b, -(-q // b)) for k in range(b))
+
+
+def test_permutations_are_one_to_one(spark):
+    for n in (1, 2, 3, 5, 16, 17, 101, 1000):
+        got = [x.p for x in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9)).alias("p")).collect()]
+        assert sorted(got) == list(range(n)) and (n < 100 or got != list(range(n)))
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     docs = odd_documents(spark).where("doc_id IS NOT NULL AND doc_id != 2")
     options = dict(block_words=16, shard_slots=64)

@@ -5,24 +5,24 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidewire.llm.common import python_batches
 from tidewire.llm.labelled_pages import labelled
 
 #: Hashed features; labelled pages that a fit takes.
-BUCKETS, TRAIN_PAGES = 1 << 14, 500
-
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)"""
-    r"""|<(?P<drop>script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</(?P=drop)\s*>|\Z)"""
-    r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*')*+)>"""
-    r"""|<[/!?]?[a-zA-Z\[][^>]*>|<[!?][^>]*>""",
-    re.S | re.I,
-)
+BUCKETS, TRAIN_PAGES = 1 << 14, 800
+
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"""[>"']""")
+#: Elements that are dropped with all they hold.
+_DROPPED = re.compile(r"(?i)script|style|noscript|template|svg|iframe|object")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
@@ -36,68 +36,140 @@ _BLOCKS_END_P = frozenset("address article aside blockquote details div dl field
 _WORDS = frozenset("accept advertisement advertorial comment comments cookie cookies copyright home login menu newsletter policy privacy read related reply reserved rights search share sign sponsored subscribe terms".split())
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, tuple[str, ...], float]], str]:
-    """The leaf blocks of a page in order, as (text, ancestors from the outermost, share of link text), and its title.
+class Tags:
+    """The tags of a page in order, as (start, end, name or "", closing, attributes); comments and dropped elements have no name.
+
+    A quoted value may hold `>`. Where a quote isn't closed, this and all later tags end at the first `>`, and a tag without any end takes
+    the rest of the page, so that the time taken is in proportion to the page, whatever is wrong with it.
+    """
 
-    An ancestor is its tag, followed by the words of its class, id and role. Character references are decoded and white space
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def __iter__(self):
+        page, at = self.page, self.page.find("<")
+        while at >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                end = len(page) if end < 0 else end + 3
+                yield at, end, "", False, ""
+            elif m := _NAME.match(page, at + 1):
+                closing, name = page[at + 1] == "/", m[0].lstrip("/").lower()
+                stop = self._end(m.end())
+                end = stop + 1
+                if not closing and _DROPPED.fullmatch(name) and stop < len(page):
+                    found = re.compile(rf"(?i)</{name}\s*>").search(page, end)
+                    yield at, found.end() if found else len(page), "", False, ""
+                    end = found.end() if found else len(page)
+                else:
+                    yield at, min(end, len(page)), name if stop < len(page) else "", closing, page[m.end() : stop]
+            elif page[at + 1 : at + 2] in ("!", "?", "/", "["):
+                end = page.find(">", at)
+                end = len(page) if end < 0 else end + 1
+                yield at, end, "", False, ""
+            else:
+                end = at + 1
+            at = page.find("<", end)
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here; the length of the page if it doesn't."""
+        begin = at
+        while self.quotes:
+            m = _STOP.search(self.page, at)
+            if not m:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:
+                at = self.page.find(m[0], m.end()) + 1
+                self.quotes = at > 0
+        end = self.page.find(">", begin)
+        return len(self.page) if end < 0 else end
+
+
+#: Elements that only wrap: without a class or id they say nothing of what they hold.
+_WRAPPERS = frozenset("div section span tbody thead tr table html center font".split())
+
+
+class Block(NamedTuple):
+    """A leaf block: its text, its own tag, the two nearest elements around it that say something, all that any ancestor says, and its share of link text."""
+
+    text: str
+    tag: str
+    near: tuple[str, ...]
+    above: frozenset[str]
+    link: float
+
+
+def blocks(page: str | None) -> tuple[list[Block], str]:
+    """The leaf blocks of a page in order, and its title.
+
+    An element is its tag, followed by the words of its class, id and role. Character references are decoded and white space
     is one space; blocks without text are left out. Unclosed elements end as a browser would end them, roughly.
     """
     page = page or ""
-    stack: list[str] = []
-    names: list[str] = []
-    found: list[tuple[str, tuple[str, ...], float]] = []
+    stack: list[tuple[str, tuple[str, ...], frozenset[str]]] = []  # tag, nearest telling elements, all words above
+    open_: Counter[str] = Counter()
+    found: list[Block] = []
     text: list[str] = []
     linked, link_depth, at, title, in_head = 0, 0, 0, "", False
+    nothing = ("", (), frozenset())
 
     def flush() -> None:
         nonlocal linked, title
         if text:
             raw = "".join(text)
             whole = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-            if whole and stack and stack[-1] == "title":
+            tag, near, above = stack[-1] if stack else nothing
+            if whole and tag == "title":
                 title = title or whole
             elif whole and not in_head:
-                found.append((whole, tuple(names[-8:]), min(1.0, linked / len(whole))))
+                found.append(Block(whole, tag, near, above, min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def pop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
+    for start, end, tag, closing, attrs in Tags(page):
+        if start > at:
+            piece = page[at:start]
             text.append(piece)
             if link_depth:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m["tag"]
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                link_depth = 0 if m["close"] else 1
+                link_depth = 0 if closing else 1
             elif tag == "br":
                 text.append(" ")
             continue
         flush()
         link_depth = 0
         if tag == "head":
-            in_head = not m["close"]
+            in_head = not closing
         elif tag == "body":
             in_head = False
-        if m["close"]:
-            if tag in stack:
-                while stack.pop() != tag:
-                    names.pop()
-                names.pop()
+        if closing:
+            if open_[tag]:
+                while pop() != tag:
+                    pass
             continue
         if tag in _EMPTY:
             continue
-        if stack and (stack[-1] == _CLOSES.get(tag) or stack[-1] == "p" and tag in _BLOCKS_END_P):
-            stack.pop()
-            names.pop()
-        stack.append(tag)
-        attrs = m["attrs"]
-        names.append(f"{tag} {' '.join(_attribute_words(attrs))}" if attrs and not attrs.isspace() else tag)
+        if stack and (stack[-1][0] == _CLOSES.get(tag) or stack[-1][0] == "p" and tag in _BLOCKS_END_P):
+            pop()
+        _, near, above = stack[-1] if stack else nothing
+        words = _attribute_words(attrs) if attrs and not attrs.isspace() else ()
+        if words or tag not in _WRAPPERS:
+            near = (" ".join((tag, *words)), *near[:1])
+        said = {f"a={tag}", *(f"c={w}" for w in words)}
+        stack.append((tag, near, above if said <= above else above | said))
+        open_[tag] += 1
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -118,19 +190,13 @@ def _bucket(feature: str) -> int:
 
 
 @lru_cache(1 << 13)
-def _place(ancestors: tuple[str, ...]) -> tuple[int, ...]:
-    """Features of where a block stands."""
-    out = set()
-    for up, node in enumerate(reversed(ancestors)):
-        tag, *words = node.split()
-        out.add(f"a={tag}")
-        if up < 2:
-            out.add(f"t{up}={tag}")
-        for w in words:
-            out.add(f"c={w}")
-            if up < 2:
-                out.add(f"c{up}={w}")
-    out.add(f"depth={min(len(ancestors), 6)}")
+def _place(tag: str, near: tuple[str, ...], above: frozenset[str]) -> tuple[int, ...]:
+    """Features of where a block stands: what any ancestor says, and what the nearest ones say."""
+    out = {f"own={tag}", *above}
+    for up, node in enumerate(near):
+        name, *words = node.split()
+        out.add(f"t{up}={name}")
+        out.update(f"c{up}={w}" for w in words)
     return tuple(map(_bucket, sorted(out)))
 
 
@@ -139,19 +205,22 @@ def _looks(text: str, tag: str, link: float, title: str) -> list[int]:
     n = len(text)
     size, share = min(n.bit_length(), 11), 0 if link == 0 else 1 if link < 0.5 else 2 if link < 0.95 else 3
     end = "s" if text[-1] in ".!?…" else "c" if text[-1] in ":;," else "o"
-    out = [f"len={size}", f"link={share}", f"end={end}", f"{tag} len={size}", f"{tag} link={share}", f"len={size} link={share}", f"commas={min(text.count(','), 4)}"]
-    if n < 400:
-        out += [f"w={w}" for w in _PART.findall(text.lower()) if w in _WORDS]
-        out.append(f"digits={min(3, 8 * sum(c.isdigit() for c in text) // n)}")
+    out = [f"len={size}", f"link={share}", f"end={end}", f"{tag} len={size}", f"{tag} link={share}", f"len={size} link={share}"]
+    out.append(f"commas={min(4, 400 * text.count(',') // (n + 100))}")
+    words = _PART.findall(text.lower())
+    told = _WORDS.intersection(words)
+    often = min(3, 40 * len(told) // max(1, len(words)))  # a few such words in a long text say little
+    out += [f"w{often}={w}" for w in told]
+    out.append(f"digits={min(3, 8 * sum(map(str.isdigit, text)) // n)}")
     if "©" in text:
-        out.append("w=©")
-    if title and text.startswith(title[:50]):
+        out.append(f"©={size}")
+    if title and (text.startswith(title) or title.startswith(text)):
         out.append("title")
     return list(map(_bucket, out))
 
 
-def block_features(found: list[tuple[str, tuple[str, ...], float]], title: str) -> list[list[int]]:
-    return [[*_place(up), *_looks(text, up[-1].split()[0] if up else "", link, title)] for text, up, link in found]
+def block_features(found: list[Block], title: str) -> list[list[int]]:
+    return [[*_place(b.tag, b.near, b.above), *_looks(b.text, b.tag, b.link, title)] for b in found]
 
 
 class Field:
@@ -228,7 +297,7 @@ def trained(pages: int = TRAIN_PAGES, seed: int = 1) -> Field:
 def _with_labels(page: str, truth: list[tuple[str, bool]]) -> tuple[list[list[int]], list[int]]:
     found, title = blocks(page)
     labels, at = [], 0
-    for text, _, _ in found:  # both are in page order; a block may hold a few of the written ones
+    for text, *_ in found:  # both are in page order; a block may hold a few of the written ones
         labels.append(int(truth[min(at, len(truth) - 1)][1]))
         taken = ""
         while at < len(truth) and len(taken) < len(text):
@@ -240,7 +309,7 @@ def _with_labels(page: str, truth: list[tuple[str, bool]]) -> tuple[list[list[in
 def main_text(page: str | None, field: Field) -> str:
     found, title = blocks(page)
     labels = field.decode([np.array(f) for f in block_features(found, title)])
-    return "\n\n".join(text for (text, _, _), keep in zip(found, labels) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found, labels) if keep)
 
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
@@ -250,6 +319,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     empty text; ids and urls are handed on as they are, null or repeated. Other columns are not used. An empty table gives an empty
     result.
     """
+    python_batches(pages.sparkSession)
     field = field or trained()
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 

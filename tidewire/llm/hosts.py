@@ -16,7 +16,7 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-#: Suffixes of two labels under which names are registered. Others have one label.
+#: Fixed values, the default of the parameter `suffixes`: suffixes of two labels under which names are registered. Others have one label.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "ne.jp", "or.kr", "org.uk"]
 
 #: Bounds of the estimated strength of a prior, in pages.
@@ -44,15 +44,15 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
     """The registered domain: the suffix and one label more, or the host where there is none."""
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def _shrunk(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
@@ -74,52 +74,57 @@ def _shrunk(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
     return rows.select(*children.columns, mean.alias("m"), spread.alias("v"))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """host, n, bad, mean, low (posterior lower bound of the bad rate) from labelled pages (host string, bad int 0 or 1).
+def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """host, n, bad, mean, low (posterior lower bound of the bad rate), base (the rate of all) from labelled pages (host string, bad int 0 or 1, and perhaps n: how many such pages).
 
     Counts are taken per host, registered domain and suffix, and shrunk downwards: suffixes towards the mean of all,
     domains towards their suffix, hosts towards their domain. The bound is the mean less z standard deviations of the
     host's beta posterior.
     """
     per = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    counts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = stage(counts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host")), "top": F.lit(0)}))
+    times = F.col("n") if "n" in outcomes.columns else F.lit(1)
+    counts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.sum(times).cast("double").alias("n"), F.sum(F.col("bad") * times).cast("double").alias("bad"))
+    hosts = stage(counts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes), "top": F.lit(0)}))
     domains = per(hosts, "domain", "suffix", "top")
-    suffixes = per(domains, "suffix", "top")
-    top = per(suffixes, "top").select("top", ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"), F.lit(0.0).alias("var"))
-    of_suffix = _shrunk(suffixes, top, "top").select("suffix", F.col("m").alias("mean"), F.col("v").alias("var"))
+    suffixes_ = per(domains, "suffix", "top")
+    top = per(suffixes_, "top").select("top", ((F.col("bad") + 0.5) / (F.col("n") + 1)).alias("mean"), F.lit(0.0).alias("var"))
+    of_suffix = _shrunk(suffixes_, top, "top").select("suffix", F.col("m").alias("mean"), F.col("v").alias("var"))
     of_domain = _shrunk(domains, of_suffix, "suffix").select("domain", F.col("m").alias("mean"), F.col("v").alias("var"))
     of_host = _shrunk(hosts, of_domain, "domain")
-    return of_host.select("host", "n", "bad", F.col("m").alias("mean"), (F.col("m") - z * F.sqrt("v")).alias("low"))
+    base = top.select("top", F.col("mean").alias("base"))
+    return of_host.join(base, "top").select("host", "n", "bad", F.col("m").alias("mean"), (F.col("m") - z * F.sqrt("v")).alias("low"), "base")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], most_bad: float = 0.5, z: float = 1.645) -> DataFrame:
-    """page_id, host, path, rule, verdict, bad_low for every row of pages (page_id, url).
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], worse: float = 1.0, z: float = 1.645, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, bad_mean, bad_low for every row of pages (page_id, url).
 
-    The longest rule decides; else a page is blocked if the posterior lower bound of its host's bad rate is above most_bad.
+    The longest rule decides; else a page is blocked if the posterior lower bound of its host's bad rate is above `worse` times the
+    rate of all labelled pages: if the host is credibly worse than pages are on the whole.
     Hosts without labelled pages are allowed. A null url, or one without `://`, has an empty host and path and is allowed;
     other columns are not used. Rows that repeat are judged one by one. An empty table gives an empty result; without outcomes the rules alone decide.
     """
-    known = reputation(outcomes, z).where(F.col("low") > most_bad).select("host", F.col("low").alias("bad_low"))
+    known = reputation(outcomes, z, suffixes).select("host", F.col("mean").alias("bad_mean"), F.col("low").alias("bad_low"), (F.col("low") > worse * F.col("base")).alias("__bad"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = rows.join(known, "host", "left")
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bad_low").isNotNull(), "block"), F.lit("allow")).alias("verdict"), "bad_low")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("__bad"), "block"), F.lit("allow")).alias("verdict"), "bad_mean", "bad_low")
 
 
 def outcomes_by_text(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """host, bad (1 - quality) of the pages whose article is the text of a labelled document.
+    """host, bad (1 - quality), n: how many pages of the host have the text of a labelled document, in the article or else in the main part or the body.
 
-    Both texts are compared without markup and white space, by two hashes. A page that fits several labelled
-    documents counts once, as bad if any of them is.
+    Both texts are compared without markup and white space, by their SHA-256; empty ones are no evidence. A page that fits several labelled
+    documents counts once, as bad if any of them is. Pages of a host with one text are added up before they meet the documents.
     """
     bare = lambda c: F.regexp_replace(c, r"[\s\x{A0}]+", "")
-    keys = lambda c: [F.xxhash64(c).alias("h"), F.crc32(c).alias("c")]
     marked = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
-    texts = docs.where("text IS NOT NULL").select("doc_id", *keys(bare(F.col("text")))).join(marked, "doc_id").groupBy("h", "c").agg(F.max("bad").alias("bad"))
-    article = F.regexp_extract(F.col("html"), r"(?is)<article\b[^>]*>(.*?)</article>", 1)
+    texts = docs.where("text IS NOT NULL").select("doc_id", bare(F.col("text")).alias("t")).where("t != ''").select("doc_id", F.sha2("t", 256).alias("h"))
+    texts = texts.join(marked, "doc_id").groupBy("h").agg(F.max("bad").alias("bad"))
+    part = lambda tag: F.nullif(F.regexp_extract("html", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit(""))
+    article = F.coalesce(part("article"), part("main"), part("body"), F.lit(""))
     plain = F.regexp_replace(F.regexp_replace(article, r"(?is)<h1\b[^>]*>.*?</h1>", ""), r"(?s)<[^>]*>", "")
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(name), F.lit(char))
-    read = pages.where("html IS NOT NULL").select(host_of(F.col("url")).alias("host"), *keys(bare(plain)))
-    return read.join(texts, ["h", "c"]).select("host", F.col("bad").cast("int").alias("bad"))
+    read = pages.where("html IS NOT NULL").select(host_of(F.col("url")).alias("host"), bare(plain).alias("t")).where("t != ''")
+    read = read.groupBy("host", F.sha2("t", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return read.join(texts, "h").groupBy("host", F.col("bad").cast("int").alias("bad")).agg(F.sum("n").alias("n"))

@@ -28,14 +28,19 @@ _PHRASES = {
 }
 
 
+#: Where the main text of a page stands.
+LAYOUTS = ["semantic", "nested", "named", "wrapped", "table", "plain", "bare"]
+
+
 class Page:
     """Markup as it grows, with the blocks in order, each with whether it is main text."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, layout: str | None = None):
         self.r = random.Random(seed)
         self.out: list[str] = []
         self.truth: list[tuple[str, bool]] = []
         self.plain = self.r.random() < 0.3  # class names that say nothing
+        self.layout = layout or self.r.choices(LAYOUTS, [5, 3, 3, 2, 1, 1, 2])[0]
 
     def words(self, n: int) -> str:
         r = self.r
@@ -51,8 +56,8 @@ class Page:
             text = " ".join(w + self.r.choice(["&&&", "###", "%%%", " |", "!!"]) for w in text.split())
         return text.upper() if self.r.random() < 0.03 else text
 
-    def names(self, kinds: list[str]) -> str:
-        if self.plain and self.r.random() < 0.8:
+    def names(self, kinds: list[str], vague: float = 0.8) -> str:
+        if self.plain and self.r.random() < vague:
             return "".join(self.r.choices("abcdefgxyz", k=5))
         return self.r.choice(kinds)
 
@@ -69,7 +74,7 @@ class Page:
         r = self.r
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
         tag = tag if r.random() < 0.6 and kind != "form" else "form" if kind == "form" else "div"
-        self.out.append(f'<{tag} {r.choice(["class", "class", "id"])}="{self.names(_NOISE[kind])}">')
+        self.out.append(f'<{tag} {r.choice(["class", "class", "id"])}="{self.names(_NOISE[kind], 0.4 if kind == "comments" else 0.8)}">')
         if kind in ("nav", "share") or (kind in ("aside", "footer", "header") and r.random() < 0.6):
             if r.random() < 0.4 and kind == "aside":
                 self.put("h3", r.choice(_PHRASES["aside"]), False)
@@ -79,9 +84,9 @@ class Page:
             self.out.append("</ul>")
         elif kind == "comments":
             self.put("h3", r.choice(_PHRASES["comments"]), False)
-            for _ in range(r.randint(1, 5)):
-                self.out.append(f'<div class="{self.names(["comment", "comment-body", "reply"])}">')
-                self.put("span" if r.random() < 0.01 else "p", self.prose(), False)
+            for _ in range(r.randint(1, 8)):
+                self.out.append(f'<div class="{self.names(["comment", "comment-body", "reply"], 0.5)}">')
+                self.put("div" if r.random() < 0.05 else "p", self.prose(), False)
                 self.out.append("</div>")
         elif kind == "form":
             self.put("label", r.choice(_PHRASES["form"]), False)
@@ -89,7 +94,7 @@ class Page:
             self.put("button", r.choice(_PHRASES["form"]), False)
         else:
             extra = r.choice(_PHRASES.get(kind, [""])) if r.random() < 0.5 else ""
-            text = ("© " if kind == "footer" and r.random() < 0.6 else "") + " ".join(x for x in (extra, self.sentence(), self.sentence() if r.random() < 0.4 else "") if x)
+            text = ("© " if kind == "footer" and r.random() < 0.6 else "") + " ".join(x for x in (extra, *(self.sentence() for _ in range(r.choice([1, 1, 2, 4])))) if x)
             self.put("p", text, False) if r.random() < 0.4 else self._bare(text)
         self.out.append(f"</{tag}>")
 
@@ -98,34 +103,62 @@ class Page:
         self.truth.append((" ".join(text.split()), False))
 
     def article(self) -> str:
+        """The main text in one of LAYOUTS: its container, if any, is told from furniture by its tag, its names or its text alone."""
         r = self.r
-        tag = r.choice(["article", "article", "main", "div", "section"])
-        self.out.append(f"<{tag}>" if tag in ("article", "main") and r.random() < 0.6 else f'<{tag} class="{self.names(_MAIN)}">')
+        outer, shut = self.container()
         title = self.sentence()
-        if r.random() < 0.85:
+        heading, inside = r.random() < 0.75, r.random() < 0.8
+        if heading and not inside:
+            self.put("h1", title, True)
+        self.out.append(outer)
+        if heading and inside:
             self.put("h1", title, True)
-        for _ in range(r.choice([1, 2, 4, 7, 12, 20])):
+        for _ in range(r.choice([1, 2, 4, 4, 7, 12, 20])):
             kind = r.random()
-            if kind < 0.72:
+            deep = r.choice([0, 0, 0, 1, 2]) if r.random() < 0.15 else 0
+            self.out.append("<div>" * deep)
+            if kind < 0.74:
                 self.put("p", self.prose(), True)
-            elif kind < 0.78:
+            elif kind < 0.80:
                 self.put(r.choice(["h2", "h3"]), self.words(r.randint(2, 7)), True)
-            elif kind < 0.84:
+            elif kind < 0.85:
                 self.out.append("<ul>")
                 for _ in range(r.randint(2, 5)):
                     self.put("li", self.sentence(), True, link=r.random() < 0.1)
                 self.out.append("</ul>")
-            elif kind < 0.87:
+            elif kind < 0.88:
                 self.put(r.choice(["blockquote", "pre", "figcaption", "td"]), self.prose(), True)
             elif kind < 0.95:
                 self.noise(r.choice(["ad", "ad", "aside", "form", "notice", "share"]))
             else:
                 self.put("div", self.prose(), True)
+            self.out.append("</div>" * deep)
         if r.random() < 0.25:
             self.noise("comments")
-        self.out.append(f"</{tag}>")
+        self.out.append(shut)
         return title
 
+    def container(self) -> tuple[str, str]:
+        r, layout = self.r, self.layout
+        named = f' {r.choice(["class", "class", "id"])}="{self.names(_MAIN)}"'
+        deep = r.randint(1, 4)
+        if layout == "semantic":
+            tag = r.choice(["article", "article", "main"])
+            return f"<{tag}{r.choice(['', named])}>", f"</{tag}>"
+        if layout == "nested":
+            tag = r.choice(["article", "main", "article"])
+            return f"<{tag}>" + "<div>" * deep, "</div>" * deep + f"</{tag}>"
+        if layout == "named":
+            tag = r.choice(["div", "div", "section"])
+            return f"<{tag}{named}>" + "<div>" * (deep - 1), "</div>" * (deep - 1) + f"</{tag}>"
+        if layout == "wrapped":
+            return "".join(f'<div class="{self.names(["page", "wrapper", "container", "layout", "row", "col"])}">' for _ in range(deep)) + "<article>", "</article>" + "</div>" * deep
+        if layout == "table":
+            return f"<table><tr><td{r.choice(['', named])}>", "</td></tr></table>"
+        if layout == "plain":
+            return "<div>" * deep, "</div>" * deep
+        return "", ""  # bare: straight in the body
+
     def whole(self) -> str:
         r = self.r
         self.out = []
@@ -147,7 +180,7 @@ class Page:
         return f"<!DOCTYPE html><html>{head}<body>{''.join(self.out)}</body></html>"
 
 
-def labelled(n: int, seed: int = 0) -> list[tuple[str, list[tuple[str, bool]]]]:
-    """n pages as (html, blocks with whether they are main text)."""
-    pages = [Page(seed * 100_003 + k) for k in range(n)]
+def labelled(n: int, seed: int = 0, layout: str | None = None) -> list[tuple[str, list[tuple[str, bool]]]]:
+    """n pages as (html, blocks with whether they are main text), all of one layout if it is named."""
+    pages = [Page(seed * 100_003 + k, layout) for k in range(n)]
     return [(p.whole(), p.truth) for p in pages]

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import WORD, salted_prefix, stage
 
-#: Large primes, of which a source takes one as the factor of its permutation: any of them is coprime to a smaller count.
-FACTORS = [2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549]
-
-#: A source table of more rows is joined by a shuffle.
-SMALL = 10_000
+#: Rounds of the permutations, and how often a place beyond the end is sent on at most: as often as there can be such places up to
+#: 4096 indices, and with more of them none needs a part of that.
+ROUNDS, WALKS = 4, 64
 
 
 def count_words(text: Column) -> Column:
@@ -39,84 +37,108 @@ def targets(rows: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float =
     return levels.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * water)).select("source", "idx", "weight", "source_size", "target")
 
 
-def draws(sources: list, block_words: int, shard_slots: int, seed: int, spark) -> DataFrame:
-    """idx, block, shard for every slot of the mix.
+def permuted(k: Column, n: Column, *salt: Column) -> Column:
+    """The place of index k in a pseudorandom permutation of 0 .. n - 1 that salt names.
+
+    Indices are places in a grid of about sqrt(n) rows; in turn the row moves by a hash of the column and the column by one of the row.
+    A place beyond n - 1 is sent on through the same steps until it lies below n, which keeps the map one to one.
+    """
+    high = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    wide = F.ceil(n / high).cast("long")
+
+    def once(x: Column) -> Column:
+        row, column = F.floor(x / wide).cast("long"), x % wide
+        for r in range(ROUNDS):
+            if r % 2 == 0:
+                row = F.pmod(row + F.pmod(F.xxhash64(F.lit(r), column, *salt), high), high)
+            else:
+                column = F.pmod(column + F.pmod(F.xxhash64(F.lit(r), row, *salt), wide), wide)
+        return row * wide + column
+
+    first = once(k)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(first < n, first).otherwise(walked)
+
+
+def _holding(points: DataFrame, value: str, intervals: DataFrame, total: int, count: int) -> DataFrame:
+    """points with the columns of the interval [lo, hi) that holds `value`: intervals follow each other over 0 .. total.
+
+    Both are joined by bins of the mean interval's width, so an interval stands in as many bins as it covers, and all of them together in at most two each.
+    """
+    width = max(1, total // max(1, count))
+    binned = intervals.where("hi > lo").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    found = points.withColumn("__bin", F.floor(F.col(value) / width)).join(binned, "__bin")
+    return found.where((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).drop("__bin", "lo", "hi")
+
+
+def draws(sources: DataFrame, total: int, count: int, shard_slots: int, seed: int) -> DataFrame:
+    """idx, block, shard for every slot of the mix, from `count` sources (idx, blocks, quota; quotas add up to total).
 
     Each output shard of shard_slots slots draws a source for each slot, with the sources' quotas of blocks as chances:
     multinomial counts. Where the shards so far have drawn a source's whole quota, further draws of it are
     moved to the sources that stay short, in order, so that the totals are the quotas. The k-th slot of a source, over all
-    shards, takes block (factor * (k mod n) + shift) mod n of its n blocks, shift depending on k div n.
+    shards, takes the block at k mod n of a permutation of its n blocks that depends on k div n.
     """
-    quotas = [s["quota"] for s in sources]
-    total = sum(quotas)
-    ends, at = [], 0
-    for q in quotas:
-        at += q
-        ends.append(at)
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1)))
-    slot = spark.range(total).select((F.col("id") / shard_slots).cast("long").alias("shard"), F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= drawn)).alias("idx"))
-    counts = slot.groupBy("shard", "idx").agg(F.count(F.lit(1)).alias("n"))
+    spark = sources.sparkSession
+    running = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)  # a row a source
+    spans = sources.withColumn("hi", F.sum("quota").over(running)).withColumn("lo", F.col("hi") - F.col("quota"))
+    drawn = spark.range(total).select(F.floor(F.col("id") / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("drawn"))
+    counts = _holding(drawn, "drawn", spans.select("idx", "quota", "lo", "hi"), total, count).groupBy("shard", "idx").agg(F.count(F.lit(1)).alias("n"), F.first("quota").alias("quota"))
     by_shard = Window.partitionBy("idx").orderBy("shard")
-    quota = F.element_at(F.array(*map(F.lit, quotas)), F.col("idx") + 1)
     prior = F.coalesce(F.sum("n").over(by_shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = stage(counts.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), quota - prior)).cast("long")))
-
-    short, at = [], 0  # of each source, as consecutive intervals
-    got = {r.idx: r.kept for r in kept.groupBy("idx").agg(F.sum("kept").alias("kept")).collect()}  # a row a source
-    for i, q in enumerate(quotas):
-        lack = q - got.get(i, 0)
-        short.append(F.struct(F.lit(i).alias("idx"), F.lit(at).cast("long").alias("lo"), F.lit(at + lack).cast("long").alias("hi")))
-        at += lack
+    kept = stage(counts.withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - prior)).cast("long")))
+
+    got = kept.groupBy("idx").agg(F.sum("kept").alias("got"))
+    lack = sources.join(got, "idx", "left").select("idx", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("lack"))
+    short = lack.withColumn("hi", F.sum("lack").over(running)).select("idx", (F.col("hi") - F.col("lack")).alias("lo"), "hi")
     over = kept.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("over"))
-    end = F.sum("over").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    moved = over.withColumn("end", end).withColumn("begin", F.col("end") - F.col("over")).where("over > 0").withColumn("s", F.explode(F.array(*short)))
-    moved = moved.select("shard", F.col("s.idx").alias("idx"), (F.least("end", "s.hi") - F.greatest("begin", "s.lo")).alias("kept")).where("kept > 0")
+    end = F.sum("over").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))  # a row a shard
+    over = over.withColumn("end", end).where("over > 0").withColumn("p", F.explode(F.sequence(F.col("end") - F.col("over"), F.col("end") - 1)))
+    moved_total = kept.agg(F.sum(F.col("n") - F.col("kept"))).first()[0] or 0
+    moved = _holding(over.select("shard", "p"), "p", short, moved_total, count).groupBy("shard", "idx").agg(F.count(F.lit(1)).alias("kept"))
     final = kept.select("shard", "idx", "kept").unionByName(moved).groupBy("shard", "idx").agg(F.sum("kept").alias("n")).where("n > 0")
     first = F.sum("n").over(by_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    slots = final.withColumn("first", first).select("shard", "idx", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
-    blocks = F.element_at(F.array(*(F.lit(s["blocks"]) for s in sources)), F.col("idx") + 1).cast("long")
-    factor = F.element_at(F.array(*map(F.lit, FACTORS)), (F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(len(FACTORS))) + 1).cast("int")).cast("long")
-    turn = F.xxhash64(F.lit(seed), F.col("idx"), F.floor(F.col("k") / blocks))
-    # Both factors are under 2^31, so that their product stays a long.
-    return slots.select("shard", "idx", F.pmod((factor % blocks) * (F.col("k") % blocks) + F.pmod(turn, blocks), blocks).alias("block"))
+    # Runs are dealt by shard and source before they become slots, so that no source's slots are made in one task.
+    runs = final.withColumn("first", first).join(sources.select("idx", "blocks"), "idx").repartition("shard", "idx")
+    slots = runs.select("shard", "idx", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    return slots.select("shard", "idx", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("idx"), F.floor(F.col("k") / F.col("blocks"))).alias("block"))
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, block_words: int = 128, shard_slots: int = 1 << 14, seed: int = 7, salts: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(parts, sizes). parts: doc_id, source, first (its place in its source), size, from, words, times, source_size, target: for each run of words of a document
-    that lies in one block, how often the mix takes it. sizes: doc_id, source, size, source_size, target of every row.
+    """(parts, sizes) of docs (doc_id, text, source and __row, a number of each row's own). parts: __row, doc_id, source, first (its place in its
+    source), size, from, words, times, source_size, target: for each run of words of a document
+    that lies in one block, how often the mix takes it. sizes: __row, doc_id, source, size, source_size, target of every row.
 
     A source's documents, in an order by a hash of their ids, are one stream of words, cut into blocks of block_words (the last
     may be shorter). A source has quota = target / mean block words slots, at most `most` for each block, so no run is
     taken more often than that. Everything follows from the rows and seed, so reruns agree.
-    A null text has size 0; a null source is a source of its own; rows without words are never drawn; repeated rows are rows of
-    their own. An empty table gives empty results. Tables of sources are taken to be small: one row each comes to the driver.
+    A null text has size 0; a null source is a source of its own; rows without words are never drawn; rows that repeat, or share an id, are rows of
+    their own. An empty table gives empty results. Of the sources, only their number and the sum of their quotas come to the driver.
     """
     spark = docs.sparkSession
-    sized = stage(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")))
-    weighed = stage(targets(sized, cycle, share, most))
-    sources = []
-    for r in weighed.orderBy("idx").collect():
-        blocks = -(-r.source_size // block_words)
-        sources.append({"blocks": max(1, blocks), "quota": min(most * blocks, round(r.target * blocks / r.source_size)) if blocks else 0})
-    used = draws(sources, block_words, shard_slots, seed, spark).groupBy("idx", "block").agg(F.count(F.lit(1)).alias("times")) if sources and sum(s["quota"] for s in sources) else spark.createDataFrame([], "idx int, block long, times long")
+    sized = stage(docs.select("__row", "doc_id", "source", count_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
+    blocks = F.ceil(F.col("source_size") / block_words).cast("long")
+    quota = F.when(blocks > 0, F.least(most * blocks, F.round(F.col("target") * blocks / F.col("source_size")).cast("long"))).otherwise(F.lit(0).cast("long"))
+    weighed = stage(targets(sized, cycle, share, most).withColumns({"blocks": F.greatest(blocks, F.lit(1).cast("long")), "quota": quota}))
+    total, count = weighed.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
+    used = draws(weighed, total, count, shard_slots, seed).groupBy("idx", "block").agg(F.count(F.lit(1)).alias("times")) if total else spark.createDataFrame([], "idx int, block long, times long")
 
     named = weighed.select(F.col("source").alias("__source"), "idx", "source_size", "target")
-    named = F.broadcast(named) if len(sources) <= SMALL else named
     sizes = sized.join(named, sized["source"].eqNullSafe(named["__source"])).drop("__source")
-    placed = salted_prefix(sizes.where("size > 0"), ["idx"], [F.col("doc_id"), F.col("size")], F.col("size"), salts, "first")
+    placed = salted_prefix(sizes.where("size > 0"), ["idx"], [F.col("doc_id"), F.col("size"), F.col("tie")], F.col("size"), salts, "first")
     first, size = F.col("first"), F.col("size")
     spread = placed.withColumn("block", F.explode(F.sequence(F.floor(first / block_words), F.floor((first + size - 1) / block_words))))
     start = F.greatest(first, F.col("block") * block_words)
     stop = F.least(first + size, (F.col("block") + 1) * block_words)
-    parts = spread.select("doc_id", "source", "idx", "first", "size", "source_size", "target", "block", (start - first).alias("from"), (stop - start).alias("words"))
+    parts = spread.select("__row", "doc_id", "source", "idx", "first", "size", "source_size", "target", "block", (start - first).alias("from"), (stop - start).alias("words"))
     # Sizes estimated through explode() are far too small, so the join says itself that neither side is to be broadcast.
-    return parts.join(used.hint("merge"), ["idx", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))).drop("idx", "block"), sizes.drop("idx")
+    return parts.join(used.hint("merge"), ["idx", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))).drop("idx", "block"), sizes.drop("idx", "tie")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs: how many of its words the mix takes, repeats counted."""
-    parts, sizes = mix(docs, **options)
-    keys = ["doc_id", "source", "first", "size", "source_size", "target"]
+    parts, sizes = mix(docs.select("doc_id", "text", "source").withColumn("__row", F.monotonically_increasing_id()), **options)
+    keys = ["__row", "doc_id", "size", "source_size", "target"]
     taken = parts.groupBy(*keys).agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*columns).unionByName(sizes.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
@@ -125,13 +147,14 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, most: int = 2, block_words: int = 128, **options) -> DataFrame:
     """The mix as documents, with the columns of docs: for each time that words of a document are taken, a row with those words.
 
-    A row that takes all words keeps its text as it is; else the words are joined by one space. Ids must be unique
-    (null counts as an id); documents that the mix doesn't take are left out.
+    A row that takes all words keeps its text as it is; else the words are joined by one space. Rows are told by a number of their own,
+    so ids may repeat or be null; documents that the mix doesn't take are left out.
     """
-    parts, _ = mix(docs, most=most, block_words=block_words, **options)
+    kept = stage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    parts, _ = mix(kept, most=most, block_words=block_words, **options)
     runs = F.transform(F.array_sort(F.collect_list(F.struct("from", "times"))), lambda r: r["times"])
-    taken = parts.groupBy(F.col("doc_id").alias("__id")).agg(runs.alias("__times"), F.max(F.col("first") % block_words).alias("__in_block")).where(F.array_max("__times") > 0)
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("__times"))))
+    taken = parts.groupBy("__row").agg(runs.alias("__times"), F.max(F.col("first") % block_words).alias("__in_block")).where(F.array_max("__times") > 0)
+    rows = kept.join(taken.hint("merge"), "__row").withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max("__times"))))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     run = lambda i: (F.floor((F.col("__in_block") + i) / block_words) + 1).cast("int")
     cut = F.array_join(F.filter(words, lambda w, i: F.element_at("__times", run(i)) >= F.col("__turn")), " ")

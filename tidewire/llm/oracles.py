@@ -23,8 +23,8 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT
 WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 marked AS (SELECT doc_id, max(1 - quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-texts AS (SELECT regexp_replace(text, '[\s\x{A0}]+', '', 'g') AS t, max(bad) AS bad FROM documents JOIN marked USING (doc_id) WHERE text IS NOT NULL GROUP BY 1),
-read AS (SELECT host, regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1),
+texts AS (SELECT regexp_replace(text, '[\s\x{A0}]+', '', 'g') AS t, max(bad) AS bad FROM documents JOIN marked USING (doc_id) WHERE text IS NOT NULL AND regexp_replace(text, '[\s\x{A0}]+', '', 'g') != '' GROUP BY 1),
+read AS (SELECT host, regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1), ''), regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1)),
   '(?is)<h1\b[^>]*>.*?</h1>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{A0}]+', '', 'g') AS t FROM u WHERE html IS NOT NULL),
 h0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM read JOIN texts USING (t) GROUP BY 1),
 two AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS d2 FROM h0),
@@ -41,11 +41,11 @@ d3 AS (SELECT domain, (bad + k * pm) / (n + k) AS m, n, k, pv FROM d2), d4 AS (S
 h1 AS (SELECT h.*, d4.m AS pm, d4.v AS pv FROM h JOIN d4 USING (domain)),
 h2 AS (SELECT *, (SELECT 1 / least(greatest(coalesce(CASE WHEN sum(n * (n - 1) * pm * (1 - pm)) > 0 THEN sum((bad - n * pm) * (bad - n * pm) - n * pm * (1 - pm)) / sum(n * (n - 1) * pm * (1 - pm)) ELSE 0 END, 1.0 / 1001), 1.0::DOUBLE / 1001), 1.0::DOUBLE / 3) - 1 FROM h1) AS k FROM h1),
 h3 AS (SELECT host, (bad + k * pm) / (n + k) AS m, n, k, pv FROM h2),
-bad AS (SELECT host, low FROM (SELECT host, m - 1.645 * sqrt(m * (1 - m) / (n + k + 1) + pow(k / (n + k), 2) * pv) AS low FROM h3) WHERE low > 0.5),
+bad AS (SELECT host, m, m - 1.645 * sqrt(m * (1 - m) / (n + k + 1) + pow(k / (n + k), 2) * pv) AS low, (SELECT t.m FROM t) AS base FROM h3),
 ruled AS (SELECT page_id, host, path, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
-SELECT page_id, ruled.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, round(low, 6) AS bad_low
+SELECT page_id, ruled.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > base THEN 'block' ELSE 'allow' END AS verdict, round(m, 6) AS bad_mean, round(low, 6) AS bad_low
 FROM ruled LEFT JOIN bad ON bad.host = ruled.host""",
 }

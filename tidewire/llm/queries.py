@@ -25,7 +25,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, docs, labels = (table(spark, sf_dir, t) for t in ("pages", "documents", "labels"))
     judged = hosts.judge(pages, hosts.outcomes_by_text(pages, docs, labels), hosts.RULES)
-    return judged.withColumn("bad_low", F.round("bad_low", 6))
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_mean", "bad_low")})
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -325,14 +325,15 @@ def _drop(words: list[bytes], runs) -> list[bytes]:
     return [w for w, k in zip(words, keep) if k]
 
 
-def late_windows(windows: DataFrame) -> DataFrame:
+def late_windows(windows: DataFrame, salts: int = 16) -> DataFrame:
     """id, tie, start, n: the windows (id, tie, start, key) whose key stands at an earlier place too, each as a run of one.
 
-    Equal windows are reduced by min() before the shuffle, and only joined after it.
+    Equal windows are reduced by min() before the shuffle, and only joined after it: each key's first place stands under `salts`
+    salts, over which its windows are dealt.
     """
     place = F.struct("id", "tie", "start")
-    first = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("key", "first")
-    return windows.join(first, "key").where(place != F.col("first")).select("id", "tie", "start", F.lit(1).cast("long").alias("n"))
+    first = windows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return windows.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(salts)).cast("int")).join(first, ["key", "salt"]).where(place != F.col("first")).select("id", "tie", "start", F.lit(1).cast("long").alias("n"))
 
 
 def candidates(docs: DataFrame, heavy_rows: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame, int]:
