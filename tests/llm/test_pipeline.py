@@ -80,7 +80,8 @@ def test_tiles_verify_every_pair(spark, monkeypatch):
     rows = [(k, " ".join([*(b := base[k % 6])[: 5 + k], f"y{k}", *b[6 + k :]])) for k in range(60)]
     rows += [(100 + k, " ".join(words(r, 20).split() + base[0][: 100 + 5 * k])) for k in range(8)]  # some similar, some not
     found = [(k + 1, *simhash.both_fingerprints(t, 5), t) for k, t in rows]
-    marked = spark.createDataFrame([(k, fp, more, len(own), t) for k, fp, more, own, t in found], "content long, fp long, more long, size int, text string")
+    marked = spark.createDataFrame([(k, fp, more, len(own), -k, t) for k, fp, more, own, t in found], "content long, fp long, more long, size int, tie long, text string")
+    texts = marked.select("tie", "text")
     want, root = [], {k: k for k, *_ in found}
 
     def top(x):
@@ -98,5 +99,5 @@ def test_tiles_verify_every_pair(spark, monkeypatch):
     links = []
     for tile, whole in ((4, 0), (1024, 32), (1024, 8192)):
         monkeypatch.setattr(simhash, "WHOLE_TREE", whole)
-        links.append({(x.node, x.component) for x in components.connected_components(simhash.similar_links(marked, 5, 14, (4, 5), 5, tile_rows=tile)).collect()})
+        links.append({(x.node, x.component) for x in components.connected_components(simhash.similar_links(marked.drop("text"), texts, 5, 14, (4, 5), 5, tile_rows=tile)).collect()})
     assert links[0] == links[1] == links[2] == want and len({c for _, c in want}) >= 6

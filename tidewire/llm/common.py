@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import weakref
@@ -53,6 +54,13 @@ def drop_staged(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done: it does so when the driver's JVM collects them, which a small driver
+    heap full of nothing else puts off until the executors' disks hold every shuffle of a long operator."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows that go to a Python worker at a time, so that it never holds many whole texts.
 PYTHON_ROWS = 1000
 

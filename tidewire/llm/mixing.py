@@ -11,6 +11,9 @@ from tidewire.llm.common import WORD, salted_prefix, stage
 #: 4096 indices, and with more of them none needs a part of that.
 ROUNDS, WALKS = 4, 64
 
+#: Slots that a task should make; their number follows the mix.
+TASK_SLOTS = 1 << 18
+
 
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -99,7 +102,7 @@ def draws(sources: DataFrame, total: int, count: int, shard_slots: int, seed: in
     final = kept.select("shard", "idx", "kept").unionByName(moved).groupBy("shard", "idx").agg(F.sum("kept").alias("n")).where("n > 0")
     first = F.sum("n").over(by_shard.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     # Runs are dealt by shard and source before they become slots, so that no source's slots are made in one task.
-    runs = final.withColumn("first", first).join(sources.select("idx", "blocks"), "idx").repartition("shard", "idx")
+    runs = final.withColumn("first", first).join(sources.select("idx", "blocks"), "idx").repartition(-(-total // TASK_SLOTS), "shard", "idx")
     slots = runs.select("shard", "idx", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     return slots.select("shard", "idx", permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("idx"), F.floor(F.col("k") / F.col("blocks"))).alias("block"))
 

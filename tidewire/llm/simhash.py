@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import forest, python_batches, stage, whole_groups
+from tidewire.llm.common import forest, python_batches, release, stage, whole_groups
 from tidewire.llm.components import connected_components
 from tidewire.llm.tiles import per_pair, tile_pairs
 
@@ -262,16 +262,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
     return both * least[1] >= (len(a) + len(b) - both) * least[0]
 
 
-def _texts_sets(marked: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """content, shingles: the sets of the wanted contents (content), each from one of its texts."""
+def _texts_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """content, shingles: the sets of the wanted contents (content, tie) from texts (tie, text), where tie is a hash of the text."""
 
     def run(batches):
         for batch in batches:
             found = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["content", "shingles"])
 
-    texts = marked.join(wanted.distinct().hint("merge"), "content").groupBy("content").agg(F.min("text").alias("text"))
-    return texts.select("content", "text").mapInArrow(run, "content long, shingles array<long>")
+    found = texts.join(wanted.hint("merge"), "tie").groupBy("content").agg(F.min("text").alias("text"))
+    return found.select("content", "text").mapInArrow(run, "content long, shingles array<long>")
 
 
 class Search:
@@ -321,8 +321,8 @@ class Search:
         return out
 
     def spread(self, rows: DataFrame) -> DataFrame:
-        """rows (content, fp, more, comp long; size int) in every cell and pair of tiles where they stand: cell, pair, in_a, own, and the row."""
-        names = ["content", "fp", "more", "comp", "size"]
+        """rows (content, fp, more long; size int; perhaps comp long) in every cell and pair of tiles where they stand: cell, pair, in_a, own, and the row."""
+        names = [c for c in ("content", "fp", "more", "comp", "size") if c in rows.columns]
 
         def run(batches):
             for batch in batches:
@@ -349,7 +349,7 @@ class Search:
                         arrays = [pa.array(cell), pa.array((a << 31) | b), pa.array(tile == a), pa.array(own[pick]), *(batch.column(names.index(c)).take(row) for c in names)]
                         yield pa.RecordBatch.from_arrays(arrays, names=["cell", "pair", "in_a", "own", *names])
 
-        return rows.select(*names).mapInArrow(run, _CELL_ROWS)
+        return rows.select(*names).mapInArrow(run, _CELL_ROWS if "comp" in names else _CELL_ROWS.replace("comp long, ", ""))
 
     def may_link(self, pdf, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which pairs of rows of a cell can be similar: by the probed fingerprint, by the second one and by the sizes of their sets."""
@@ -387,14 +387,14 @@ def _trees(search: Search):
     def kernel(pdf):
         import pandas as pd
 
-        content, comp, in_a = (pdf[c].to_numpy() for c in ("content", "comp", "in_a"))
+        content = pdf["content"].to_numpy()
         group = _groups(pdf["cell"].to_numpy(), pdf["pair"].to_numpy())
         columns = [pdf[c].to_numpy() for c in ("fp", "more", "size", "own")]
         begin = (np.cumsum(np.bincount(group)) - np.bincount(group))[group]
         every = np.arange(len(group))
         close = (begin != every) & search.may_link(columns, every, begin)
         order = np.lexsort((~(close | (begin == every)), group))
-        content, comp, in_a, close = content[order], comp[order], in_a[order], close[order]
+        content, close = content[order], close[order]
         columns = [c[order] for c in columns]
         joined = np.flatnonzero(close)
         out = [(content[joined], content[begin[joined]])]
@@ -493,19 +493,19 @@ def _per_cell(rows: DataFrame, kernel, schema: str) -> DataFrame:
     return rows.repartition(*_CELLS).sortWithinPartitions(*_CELLS).mapInPandas(whole_groups(kernel, _CELLS, least_rows=1 << 15), schema)
 
 
-def similar_links(marked: DataFrame, words: int, distance: int, least: tuple[int, int], parts: int, tile_rows: int = 4096) -> DataFrame:
-    """a, b: links between contents (content, fp, more, size, text) that join all whose fingerprints lie within `distance` and whose sets are similar.
+def similar_links(marked: DataFrame, texts: DataFrame, words: int, distance: int, least: tuple[int, int], parts: int, tile_rows: int = 4096) -> DataFrame:
+    """a, b: links between contents, of marked (content, fp, more, size, tie) and texts (tie, text), that join all whose fingerprints lie within `distance` and whose sets are similar.
 
     The candidates of each cell leave it as a forest, whose pairs are verified by their sets. Where all pairs of a tree hold, so does every
     link among its members, and nothing is left to compare. Among the members of trees with a pair that doesn't hold, all
     candidates that are not joined yet are verified.
     """
-    nodes = stage(marked.where("content != 0").groupBy("content").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("size").alias("size")))
+    nodes = stage(marked.where("content != 0").groupBy("content").agg(F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("size").alias("size"), F.min("tie").alias("tie")))
     search = Search(nodes, distance, parts, least, tile_rows)
-    found = stage(_per_cell(search.spread(nodes.withColumn("comp", F.col("content"))), _trees(search), "a long, b long"))
-    pairs = stage(found.distinct())
-    texts = marked.select("content", "text")
-    held = stage(_texts_sets(texts, pairs.select(F.col("a").alias("content")).union(pairs.select("b")), words))
+    pairs = stage(_per_cell(search.spread(nodes), _trees(search), "a long, b long").distinct())
+    release(marked.sparkSession)
+    ends = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
+    held = stage(_texts_sets(texts, nodes.join(ends, "content").select("content", "tie"), words))
     sides = pairs.join(held.withColumnsRenamed({"content": "a", "shingles": "x"}).hint("merge"), "a").join(held.withColumnsRenamed({"content": "b", "shingles": "y"}).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     judged = stage(sides.select("a", "b", (common * least[1] >= (F.size("x") + F.size("y") - common) * least[0]).alias("holds")))
@@ -541,31 +541,34 @@ def one_of_similar(docs: DataFrame, words: int = 5, distance: int = 14, least: t
     smallest fingerprint, content and text stays, of rows that repeat all of these any one. Texts without words are one class.
     An empty table gives an empty result.
     """
-    python_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    python_batches(spark)
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = names.index("text")
-    own = {"__fp": pa.int64(), "__more": pa.int64(), "__content": pa.int64(), "__size": pa.int32(), "__tie": pa.int64()}
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = {"fp": pa.int64(), "more": pa.int64(), "content": pa.int64(), "size": pa.int32()}
 
     def run(batches):
         for batch in batches:
             found = []
-            for t in batch.column(at):
-                text = t.as_py()
-                fp, more, distinct = both_fingerprints(text, words)
+            for t in batch.column(2):
+                fp, more, distinct = both_fingerprints(t.as_py(), words)
                 content = (xxhash.xxh64_intdigest(distinct.tobytes()) | 1) - (1 << 63) if len(distinct) else 0
-                found.append((fp, more, content, len(distinct), xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)))
+                found.append((fp, more, content, len(distinct)))
             columns = zip(*found) if found else [()] * len(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, own.values()))], names=[*names, *own])
-
-    marked = stage(docs.mapInArrow(run, schema + ", `__fp` long, `__more` long, `__content` long, `__size` int, `__tie` long").withColumn("__row", F.monotonically_increasing_id()))
-    inner = {"__content": "content", "__fp": "fp", "__more": "more", "__size": "size"}
-    links = similar_links(marked.select(*(F.col(a).alias(b) for a, b in inner.items()), "text"), words, distance, least, parts)
-    classes = stage(connected_components(links)).withColumnsRenamed({"node": "__content", "component": "__class"})
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__fp", "__content", "__tie", "__row")
-    firsts = marked.groupBy("__content").agg(F.min(order).alias("f")).join(classes, "__content", "left")
-    chosen = firsts.groupBy(F.coalesce("__class", "__content")).agg(F.min("f").alias("f")).select(F.col("f.__row").alias("__row"))
-    return marked.join(chosen.hint("merge"), "__row").select(*names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, own.values()))], names=["doc_id", "tie", *own])
+
+    # Texts stay where they are: rows go by their id and a hash of the text, and meet their text again where it is wanted.
+    keyed = docs.withColumns({"__id": F.xxhash64("doc_id"), "__tie": F.xxhash64("text")})
+    marked = stage(keyed.select("doc_id", F.col("__tie").alias("tie"), "text").mapInArrow(run, f"doc_id {kind}, tie long, fp long, more long, content long, size int"))
+    links = similar_links(marked, keyed.select(F.col("__tie").alias("tie"), "text"), words, distance, least, parts)
+    classes = stage(connected_components(links)).withColumnsRenamed({"node": "content", "component": "class"})
+    release(spark)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "content", "tie")
+    firsts = marked.groupBy("content").agg(F.min(order).alias("f")).join(classes, "content", "left")
+    chosen = firsts.groupBy(F.coalesce("class", "content")).agg(F.min("f").alias("f")).select(F.xxhash64("f.doc_id").alias("__id"), F.col("f.tie").alias("__tie"))
+    # Rows that repeat id and text are one before they move.
+    rows = keyed.groupBy("__id", "__tie").agg(F.first(F.struct(*names)).alias("__row"))
+    return rows.join(chosen.hint("merge"), ["__id", "__tie"]).select(*(F.col("__row")[c].alias(c) for c in names))
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import drop_staged, python_batches, stage, whole_groups
+from tidewire.llm.common import drop_staged, python_batches, release, stage, whole_groups
 from tidewire.llm.fmindex import FMIndex
 
 #: Words in a window, and in the grams whose smallest hash names the shard of a window.
@@ -355,6 +355,7 @@ def candidates(docs: DataFrame, heavy_rows: int | None = None, most: int | None
     dealt = new.select("key", salt, "content", "id", "tie", "at").repartition("key", "salt").sortWithinPartitions("key", "salt", "content", "id", "tie", "at")
     sorted_out = stage(dealt.mapInArrow(_sorted_out(hot, most), "id long, tie long, start long, n long, key long, kind int"))
     drop_staged(found)
+    release(docs.sparkSession)
 
     again = known.unionByName(sorted_out.where(F.col("kind") == AGAIN).select("id", "tie", "start", "n"))
     firsts = sorted_out.where(F.col("kind") != AGAIN)
