@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import clusters, editions, ledgers, marts, pairs
+from tidewire.operators import clusters, editions, ledgers, marts, pairs, routing
 from tidewire.plans import registry
 from tidewire.plans import sample as S
 
@@ -99,3 +99,20 @@ def test_order_dependent_queries_match_plain_loops(spark):
 
 def test_every_query_has_unique_columns_and_sql_names_exist():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) > 60
+
+
+def test_newest_row_before_matches_a_plain_loop(spark):
+
+    r = random.Random(4)
+    rows = [(k, r.choice(["hot", "hot", "hot", "a", "b", None]), r.choice([None, *range(0, 4 * 86400, 3600)])) for k in range(150)]
+    table = spark.createDataFrame(rows, "key int, cluster string, s long").selectExpr("key", "cluster", "timestamp_seconds(s) AS ts")
+    got = {x.key: x.seen.key if x.seen else None for x in pairs.newest_before(table, table, "cluster", 86400).collect()}
+    want = {k: max(((t, j) for j, d, t in rows if d == c and c is not None and None not in (s, t) and t < s <= t + 86400), default=(0, None))[1] for k, c, s in rows}
+    assert got == want
+
+
+def test_budget_keeps_the_rest_for_later(spark):
+    rows = spark.createDataFrame([(1, "wiki", 9), (2, "gov x", 1), (3, None, 5), (4, "gov wiki", 9), (5, "news", None), (6, "b", 7)], "key int, hint string, s long").selectExpr("key", "hint", "timestamp_seconds(s) AS ts", "'d' AS day")
+    tier = routing.priority(F.col("hint"), ["gov", "news"], ["wiki"])
+    out = routing.within_budget(rows.withColumn("tier", tier), "day", 4, routing.queue_order(F.col("tier"), F.col("ts"))).collect()
+    assert {x.key: x.tier for x in out} == {1: 2, 2: 0, 3: 1, 4: 2, 5: 0, 6: 1} and {x.key for x in out if x.taken} == {2, 5, 6, 3}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,13 +43,17 @@ def older_parts(text: Column) -> Column:
     return F.struct(head.alias("headline"), _line(text, "☑️").alias("lede"), _line(text, "🐧").alias("comment"), bullets.alias("bullets"), tags.alias("tags"))
 
 
-def source_label(raw: Column, wrapper: str, droppable: list[str], tails: list[str]) -> Column:
+#: Fixed values that must match for right results: endings of domain names that don't make a name another one.
+DOMAIN_ENDINGS = ["com", "net", "org", "kr", "jp", "co.kr", "news", "pro", "io", "info"]
+
+
+def source_label(raw: Column, wrapper: str, droppable: list[str], tails: list[str], endings: list[str] = DOMAIN_ENDINGS) -> Column:
     """A source's name for readers: out of its wrapper, without a bracket that repeats it or names a region, without tail words."""
     name = F.trim(F.coalesce(raw, F.lit("")))
     unwrapped = F.coalesce(F.nullif(F.regexp_extract(name, wrapper, 1), F.lit("")), name)
     head, inner = F.trim(F.regexp_extract(unwrapped, r"^(.*?)\s*\((.+)\)\s*$", 1)), F.trim(F.regexp_extract(unwrapped, r"^(.*?)\s*\((.+)\)\s*$", 2))
     folded = lambda c: F.lower(F.replace(c, F.lit(" "), F.lit("")))
-    repeats = F.regexp_replace(folded(inner), r"\.(co\.kr|com|net|org|kr|jp|news|pro|io|info)$", "") == folded(head)
+    repeats = F.regexp_replace(folded(inner), rf"\.({'|'.join(map(re.escape, endings))})$", "") == folded(head)
     kept = F.when((inner != "") & (inner.isin(droppable) | repeats), head).otherwise(unwrapped)
     return F.trim(F.regexp_replace(kept, rf"\s+({'|'.join(tails)})$", "")) if tails else kept
 

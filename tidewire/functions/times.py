@@ -44,6 +44,16 @@ def in_window(ts: Column, since: Column, until: Column) -> Column:
     return (ts > since) & (ts <= until)
 
 
+def not_before_day(origin: Column, floor_day: Column) -> Column:
+    """Not from a day before the floor, by the day of origin; an unknown origin is kept."""
+    return F.coalesce(F.to_date(origin) >= floor_day, F.lit(True))
+
+
+def not_before(origin: Column, since: Column) -> Column:
+    """Not from before `since`, by the time of origin; an unknown origin is kept."""
+    return F.coalesce(origin >= since, F.lit(True))
+
+
 def edition_bounds(day: Column, zone: str = "Asia/Seoul", opens: str = "06:50:00", closes: str = "06:00:00") -> tuple[Column, Column]:
     """(since, until) of an edition: from the day before at `opens` to the day at `closes`, in a zone."""
     at = lambda d, t: F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", d.cast("string"), F.lit(t))), zone)

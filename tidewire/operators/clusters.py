@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 
 
-def stage_path(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or in a local one only where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a local one on a local master; on any other there must be one that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-rounds-"))
-        base = _OWN[0]
-    return f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-rounds-"))
+    return _OWN[0]
+
+
+def stage_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:

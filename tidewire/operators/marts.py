@@ -24,9 +24,15 @@ def frequencies(rows: DataFrame, array: str, name: str, top: int) -> DataFrame:
 
 
 def editions(rows: DataFrame) -> DataFrame:
-    """edition, n, sorted distinct topics, items in time order."""
-    items = F.array_sort(F.collect_list(F.struct("ts", "key", "action")))
-    return rows.groupBy("edition").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("action")).alias("topics"), items.alias("items"))
+    """edition, n, sorted distinct topics, the sum of the keys. The items themselves stay rows: see edition_items."""
+    return rows.groupBy("edition").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("action")).alias("topics"), F.sum("key").alias("keys"))
+
+
+def edition_items(rows: DataFrame, topics: list[str]) -> DataFrame:
+    """rows of editions with their place: by topic in the given order (others last), then by original time, rows without one first."""
+    order = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, topics)), F.col("action")), F.lit(0)), F.lit(len(topics) + 1))
+    by = Window.partitionBy("edition").orderBy(order, F.coalesce(F.unix_timestamp("ts"), F.lit(0)), "key")
+    return rows.withColumn("place", F.row_number().over(by))
 
 
 def kpis(log: DataFrame) -> DataFrame:
@@ -46,10 +52,13 @@ def health(last: Column, now: Column) -> Column:
 
 
 def upper_median_gap(log: DataFrame, by: str) -> DataFrame:
-    """The median of the seconds between consecutive rows; of an even number the upper one."""
+    """The median of the seconds between consecutive rows; of an even number the upper one. Equal gaps are counted before they are put in order."""
     gap = F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(Window.partitionBy(by).orderBy("ts", "key"))
-    ranked = log.select(by, gap.alias("gap")).where("gap IS NOT NULL").groupBy(by).agg(F.array_sort(F.collect_list("gap")).alias("g"))
-    return ranked.select(by, F.element_at("g", (F.floor(F.size("g") / 2) + 1).cast("int")).alias("gap"))
+    counts = log.select(by, gap.alias("gap")).where("gap IS NOT NULL").groupBy(by, "gap").agg(F.count(F.lit(1)).alias("times"))
+    upto = F.sum("times").over(Window.partitionBy(by).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
+    middle = F.floor(F.sum("times").over(Window.partitionBy(by)) / 2) + 1
+    placed = counts.withColumns({"upto": upto, "middle": middle})
+    return placed.where((F.col("upto") >= F.col("middle")) & (F.col("upto") - F.col("times") < F.col("middle"))).select(by, "gap")
 
 
 def evaluation(rows: DataFrame, by: str) -> DataFrame:

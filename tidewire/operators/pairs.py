@@ -101,12 +101,29 @@ def shared_titles(rows: DataFrame, titles: DataFrame, id_col: str = "key", jacca
     return pairs.where(rule).select(F.col(f"a.{id_col}").alias(id_col)).distinct()
 
 
+def newest_before(rows: DataFrame, log: DataFrame, by: str, seconds: int, ts: str = "ts") -> DataFrame:
+    """rows with `seen`, the newest log row (ts, key) of the same `by` that is older by up to so many seconds, or null.
+
+    Both are one stream in time: a row takes the last log row that went by. Only that much time back counts, so the stream is cut into
+    spans of that length, in which log rows of the span before are repeated: a `by` that holds most rows is spread over its spans.
+    """
+    span = F.floor(F.unix_timestamp(ts) / seconds)
+    names = rows.columns
+    kind = log.select(F.struct(F.col(ts).alias("ts"), "key").alias("seen")).schema["seen"].dataType
+    left = rows.withColumns({"__span": span, "__kind": F.lit(0), "__seen": F.lit(None).cast(kind), "__at": F.col(ts)})
+    seen = F.struct(F.col(ts).alias("ts"), "key").alias("__seen")
+    right = log.where(F.col(by).isNotNull() & F.col(ts).isNotNull())
+    right = right.select(F.col(by), F.explode(F.array(span, span + 1)).alias("__span"), F.lit(1).alias("__kind"), seen, F.col(ts).alias("__at"))
+    # At one time, rows come before log rows, so that none sees a log row of its own moment.
+    way = Window.partitionBy(by, "__span").orderBy("__at", "__kind", "__seen.key").rowsBetween(Window.unboundedPreceding, -1)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("__last", F.last("__seen", ignorenulls=True).over(way)).where("__kind = 0")
+    near = F.col(by).isNotNull() & (F.unix_timestamp(ts) - F.unix_timestamp("__last.ts") <= seconds)
+    return both.select(*names, F.when(near, F.col("__last")).alias("seen"))
+
+
 def latest_before(rows: DataFrame, log: DataFrame, by: str, days: int, ts: str = "ts") -> DataFrame:
-    """Each row with the newest log row of the same `by` within the days before it (as-of backward), or nulls."""
-    right = log.select(F.col(by).alias("__by"), F.struct(F.col(ts).alias("ts"), F.col("key")).alias("seen"))
-    within = (F.col("seen.ts") < F.col(ts)) & (F.unix_timestamp(ts) - F.unix_timestamp("seen.ts") <= days * 86400)
-    joined = rows.join(right, (rows[by] == right["__by"]) & within, "left")
-    return joined.groupBy(*rows.columns).agg(F.max("seen").alias("seen"))
+    """Each row with the newest log row of the same `by` within the days before it (as-of backward), or null."""
+    return newest_before(rows, log, by, days * 86400, ts)
 
 
 def dominated(rows: DataFrame, rule, keys: list[str], hours: int = 36, id_col: str = "key") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import rules as R
+from tidewire.operators.pairs import newest_before
 
 
 @dataclass(frozen=True)
@@ -91,11 +92,32 @@ def first_readable(members: DataFrame, group: str = "leader") -> DataFrame:
     return members.where("readable").withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+def priority(hint: Column, first: list[str], last: list[str]) -> Column:
+    """Tier in the queue: 2 if the hint holds a word of `last`, else 0 with a word of `first`, else 1."""
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.coalesce(hint, F.lit("")), w))
+    return F.when(holds(last), 2).when(holds(first), 0).otherwise(1)
+
+
+def queue_order(tier: Column, ts: Column, key: str = "key") -> list[Column]:
+    """Order of the queue: by tier, then newest first, undated last."""
+    return [tier.asc(), ts.desc_nulls_last(), F.col(key).asc()]
+
+
+def importance_floor(category: Column, policy: list[str], policy_floor: int, usual: int) -> Column:
+    """The least importance that a category asks for: a lower one for policy categories."""
+    return F.when(category.isin(policy), policy_floor).otherwise(usual)
+
+
+def within_budget(rows: DataFrame, by: str, cap: int, order: list[Column]) -> DataFrame:
+    """rows with `taken`: the first `cap` of each `by` in the order; the others are deferred, and stay unseen."""
+    return rows.withColumn("taken", F.row_number().over(Window.partitionBy(by).orderBy(*order)) <= cap)
+
+
 def once_a_day(rows: DataFrame, log: DataFrame, hours: int = 24) -> DataFrame:
-    """Rows whose cluster has no log row in the hours before."""
-    seen = log.select(F.col("cluster").alias("__c"), F.col("ts").alias("__t"))
-    before = (F.unix_timestamp("ts") - F.unix_timestamp("__t")).between(1, hours * 3600)
-    return rows.join(seen, (rows["cluster"] == seen["__c"]) & before, "left_anti")
+    """Rows whose cluster has no log row in the hours before, in whole seconds."""
+    whole = F.timestamp_seconds(F.unix_timestamp("ts"))
+    seen = newest_before(rows.withColumn("__whole", whole), log.withColumn("__whole", whole), "cluster", hours * 3600, "__whole")
+    return seen.where("seen IS NULL").select(*rows.columns)
 
 
 def findings(rows: DataFrame, losers: DataFrame, expected_topic: Column) -> DataFrame:

@@ -42,10 +42,10 @@ def latest_per_key(spark, sf_dir):
     return ledgers.latest_per_key(S.log(spark, sf_dir), ["cluster"], [F.col("ts").desc(), F.col("key").desc()]).select("cluster", "key", "score")
 
 
-@query(f"WITH {S.ITEMS} SELECT doc_id FROM items WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND source NOT IN (SELECT source FROM items WHERE doc_id < 3)")
+@query(f"WITH {S.ITEMS} SELECT doc_id FROM items WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) AND source NOT IN (SELECT source FROM items WHERE ts < TIMESTAMP '2024-01-01 00:20:00')")
 def unseen_anti(spark, sf_dir):
     rows = S.items(spark, sf_dir)
-    return ledgers.unseen(rows, {"doc_id": S.table(spark, sf_dir, "labels").where("quality = 1"), "source": rows.where("doc_id < 3")}).select("doc_id")
+    return ledgers.unseen(rows, {"doc_id": S.table(spark, sf_dir, "labels").where("quality = 1"), "source": rows.where("ts < TIMESTAMP '2024-01-01 00:20:00'")}).select("doc_id")
 
 
 @query(f"""WITH {S.LOG}, l AS (SELECT cluster AS key, max(score) AS score FROM log WHERE cluster < 100 GROUP BY 1), n AS (SELECT cluster AS key, min(score) AS score FROM log WHERE cluster >= 50 GROUP BY 1)
@@ -70,9 +70,9 @@ def forget_unpublished(spark, sf_dir):
     return ledgers.forget(log, log.where("score > 95"), "cluster", log.where("action = 'deal' AND score > 80")).select("key", "cluster")
 
 
-@query(f"""WITH {S.LOG}, w AS (SELECT DISTINCT action AS scope, strftime(ts, '%Y-%m-%d') AS window_end FROM log), r AS (SELECT DISTINCT action AS scope, strftime(ts, '%Y-%m-%d') AS window_end FROM log WHERE score > 90) SELECT * FROM w EXCEPT SELECT * FROM r""")
+@query(f"""WITH {S.LOG}, w AS (SELECT DISTINCT action AS scope, strftime(ts, '%Y-%m-%d %H') AS window_end FROM log), r AS (SELECT DISTINCT action AS scope, strftime(ts, '%Y-%m-%d %H') AS window_end FROM log WHERE score > 90) SELECT * FROM w EXCEPT SELECT * FROM r""")
 def pending_runs(spark, sf_dir):
-    log = S.log(spark, sf_dir).select(F.col("action").alias("scope"), F.date_format("ts", "yyyy-MM-dd").alias("window_end"), "score")
+    log = S.log(spark, sf_dir).select(F.col("action").alias("scope"), F.date_format("ts", "yyyy-MM-dd HH").alias("window_end"), "score")
     return ledgers.pending_runs(log.select("scope", "window_end").distinct(), log.where("score > 90"))
 
 
@@ -146,11 +146,11 @@ def shared_titles_anti(spark, sf_dir):
     return rows.select("doc_id").join(hit, "doc_id", "left_anti")
 
 
-@query(f"""WITH {S.DESCRIBED}, p AS (SELECT a.doc_id AS x, b.doc_id AS y, b.doc_id % 3 = 0 AS free, len(list_intersect(a.tokens, b.tokens))::DOUBLE / least(len(a.tokens), len(b.tokens)) AS o FROM described a JOIN described b ON a.doc_id <> b.doc_id AND abs(a.epoch - b.epoch) <= 2 * 86400 AND list_has_any(a.tokens, b.tokens) WHERE a.doc_id % 3 = 1),
+@query(f"""WITH {S.DESCRIBED}, p AS (SELECT a.doc_id AS x, b.doc_id AS y, length(b.body) >= 400 AS free, len(list_intersect(a.tokens, b.tokens))::DOUBLE / least(len(a.tokens), len(b.tokens)) AS o FROM described a JOIN described b ON a.doc_id <> b.doc_id AND abs(a.epoch - b.epoch) <= 2 * 86400 AND list_has_any(a.tokens, b.tokens)),
  r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY o DESC, y) AS rn FROM p WHERE o >= 0.45) SELECT x AS doc_id, y AS alt FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY rn) AS k FROM r WHERE rn <= 8 AND free) WHERE k = 1""")
 def best_alternative(spark, sf_dir):
-    rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ts", (F.col("doc_id") % 3 == 0).alias("free"))
-    return pairs.alternatives(rows.where("doc_id % 3 = 1"), rows, id_col="doc_id")
+    rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ts", (F.length("body") >= 400).alias("free"))
+    return pairs.alternatives(rows, rows, id_col="doc_id")
 
 
 @query("SELECT p.page_id, coalesce(d.url, p.url) AS url FROM pages p LEFT JOIN (SELECT page_id - 1 AS page_id, url FROM pages WHERE page_id % 2 = 1) d USING (page_id)")
@@ -184,12 +184,13 @@ def event_fingerprint(spark, sf_dir):
     return S.described(spark, sf_dir).select("doc_id", clusters.fingerprint(F.col("ents"), F.col("tokens"), F.col("action"), F.col("bucket")).alias("fingerprint"))
 
 
-_STORY = "story AS (SELECT DISTINCT w FROM (SELECT unnest(telling) AS w FROM described WHERE doc_id % 50 = 0 UNION ALL SELECT w FROM (SELECT unnest(telling) AS w FROM described WHERE doc_id % 5 = 1) GROUP BY w HAVING count(*) >= 3 AND length(w) >= 4))"
+_STORY = "story AS (SELECT DISTINCT w FROM (SELECT unnest(telling) AS w FROM described JOIN labels USING (doc_id) WHERE toxic = 1 UNION ALL SELECT w FROM (SELECT unnest(telling) AS w FROM described JOIN labels USING (doc_id) WHERE quality = 0) GROUP BY w HAVING count(*) >= 3 AND length(w) >= 4))"
 
 
 def _story(spark, sf_dir):
     rows = S.described(spark, sf_dir)
-    return clusters.repeated_words(rows.where("doc_id % 50 = 0"), rows.where("doc_id % 5 = 1"))
+    labels = S.table(spark, sf_dir, "labels")
+    return clusters.repeated_words(rows.join(labels.where("toxic = 1"), "doc_id"), rows.join(labels.where("quality = 0"), "doc_id"))
 
 
 @query(f"WITH {S.DESCRIBED}, {_STORY} SELECT w AS word FROM story")
@@ -298,7 +299,7 @@ def entity_top24(spark, sf_dir):
 
 @query(f"WITH {S.LOG} SELECT strftime(ts, '%Y-%m-%d') AS edition, count(*) AS n, array_to_string(list_sort(list(DISTINCT action)), ',') AS topics, sum(key) AS keys FROM log WHERE score >= 65 GROUP BY 1")
 def editions_mart(spark, sf_dir):
-    return marts.editions(S.log(spark, sf_dir).where("score >= 65").withColumn("edition", F.date_format("ts", "yyyy-MM-dd"))).select("edition", "n", F.array_join("topics", ",").alias("topics"), F.aggregate("items", F.lit(0).cast("long"), lambda s, x: s + x["key"]).alias("keys"))
+    return marts.editions(S.log(spark, sf_dir).where("score >= 65").withColumn("edition", F.date_format("ts", "yyyy-MM-dd"))).select("edition", "n", F.array_join("topics", ",").alias("topics"), "keys")
 
 
 @query(f"WITH {S.LOG} SELECT count(*) AS judged, count(*) FILTER (score >= 65) AS sent, count(*) FILTER (score >= 85 AND action = 'deal') AS key_issues, count(DISTINCT cluster) AS clusters, floor(epoch(max(ts)))::BIGINT AS last FROM log")
@@ -325,11 +326,42 @@ def topic_deviation(spark, sf_dir):
     return marts.deviation(docs, docs.join(S.table(spark, sf_dir, "labels"), "doc_id"), "source")
 
 
-@query(f"WITH {S.LOG} SELECT d.key AS edition, p.pos, l.key, l.score FROM (SELECT 0 AS key, [5, 3, 900000000, 8] AS keys) d, LATERAL (SELECT unnest([0, 1, 2, 3]) AS pos, unnest(d.keys) AS k) p LEFT JOIN log l ON l.key = p.k")
+@query(f"""WITH {S.LOG}, d AS (SELECT strftime(ts, '%Y-%m-%d') AS edition, key AS k, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY score DESC, key) - 1 AS pos FROM log)
+ SELECT edition, pos::INT AS pos, l.key, l.score FROM d LEFT JOIN (SELECT key, score FROM log WHERE action <> 'deal') l ON l.key = d.k WHERE pos < 6""")
 def draft_order(spark, sf_dir):
-    log = S.log(spark, sf_dir)
-    draft = log.where("key = 0").select(F.col("key").cast("int").alias("edition"), F.posexplode(F.array(*(F.lit(k).cast("long") for k in (5, 3, 900000000, 8)))).alias("pos", "k"))
-    return draft.join(log.select("key", "score"), F.col("k") == F.col("key"), "left").select("edition", "pos", "key", "score")
+    """Each day's draft, in its order, with the attributes of the articles that are known (those of one action are not)."""
+    log = S.log(spark, sf_dir).withColumn("edition", F.date_format("ts", "yyyy-MM-dd"))
+    pos = F.row_number().over(Window.partitionBy("edition").orderBy(F.col("score").desc(), "key")) - 1
+    draft = log.select("edition", F.col("key").alias("k"), pos.alias("pos")).where("pos < 6")
+    return draft.join(log.where("action != 'deal'").select("key", "score"), F.col("k") == F.col("key"), "left").select("edition", "pos", "key", "score")
+
+
+@query(f"""WITH {S.ITEMS}, t AS (SELECT doc_id, ts, CASE WHEN contains(source, 'wiki') THEN 2 WHEN contains(source, 'news') OR contains(source, 'gov') THEN 0 ELSE 1 END AS tier FROM items),
+ r AS (SELECT *, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY tier, ts DESC NULLS LAST, doc_id) AS place FROM t) SELECT doc_id, tier, place <= 40 AS taken FROM r""")
+def budget_queue(spark, sf_dir):
+    rows = S.items(spark, sf_dir).select("doc_id", "ts", routing.priority(F.col("source"), ["news", "gov"], ["wiki"]).alias("tier"), F.to_date("ts").alias("day"))
+    return routing.within_budget(rows, "day", 40, routing.queue_order(F.col("tier"), F.col("ts"), "doc_id")).select("doc_id", "tier", "taken")
+
+
+@query(f"WITH {S.LOG} SELECT key, CASE WHEN action IN ('regulation', 'governance') THEN 30 ELSE 60 END AS least FROM log WHERE score >= CASE WHEN action IN ('regulation', 'governance') THEN 30 ELSE 60 END")
+def over_importance_floor(spark, sf_dir):
+    least = routing.importance_floor(F.col("action"), ["regulation", "governance"], 30, 60)
+    return S.log(spark, sf_dir).withColumn("least", least).where("score >= least").select("key", "least")
+
+
+@query(f"""WITH {S.LOG}, o AS (SELECT key, CASE WHEN k > 1 THEN ts END AS origin FROM log)
+ SELECT key, coalesce(CAST(origin AS DATE) >= DATE '2024-01-11', TRUE) AS of_day, coalesce(origin >= TIMESTAMP '2024-01-10 21:50:00', TRUE) AS of_window FROM o""")
+def origin_floors(spark, sf_dir):
+    rows = S.log(spark, sf_dir).select("key", F.when(F.col("k") > 1, F.col("ts")).alias("origin"))
+    of_day = times.not_before_day(F.col("origin"), F.lit("2024-01-11").cast("date"))
+    return rows.select("key", of_day.alias("of_day"), times.not_before(F.col("origin"), F.lit("2024-01-10 21:50:00").cast("timestamp")).alias("of_window"))
+
+
+@query(f"""WITH {S.LOG}, e AS (SELECT strftime(ts, '%Y-%m-%d') AS edition, * FROM log WHERE score >= 65)
+ SELECT edition, key, row_number() OVER (PARTITION BY edition ORDER BY CASE action WHEN 'deal' THEN 1 WHEN 'market' THEN 2 ELSE 3 END, floor(epoch(ts)), key)::INT AS place FROM e""")
+def edition_items(spark, sf_dir):
+    rows = S.log(spark, sf_dir).where("score >= 65").withColumn("edition", F.date_format("ts", "yyyy-MM-dd"))
+    return marts.edition_items(rows, ["deal", "market"]).select("edition", "key", "place")
 
 
 @query(f"WITH {S.LOG} SELECT CASE WHEN score >= 65 THEN 'sent' WHEN k < 5 THEN 'dup' WHEN score >= 50 THEN 'passed' ELSE 'dropped' END AS facet, action, count(*) AS n FROM log GROUP BY 1, 2")
@@ -361,12 +393,15 @@ def bulletin(spark, sf_dir):
 # Sources, over payloads made from the tables
 
 
-@query(f"WITH {S.ITEMS} SELECT source, trim(title) AS title, doc_id::VARCHAR AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM items WHERE NOT contains(title, '&') AND NOT contains(title, '<')) WHERE rn <= 15")
+@query(f"WITH {S.ITEMS} SELECT source, trim(title) AS title, doc_id::VARCHAR AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM items) WHERE rn <= 15")
 def feed_roundtrip(spark, sf_dir):
-    clean = S.items(spark, sf_dir).where("NOT contains(title, '&') AND NOT contains(title, '<')")
+    """Each source's feed, of as many items as a feed delivers, written with character references and read again."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = S.items(spark, sf_dir).withColumn("place", place).where("place <= 15")
     id_ = F.col("doc_id").cast("string")
-    xml = F.concat(F.lit("<item><title>"), "title", F.lit("</title><link>https://example.com/"), id_, F.lit("</link><guid>"), id_, F.lit("</guid></item>"))
-    payloads = clean.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", xml.alias("x")))), lambda s: s["x"]), "").alias("payload"))
+    title = F.replace(F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://example.com/"), id_, F.lit("</link><guid>"), id_, F.lit("</guid></item>"))
+    payloads = rows.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", xml.alias("x")))), lambda s: s["x"]), "").alias("payload"))
     return feeds.feed_items(payloads).select("source", "title", "unique_id")
 
 
