@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 import weakref
 
@@ -11,26 +10,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.clusters import shared_dir
+
 #: What separates words: the space and the characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN_DIR: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-stage-"))
-    return f"file://{_OWN_DIR[0]}"
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so that its lineage ends there."""
     spark = df.sparkSession
