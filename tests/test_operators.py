@@ -45,6 +45,9 @@ def test_blocking_loses_no_pair(spark, tmp_path):
         want = {(x.a.key, x.b.key) for x in every.where(rule(F.col("a"), F.col("b"), ["word1"])).collect()}
         got = {(x.a.key, x.b.key) for x in pairs.blocked_pairs(df, df, keys, same=True).where(rule(F.col("a"), F.col("b"), ["word1"])).collect()}
         assert got == want and want
+    near = every.where("a.action = b.action AND abs(a.bucket - b.bucket) <= 1 AND arrays_overlap(a.tokens, b.tokens)")
+    keyed = pairs.blocked_pairs(df, df, ["tokens"], same=True, equal=("action",), next_to="bucket").collect()
+    assert sorted((x.a.key, x.b.key) for x in keyed) == sorted((x.a.key, x.b.key) for x in near.collect())
     close = {(x.a.key, x.b.key) for x in every.collect() if len(set(x.a.tokens) & set(x.b.tokens)) / len(set(x.a.tokens) | set(x.b.tokens)) >= 0.4}
     assert {(x.a_id, x.b_id) for x in pairs.jaccard_pairs(df, 0.4).collect()} == close
 
@@ -61,15 +64,63 @@ def test_ledgers(spark):
     assert ledgers.champions(drafts).first()["keys"] == ["2"]
 
 
-def test_quotas_hold():
+def filled(rows, quotas, topup_least=30, fill=True):
+    """The plain loop: every row of an edition in memory, a phase at a time."""
+    ranked = sorted(rows, key=lambda r: (-r["rank_score"], r["key"]))
+    promoted, usual = [r for r in ranked if r["pr"]][:1], [r for r in ranked if not r["pr"]]
+    picked = []
+
+    def fits(r, category, head):
+        same = lambda c, v: sum(v in p[c] if c == "themes" else p[c] == v for p in picked)
+        return not (
+            r in picked
+            or not r["readable"]
+            or any(quotas.same(r, p) for p in picked)
+            or (category and same("category", r["category"]) >= quotas.caps.get(r["category"], quotas.default_cap))
+            or any(same("themes", t) >= n for t, n in quotas.theme_caps.items() if t in r["themes"])
+            or (head and same("head", r["head"]) >= quotas.per_head)
+        )
+
+    for category, floor in quotas.floors.items():
+        for r in sorted((r for r in usual if r["category"] == category and r["fit"] >= quotas.floor_least), key=lambda r: (-r["fit"], r["key"])):
+            if floor and fits(r, False, False):
+                picked.append(r)
+                floor -= 1
+    for least, category, head in [(None, True, True)] + ([(topup_least, False, True)] if topup_least is not None else []) + ([(None, False, False)] if fill else []):
+        for r in [*promoted, *usual]:
+            if len(picked) < quotas.count and (least is None or r["fit"] >= least) and fits(r, category, head):
+                picked.append(r)
+    return [r["key"] for r in sorted(picked, key=lambda r: (r["pr"], -r["rank_score"], r["key"]))]
+
+
+def test_editions_equal_the_plain_loop(spark):
+    r = random.Random(5)
     same = lambda a, b: a["event"] == b["event"]
-    rows = [dict(key=f"k{k}", rank_score=100 - k, fit=60 - k, category="m" if k < 12 else "w" if k == 30 else "x", themes=["t"] if k % 4 == 0 else [], head=f"h{k % 3}", pr=k in (5, 6), readable=k != 1, event=k if k != 3 else 2) for k in range(32)]
-    quotas = editions.Quotas({"m": 3}, {"t": 1}, {"w": 1}, same, count=10, per_head=4)
-    strict = quotas.pick(rows, topup_least=None, fill=False)
-    assert sum(r["category"] == "m" for r in strict) <= 3 and sum("t" in r["themes"] for r in strict) <= 1 and any(r["key"] == "k30" for r in strict)
-    full = quotas.pick(rows)
-    assert len(full) == 10 and sum(r["pr"] for r in full) <= 1 and not any(r["key"] in ("k1", "k3") for r in full)
-    assert [r["pr"] for r in full] == sorted(r["pr"] for r in full) and len({r["event"] for r in full}) == 10
+    rows = []
+    for day, n, good in (("a", 1500, 0.01), ("b", 1500, 0.9), ("c", 40, 0.5), (None, 30, 0.9), ("e", 3, 1.0)):
+        for k in range(n):  # in the first, most rows can't be read, so the picks lie far down
+            rows.append(dict(day=day, key=f"{day}{k:04}", rank_score=r.randrange(100), fit=r.randrange(60), category=r.choice("mmmwx"), themes=r.sample(["t", "u"], r.randrange(3)), head=f"h{k % 3}", pr=r.random() < 0.1, readable=r.random() < good, event=r.randrange(n)))
+    kinds = "day string, key string, rank_score int, fit int, category string, themes array<string>, head string, pr boolean, readable boolean, event int"
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], kinds).repartition(7)
+    quotas = editions.Quotas({"m": 3}, {"t": 1}, {"w": 2, "x": 1}, same, count=10, per_head=4)
+    for least, fill in ((30, True), (None, False)):
+        got = {}
+        for x in editions.edition(df, ["day"], quotas, least, fill).orderBy("place").collect():
+            got.setdefault(x.day, []).append(x.key)
+        assert got == {d: filled([x for x in rows if x["day"] == d], quotas, least, fill) for d in ("a", "b", "c", None, "e")}
+    assert editions.edition(df.where("false"), ["day"], quotas).count() == 0
+
+
+def test_rows_at_hand_are_alike_as_columns_say(spark):
+    r = random.Random(6)
+    words = ["acorn", "acme", "merger", "merge", "deal", "dealing", "the", "42", "bank", "bankers", "plan", "planned", "x"]
+    row = lambda: dict(tokens=r.sample(words, r.randint(0, 5)), ents=r.sample(["Acme", "Bank", "Q"], r.randint(0, 2)), action=r.choice(["a", "b"]))
+    some = [(row(), row()) for _ in range(600)]
+    one = "struct<tokens: array<string>, ents: array<string>, action: string>"
+    df = spark.createDataFrame([(k, *(tuple(x.values()) for x in ab)) for k, ab in enumerate(some)], f"k int, a {one}, b {one}")
+    got = {x.k for x in df.where(pairs.same_story(F.col("a"), F.col("b"), ["the", "plan"])).collect()}
+    same = editions.alike(["the", "plan"])
+    assert got == {k for k, (a, b) in enumerate(some) if same(a, b)} and 50 < len(got) < 550
 
 
 def test_health_and_signals(spark):

@@ -26,6 +26,25 @@ def test_one_batch_and_many_give_one_ledger(spark, tmp_path):
     assert seen[1] == seen[6] == {f"k{k}" for k in range(30)}
 
 
+def test_a_batch_run_again_emits_once(spark, tmp_path):
+    path, emitted = f"{tmp_path}/ledger", []
+    batch = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "key string, t long").withColumn("published_at", F.timestamp_seconds("t"))
+    more = batch.union(spark.createDataFrame([("c", 9)], "key string, t long").withColumn("published_at", F.timestamp_seconds("t")))
+
+    def fails(df, number):
+        raise OSError("lost")
+
+    emit = lambda df, n: emitted.extend((n, r.key) for r in df.collect())
+    for k, df in ((0, batch), (0, batch), (1, more), (1, more)):
+        try:
+            flows.ledger_batch(df, k, path, "key", fails)
+        except OSError:
+            pass
+        flows.ledger_batch(df, k, path, "key", emit)
+    assert sorted(emitted) == [(0, "a"), (0, "b"), (1, "c")]
+    assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
 def test_warm_up_emits_nothing(spark, tmp_path):
     landed(spark, f"{tmp_path}/in", 1)
     emitted = []

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as T
 
 
-def blocked_pairs(a: DataFrame, b: DataFrame, keys: list[str], id_col: str = "key", condition: Column | None = None, same: bool = False) -> DataFrame:
+def blocked_pairs(a: DataFrame, b: DataFrame, keys: list[str], id_col: str = "key", condition: Column | None = None, same: bool = False, equal: tuple[str, ...] = (), next_to: str | None = None) -> DataFrame:
     """Distinct pairs (a as struct a, b as struct b) that share an element of any of the array columns `keys`.
 
     Rows are exploded by element and joined on it, so a rare element costs little; AQE splits the frequent ones. condition
     (over a.* and b.*) is applied within the join. same: a and b are one table, and each pair comes once with a's id the smaller.
+    equal, next_to: columns that must be equal, and a whole number that may differ by one; both go into the join's key, so that a
+    frequent element meets only rows that the rule lets through.
     """
     def marked(k: str) -> Column:
         return F.transform(k, lambda x: F.concat(F.lit(f"{k}:"), x))
 
     def element(df: DataFrame, side: str) -> DataFrame:
         blocks = F.array_distinct(F.concat(*map(marked, keys)))
-        return df.select(F.struct("*").alias(side), blocks.alias(f"__in_{side}")).withColumn("__block", F.explode(f"__in_{side}"))
+        rest = [F.col(c).alias(f"__{c}") for c in equal]
+        if next_to:
+            at = F.col(next_to)
+            rest.append((F.explode(F.array(at - 1, at, at + 1)) if side == "b" else at).alias("__near"))
+        return df.select(F.struct("*").alias(side), blocks.alias(f"__in_{side}"), *rest).withColumn("__block", F.explode(f"__in_{side}"))
 
-    pairs = element(a, "a").join(element(b, "b"), "__block")
+    pairs = element(a, "a").join(element(b, "b"), ["__block", *(f"__{c}" for c in equal), *(["__near"] if next_to else [])])
     if same:
         pairs = pairs.where(F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
     if condition is not None:
@@ -83,12 +89,29 @@ def same_story(a: Column, b: Column, generic: list[str], strict: bool = False) -
     return F.when(F.size(shared) > 0, by_name).otherwise(by_title)
 
 
-def without_known(rows: DataFrame, known: DataFrame, rule, keys: list[str], id_col: str = "key") -> DataFrame:
-    """The rows for which no row of known is the same by rule(a, b)."""
-    hit = blocked_pairs(rows, known, keys, id_col).where(rule(F.col("a"), F.col("b"))).select(F.col(f"a.{id_col}").alias(id_col)).distinct()
+def without_known(rows: DataFrame, known: DataFrame, rule, keys: list[str], id_col: str = "key", hours: int | None = None, equal: tuple[str, ...] = ()) -> DataFrame:
+    """The rows for which no row of known, with hours one of so many hours before (ts), is the same by rule(a, b).
+
+    equal: columns that must be equal, such as the edition for which a known row counts.
+
+    Spans of that length go into the join's key, so that a row meets only those of its span and the one before.
+    """
+    if hours is None:
+        found = blocked_pairs(rows, known, keys, id_col, equal=equal)
+    else:
+        age = F.unix_timestamp("a.ts") - F.unix_timestamp("b.ts")
+        spanned = lambda df: df.withColumn("__span", F.floor(F.unix_timestamp("ts") / (hours * 3600)))
+        found = blocked_pairs(spanned(rows), spanned(known), keys, id_col, (age > 0) & (age <= hours * 3600), equal=equal, next_to="__span")
+    hit = found.where(rule(F.col("a"), F.col("b"))).select(F.col(f"a.{id_col}").alias(id_col)).distinct()
     return rows.join(hit, id_col, "left_anti")
 
 
+def without_used(rows: DataFrame, used: DataFrame, articles: list[Column], id_col: str = "key") -> DataFrame:
+    """The rows of which no article key, one for each form of the address, is among used (article); empty keys match nothing."""
+    each = rows.select(id_col, F.explode(F.array(*articles)).alias("article")).where("article != ''")
+    return rows.join(each.join(used.select("article"), "article", "left_semi").select(id_col).distinct(), id_col, "left_anti")
+
+
 def shared_titles(rows: DataFrame, titles: DataFrame, id_col: str = "key", jaccard: float = 0.30, stems: int = 3) -> DataFrame:
     """Ids of the rows (tokens) whose title was shared before: Jaccard at least `jaccard`, or as many stems.
 
@@ -126,10 +149,13 @@ def latest_before(rows: DataFrame, log: DataFrame, by: str, days: int, ts: str =
     return newest_before(rows, log, by, days * 86400, ts)
 
 
-def dominated(rows: DataFrame, rule, keys: list[str], hours: int = 36, id_col: str = "key") -> DataFrame:
-    """(loser, winner): same event within the hours, and the loser covers less; the winner is the widest, then the smallest id."""
+def dominated(rows: DataFrame, rule, keys: list[str], hours: int = 36, id_col: str = "key", equal: tuple[str, ...] = (), next_to: str | None = None) -> DataFrame:
+    """(loser, winner): same event within the hours, and the loser covers less; the winner is the widest, then the smallest id.
+
+    equal, next_to: what the rule asks for, see blocked_pairs.
+    """
     near = F.abs(F.unix_timestamp(F.col("a.ts")) - F.unix_timestamp(F.col("b.ts"))) <= hours * 3600
-    pairs = blocked_pairs(rows, rows, keys, id_col, (F.col("a.coverage") < F.col("b.coverage")) & near)
+    pairs = blocked_pairs(rows, rows, keys, id_col, (F.col("a.coverage") < F.col("b.coverage")) & near, equal=equal, next_to=next_to)
     hit = pairs.where(rule(F.col("a"), F.col("b")))
     return hit.groupBy(F.col(f"a.{id_col}").alias("loser")).agg(F.min_by(F.col(f"b.{id_col}"), F.struct(-F.col("b.coverage"), F.col(f"b.{id_col}"))).alias("winner"))
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import rules as R
 from tidewire.functions import text as T
-from tidewire.functions import times
+from tidewire.functions import times, urls
 from tidewire.functions import published
 from tidewire.operators import clusters, editions, ledgers, marts, pairs, routing
 from tidewire.plans import sample as S
+from tidewire.plans.scalars import ARTICLE_PLACE, ARTICLE_SQL
 from tidewire.sources import feeds
 from tidewire.streaming import flows
 
@@ -48,20 +49,20 @@ def unseen_anti(spark, sf_dir):
     return ledgers.unseen(rows, {"doc_id": S.table(spark, sf_dir, "labels").where("quality = 1"), "source": rows.where("ts < TIMESTAMP '2024-01-01 00:20:00'")}).select("doc_id")
 
 
-@query(f"""WITH {S.LOG}, l AS (SELECT cluster AS key, max(score) AS score FROM log WHERE cluster < 100 GROUP BY 1), n AS (SELECT cluster AS key, min(score) AS score FROM log WHERE cluster >= 50 GROUP BY 1)
+@query(f"""WITH {S.LOG}, l AS (SELECT cluster AS key, max(score) AS score FROM log WHERE action = 'deal' GROUP BY 1), n AS (SELECT cluster AS key, min(score) AS score FROM log WHERE action <> 'deal' GROUP BY 1)
  SELECT * FROM l UNION ALL SELECT * FROM n WHERE key NOT IN (SELECT key FROM l)""")
 def merge_insert_ignore(spark, sf_dir):
     log = S.log(spark, sf_dir)
-    local = log.where("cluster < 100").groupBy(F.col("cluster").alias("key")).agg(F.max("score").alias("score"))
-    remote = log.where("cluster >= 50").groupBy(F.col("cluster").alias("key")).agg(F.min("score").alias("score"))
+    local = log.where("action = 'deal'").groupBy(F.col("cluster").alias("key")).agg(F.max("score").alias("score"))
+    remote = log.where("action != 'deal'").groupBy(F.col("cluster").alias("key")).agg(F.min("score").alias("score"))
     return ledgers.merged(local, remote, ["key"])
 
 
-@query(f"""WITH {S.LOG}, l AS (SELECT key, CASE WHEN score > 20 THEN score END AS score, k FROM log), r AS (SELECT key, score AS rs FROM log WHERE key % 2 = 0) SELECT l.key, coalesce(score, rs) AS score, k FROM l LEFT JOIN r USING (key)""")
+@query(f"""WITH {S.LOG}, l AS (SELECT key, CASE WHEN score > 20 THEN score END AS score, k FROM log), r AS (SELECT key, score AS rs FROM log WHERE k < 50) SELECT l.key, coalesce(score, rs) AS score, k FROM l LEFT JOIN r USING (key)""")
 def merge_fill_null(spark, sf_dir):
     log = S.log(spark, sf_dir)
     local = log.select("key", F.when(F.col("score") > 20, F.col("score")).alias("score"), "k")
-    return ledgers.filled(local, log.where("key % 2 = 0").select("key", "score"), "key")
+    return ledgers.filled(local, log.where("k < 50").select("key", "score"), "key")
 
 
 @query(f"WITH {S.LOG} SELECT key, cluster FROM log WHERE NOT (cluster IN (SELECT cluster FROM log WHERE score > 95) AND cluster NOT IN (SELECT cluster FROM log WHERE action = 'deal' AND score > 80))")
@@ -89,10 +90,10 @@ def rolling_history(spark, sf_dir):
     return ledgers.rolling(S.log(spark, sf_dir), F.date_trunc("minute", "ts"), 3000, F.col("ts")).select("key")
 
 
-@query(f"WITH {S.LOG} SELECT l.key, coalesce(p.score, l.score) AS score FROM log l LEFT JOIN (SELECT key, score + 1 AS score FROM log WHERE key % 3 = 0) p USING (key)")
+@query(f"WITH {S.LOG} SELECT l.key, coalesce(p.score, l.score) AS score FROM log l LEFT JOIN (SELECT key, score + 1 AS score FROM log WHERE action = 'market') p USING (key)")
 def patched_columns(spark, sf_dir):
-    log = S.log(spark, sf_dir).select("key", "score")
-    return ledgers.patched(log, log.where("key % 3 = 0").withColumn("score", F.col("score") + 1), "key")
+    log = S.log(spark, sf_dir).select("key", "score", "action")
+    return ledgers.patched(log.drop("action"), log.where("action = 'market'").drop("action").withColumn("score", F.col("score") + 1), "key")
 
 
 # Joins
@@ -124,8 +125,7 @@ _TELL = f"len(list_filter(list_intersect(a.telling, b.telling), lambda x: {_NAME
  SELECT a_id, b_id FROM p WHERE j >= 0.62 OR (tell >= 2 AND j >= 0.25) OR (shared AND (j >= 0.25 OR tell >= 1))""")
 def same_event_pairs(spark, sf_dir):
     rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ents", "action", "bucket")
-    near = (F.col("a.action") == F.col("b.action")) & (F.abs(F.col("a.bucket") - F.col("b.bucket")) <= 1)
-    hit = pairs.blocked_pairs(rows, rows, ["tokens"], "doc_id", near, same=True).where(pairs.same_event(F.col("a"), F.col("b"), S.GENERIC))
+    hit = pairs.blocked_pairs(rows, rows, ["tokens"], "doc_id", same=True, equal=("action",), next_to="bucket").where(pairs.same_event(F.col("a"), F.col("b"), S.GENERIC))
     return hit.select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"))
 
 
@@ -133,16 +133,16 @@ def same_event_pairs(spark, sf_dir):
  SELECT loser, winner FROM (SELECT *, row_number() OVER (PARTITION BY loser ORDER BY c DESC, winner) AS rn FROM p WHERE j >= 0.62 OR (tell >= 2 AND j >= 0.25) OR (shared AND (j >= 0.25 OR tell >= 1))) WHERE rn = 1""")
 def dominated_pairs(spark, sf_dir):
     rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ents", "action", "bucket", "coverage", "ts")
-    return pairs.dominated(rows, lambda a, b: pairs.same_event(a, b, S.GENERIC), ["tokens"], 36, "doc_id")
+    return pairs.dominated(rows, lambda a, b: pairs.same_event(a, b, S.GENERIC), ["tokens"], 36, "doc_id", ("action",), "bucket")
 
 
-@query(f"""WITH {S.DESCRIBED}, b AS (SELECT list_filter(list_distinct(list_filter(string_split({S.NORM}, ' '), lambda x: length(x) > 1)), lambda x: NOT list_contains({S._list(S.STOP)}, x)) AS tokens FROM (SELECT substr(text, 1, 120) AS title FROM benchmark)),
- hit AS (SELECT DISTINCT d.doc_id FROM described d, b WHERE {S.jaccard('d.tokens', 'b.tokens')} >= 0.30 OR len(list_filter(d.tokens, lambda x: len(list_filter(b.tokens, lambda y: starts_with(x, y) OR starts_with(y, x) OR (length(x) >= 3 AND length(y) >= 3 AND substr(x, 1, 3) = substr(y, 1, 3)))) > 0)) >= 12)
+@query(f"""WITH {S.DESCRIBED}, b AS (SELECT list_filter(list_distinct(list_filter(string_split({S.NORM}, ' '), lambda x: length(x) > 1)), lambda x: NOT list_contains({S._list(S.STOP)}, x)) AS tokens FROM (SELECT split_part(split_part(text, chr(10), 1), '. ', 1) AS title FROM benchmark)),
+ hit AS (SELECT DISTINCT d.doc_id FROM described d, b WHERE {S.jaccard('d.tokens', 'b.tokens')} >= 0.30 OR len(list_filter(d.tokens, lambda x: len(list_filter(b.tokens, lambda y: starts_with(x, y) OR starts_with(y, x) OR (length(x) >= 3 AND length(y) >= 3 AND substr(x, 1, 3) = substr(y, 1, 3)))) > 0)) >= 3)
  SELECT doc_id FROM described WHERE doc_id NOT IN (SELECT doc_id FROM hit)""")
 def shared_titles_anti(spark, sf_dir):
     rows = S.described(spark, sf_dir)
-    titles = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.tokens(F.substring("text", 1, 120), S.STOP).alias("tokens"))
-    hit = pairs.shared_titles(rows.select("doc_id", "tokens"), titles, "doc_id", 0.30, 12)
+    titles = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.tokens(F.split(F.split("text", "\n")[0], r"\. ")[0], S.STOP).alias("tokens"))
+    hit = pairs.shared_titles(rows.select("doc_id", "tokens"), titles, "doc_id")
     return rows.select("doc_id").join(hit, "doc_id", "left_anti")
 
 
@@ -153,11 +153,51 @@ def best_alternative(spark, sf_dir):
     return pairs.alternatives(rows, rows, id_col="doc_id")
 
 
-@query("SELECT p.page_id, coalesce(d.url, p.url) AS url FROM pages p LEFT JOIN (SELECT page_id - 1 AS page_id, url FROM pages WHERE page_id % 2 = 1) d USING (page_id)")
+@query(r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^([^?#]*)', 1) AS plain FROM pages), k AS (SELECT plain, min(page_id) AS page_id FROM p WHERE url = plain GROUP BY 1)
+ SELECT p.page_id, CASE WHEN p.url <> p.plain THEN coalesce(k.plain, p.url) ELSE p.url END AS url FROM p LEFT JOIN k USING (plain)""")
 def url_resolution(spark, sf_dir):
+    """Addresses with a query or fragment, resolved where the plain address is known."""
+    pages = S.table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", r"^([^?#]*)", 1).alias("plain"))
+    known = pages.where("url = plain").select("plain", F.col("plain").alias("target")).distinct()
+    return pages.join(known, "plain", "left").select("page_id", F.when(F.col("url") != F.col("plain"), F.coalesce("target", "url")).otherwise(F.col("url")).alias("url"))
+
+
+_STRICT = f"""p AS (SELECT a.doc_id AS x, list_intersect(a.ents, b.ents) AS shared, a.tokens AS ta, b.tokens AS tb, (a.action = b.action)::INT AS act, {S.jaccard('a.tokens', 'b.tokens')} AS j, {_TELL} > 0 AS tell FROM described a JOIN known b ON {{on}}),
+ q AS (SELECT *, list_filter(ta, lambda x: {{beyond}}) AS ba, list_filter(tb, lambda x: {{beyond}}) AS bb, len(list_filter(list_intersect(ta, tb), lambda x: NOT list_contains({S._list(S.GENERIC)}, x) AND NOT regexp_matches(x, '^[0-9][0-9,.]*\\p{{{{L}}}}{{{{0,2}}}}%?$') AND length(x) >= 3 AND len(list_filter(shared, lambda n: starts_with(x, lower(n)))) = 0)) > 0 AS told FROM p),
+ r AS (SELECT *, len(list_filter(ba, lambda x: length(x) >= 2 AND len(list_filter(bb, lambda y: length(y) >= 2 AND (starts_with(x, y) OR starts_with(y, x) OR (length(x) >= 3 AND length(y) >= 3 AND substr(x, 1, 3) = substr(y, 1, 3))))) > 0)) AS hits FROM q),
+ hit AS (SELECT DISTINCT x FROM r WHERE CASE WHEN len(shared) > 0 THEN hits >= 2 AND least(len(shared), 2) + act + (j >= 0.25)::INT + least(hits, 2) + told::INT >= 3 ELSE j >= 0.62 OR tell END)
+ SELECT doc_id FROM described WHERE doc_id NOT IN (SELECT x FROM hit)"""
+_BEYOND = "NOT list_contains(list_transform(shared, lambda n: lower(n)), x) AND len(list_filter(shared, lambda n: length(n) >= 2 AND starts_with(x, lower(substr(n, 1, 2))))) = 0"
+
+
+def _published(spark, sf_dir, condition):
+    rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ents", "action", "ts")
+    return rows, rows.join(S.table(spark, sf_dir, "labels").where(condition).select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"WITH {S.DESCRIBED}, known AS (SELECT * FROM described WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)), " + _STRICT.format(on="b.epoch < a.epoch AND a.epoch - b.epoch <= 48 * 3600", beyond=_BEYOND))
+def unlike_recent_editions(spark, sf_dir):
+    """Items whose story was in no edition of the two days before, by the strict rule."""
+    rows, known = _published(spark, sf_dir, "quality = 0")
+    return pairs.without_known(rows, known, lambda a, b: pairs.same_story(a, b, S.GENERIC, strict=True), ["tokens", "ents"], "doc_id", hours=48).select("doc_id")
+
+
+@query(f"WITH {S.DESCRIBED}, known AS (SELECT * FROM described WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)), " + _STRICT.format(on="CAST(a.ts AS DATE) = CAST(b.ts AS DATE) + 1", beyond=_BEYOND))
+def unlike_published_before(spark, sf_dir):
+    """Items whose story wasn't published in the 24 hours before their window, a day, by the strict rule."""
+    rows, known = _published(spark, sf_dir, "toxic = 1")
+    rows, known = rows.withColumn("window", F.to_date("ts")), known.withColumn("window", F.date_add(F.to_date("ts"), 1))
+    return pairs.without_known(rows, known, lambda a, b: pairs.same_story(a, b, S.GENERIC, strict=True), ["tokens", "ents"], "doc_id", equal=("window",)).select("doc_id")
+
+
+@query(f"""WITH a AS (SELECT page_id, url, {ARTICLE_SQL} AS article FROM pages) SELECT page_id FROM a WHERE article = '' OR article NOT IN (SELECT article FROM a WHERE contains(url, 'utm_source'))""")
+def unused_articles(spark, sf_dir):
+    """Pages whose article was in no edition; those with a campaign's mark were."""
+    article = lambda url: urls.article_key(url, [ARTICLE_PLACE])
     pages = S.table(spark, sf_dir, "pages").select("page_id", "url")
-    known = pages.where("page_id % 2 = 1").select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("target"))
-    return pages.join(known, "page_id", "left").select("page_id", F.coalesce("target", "url").alias("url"))
+    used = pages.where(F.contains("url", F.lit("utm_source"))).select(article(F.col("url")).alias("article")).where("article != ''").distinct()
+    plain = F.regexp_extract("url", r"^([^?#]*)", 1)
+    return pairs.without_used(pages, used, [article(F.col("url")), article(plain)], "page_id").select("page_id")
 
 
 # Clusters
@@ -237,24 +277,19 @@ def key_issue_daily(spark, sf_dir):
 
 @query()
 def edition_select(spark, sf_dir):
-    """Daily editions under floors and caps: order-dependent, so without SQL; tests hold the quotas against their rules."""
+    """Daily editions under floors and caps: order-dependent, so without SQL; tests hold the stream of offers against the plain loop."""
     rows = S.described(spark, sf_dir)
     title = F.col("title")
     fit = R.score(title, F.lit(""), None, S.RULES) + R.risk_bonus(title, S.RULES)
     tier = R.tier(title, F.lit(None).cast("string"), F.array_join("ents", ","), F.lit(None).cast("string"), S.RULES, "trade", [], [])
     survivors = rows.select(
         F.to_date("ts").cast("string").alias("edition"), "key", fit.alias("fit"), (fit + R.tier_bonus(tier)).alias("rank_score"), R.primary_category(title, S.RULES).alias("category"), R.themes(title, F.lit(""), S.RULES).alias("themes"),
-        F.coalesce(F.try_element_at("ents", F.lit(1)), F.lit("_")).alias("head"), R.is_promotion(title, S.RULES).alias("pr"), (F.length("body") >= 200).alias("readable"), "tokens",
+        F.coalesce(F.try_element_at("ents", F.lit(1)), F.lit("_")).alias("head"), R.is_promotion(title, S.RULES).alias("pr"), (F.length("body") >= 200).alias("readable"), "tokens", "ents", "action",
     )
-    quotas = editions.Quotas(S.RULES.category_caps, S.RULES.theme_caps, S.RULES.category_floors, _alike_titles)
+    quotas = editions.Quotas(S.RULES.category_caps, S.RULES.theme_caps, S.RULES.category_floors, editions.alike(S.GENERIC))
     return editions.edition(survivors, ["edition"], quotas)
 
 
-def _alike_titles(a: dict, b: dict) -> bool:
-    x, y = set(a["tokens"]), set(b["tokens"])
-    return bool(x and y) and len(x & y) / len(x | y) >= 0.62
-
-
 # Windows of time
 
 
@@ -415,11 +450,11 @@ def channel_items(spark, sf_dir):
 # Routing
 
 
-@query(f"WITH {S.LOG} SELECT key, CASE WHEN key % 4 = 1 THEN 'market' ELSE action END AS category, key % 4 = 1 AND action <> 'market' AS moved FROM log WHERE key % 4 <> 0")
+@query(f"WITH {S.LOG}, v AS (SELECT *, coalesce(k < 50, FALSE) AS judged FROM log) SELECT key, CASE WHEN judged AND score > 40 THEN 'market' ELSE action END AS category, judged AND score > 40 AND action <> 'market' AS moved FROM v WHERE NOT (judged AND score < 10)")
 def verdicts_applied(spark, sf_dir):
-    log = S.log(spark, sf_dir).select("key", F.col("action").alias("category"))
-    verdicts = log.where("key % 4 < 2").select("key", (F.col("key") % 4 != 0).alias("relevant"), F.when(F.col("key") % 4 == 1, "market").alias("category"))
-    return routing.apply_verdicts(log, verdicts)
+    log = S.log(spark, sf_dir).select("key", F.col("action").alias("category"), "k", "score")
+    verdicts = log.where("k < 50").select("key", (F.col("score") >= 10).alias("relevant"), F.when(F.col("score") > 40, "market").alias("category"))
+    return routing.apply_verdicts(log.drop("k", "score"), verdicts)
 
 
 @query(f"WITH {S.LOG}, h AS (SELECT * FROM log WHERE score >= 65) SELECT a.key FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.cluster = a.cluster AND floor(epoch(a.ts)) - floor(epoch(b.ts)) BETWEEN 1 AND 86400)")

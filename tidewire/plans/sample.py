@@ -62,15 +62,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as items: one each seven minutes of 2024."""
+    """documents as items: one each seven minutes of 2024. The title is the first sentence of the first line, the body the whole text."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(
         "doc_id",
         urls.item_key(F.col("source"), F.col("doc_id").cast("string")).alias("key"),
         "source",
         "lang",
-        F.substring(F.split("text", "\n")[0], 1, 120).alias("title"),
-        F.substring("text", 1, 2000).alias("body"),
+        F.split(F.split("text", "\n")[0], r"\. ")[0].alias("title"),
+        F.col("text").alias("body"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 420).alias("ts"),
     )
 
@@ -107,8 +107,8 @@ def fits(column: str, pattern: str) -> str:
 NORM = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '\[[^\]]*\]|\([^)]*\)', ' ', 'g'), '[^\p{L}\p{N}_ ]+', ' ', 'g'), '\s+', ' ', 'g')))"
 MENTIONS = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains(lower(title), {_q(a.lower())})' for a in (n, *al))} THEN {_q(n)} END" for names in RULES.aliases.values() for n, al in names.items()) + "], lambda x: x IS NOT NULL)"
 MATERIAL = "(" + " OR ".join(f"contains(lower(title), {_q(m)})" for m in RULES.material) + ")"
-ITEMS = """items AS (SELECT doc_id, sha256(source || '::' || doc_id::VARCHAR) AS key, source, lang, substr(split_part(text, chr(10), 1), 1, 120) AS title,
-    substr(text, 1, 2000) AS body, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7) AS ts, 1704067200 + doc_id * 420 AS epoch FROM documents)"""
+ITEMS = """items AS (SELECT doc_id, sha256(source || '::' || doc_id::VARCHAR) AS key, source, lang, split_part(split_part(text, chr(10), 1), '. ', 1) AS title,
+    text AS body, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 7) AS ts, 1704067200 + doc_id * 420 AS epoch FROM documents)"""
 DESCRIBED = rf"""{ITEMS}, worded AS (SELECT *, list_filter(list_distinct(list_filter(string_split({NORM}, ' '), lambda x: length(x) > 1)), lambda x: NOT list_contains({_list(STOP)}, x)) AS tokens,
     {MENTIONS} AS ents, (['deal', 'partnership', 'regulation', 'market', 'product'])[(doc_id % 5 + 1)::INT] AS action, epoch // 259200 AS bucket, {MATERIAL} AS material FROM items),
     described AS (SELECT *, list_filter(tokens, lambda x: NOT list_contains({_list(GENERIC)}, x) AND NOT regexp_matches(x, '^[0-9][0-9,.]*\p{{L}}{{0,2}}%?$') AND length(x) >= 2) AS telling,

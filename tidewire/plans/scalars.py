@@ -45,10 +45,14 @@ def item_key(spark, sf_dir):
     return S.items(spark, sf_dir).select("doc_id", "key")
 
 
-@query(r"""WITH u AS (SELECT page_id, 'https://www.site' || (page_id % 7) || '.com/articles/' || page_id || '?a=1' AS u FROM pages) SELECT page_id, 'site' || (page_id % 7) || '.com#' || page_id AS article FROM u""")
+#: Where the pages' addresses carry their number.
+ARTICLE_PLACE = r"/[a-z]{2}/(\d+)"
+ARTICLE_SQL = r"""CASE WHEN regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) = '' THEN '' ELSE regexp_replace(regexp_extract(url, '^https?://([^/]*)', 1), '^(www\.|m\.|view\.|news\.|biz\.)', '') || '#' || regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) END"""
+
+
+@query(f"SELECT page_id, {ARTICLE_SQL} AS article FROM pages")
 def article_keys(spark, sf_dir):
-    made = F.concat(F.lit("https://www.site"), (F.col("page_id") % 7).cast("string"), F.lit(".com/articles/"), F.col("page_id").cast("string"), F.lit("?a=1"))
-    return S.table(spark, sf_dir, "pages").select("page_id", urls.article_key(made).alias("article"))
+    return S.table(spark, sf_dir, "pages").select("page_id", urls.article_key(F.col("url"), [ARTICLE_PLACE]).alias("article"))
 
 
 @query(f"WITH {S.DESCRIBED} SELECT doc_id, len(tokens) AS n_tokens, list_sort(tokens)[1] AS first_token, array_to_string(list_sort(telling), ' ') AS telling FROM described")

@@ -34,30 +34,47 @@ def hourly(items: DataFrame, by: list[str], ts: str = "published_at", late: str
 
 
 def into_ledger(items: DataFrame, ledger: str, key: str, checkpoint: str, emit: Callable[[DataFrame, int], None] | None = None, warm_up: bool = False) -> StreamingQuery:
-    """Each batch's new keys, once: anti-joined with the ledger table at a path, handed to emit, then appended to it.
+    """Each batch's new keys, once: anti-joined with the ledger table at a path, appended to it, then handed to emit (see ledger_batch).
 
-    A batch that is run again after a failure finds what it wrote under its own number and writes that anew, so keys are
-    neither lost nor doubled. warm_up: the first batch is only marked as seen.
+    warm_up: the first batch is only marked as seen.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = ledgers.first_wins(batch, [key], [F.col("published_at").asc_nulls_last(), F.col(key)])
-        try:
-            seen = spark.read.parquet(ledger).where(F.col("batch") != number)
-            rows = rows.join(seen.select(key), key, "left_anti")
-        except Exception as e:  # no ledger before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows = rows.persist()
-        if emit and not (warm_up and number == 0):
-            emit(rows, number)
-        rows.write.mode("overwrite").parquet(f"{ledger.rstrip('/')}/batch={number}")
-        rows.unpersist()
+        ledger_batch(batch, number, ledger, key, None if warm_up and number == 0 else emit)
 
     return items.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ledger_batch(batch: DataFrame, number: int, ledger: str, key: str, emit: Callable[[DataFrame, int], None] | None = None) -> None:
+    """One batch: its new keys are written under its number, emitted from what is written, and the batch is marked as emitted.
+
+    A batch that is run again writes its own rows anew, against the other batches only, and isn't emitted again once marked. It is emitted
+    twice only if the driver is lost between the end of emit and the mark; emit gets the number, by which a sink can tell.
+    """
+    spark = batch.sparkSession
+    own, mark = f"{ledger.rstrip('/')}/batch={number}", f"{ledger.rstrip('/')}/_emitted/{number}"
+    if _landed(spark, mark) is not None:
+        return
+    rows = ledgers.first_wins(batch, [key], [F.col("published_at").asc_nulls_last(), F.col(key)])
+    seen = _landed(spark, ledger)
+    if seen is not None and "batch" in seen.columns:
+        rows = rows.join(seen.where(F.col("batch") != number).select(key), key, "left_anti")
+    rows.write.mode("overwrite").parquet(own)
+    if emit:
+        emit(spark.read.schema(rows.schema).parquet(own), number)
+    spark.range(1).write.mode("overwrite").parquet(mark)
+
+
+def _landed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
 def event_index(items: DataFrame, days: int = 10) -> DataFrame:
     """cluster, key, is_new for a stream of (block, key, tokens, ts): each item joins the most alike representative of its block, or is one itself.
 
