@@ -44,6 +44,11 @@ def cleaned(j: Column, event_types: list[str], aggregations: list[str]) -> Colum
     )
 
 
+def confidence_known(confidence: Column) -> Column:
+    """The confidence; an unknown one counts as full, a zero as zero."""
+    return F.coalesce(confidence, F.lit(1.0))
+
+
 def confidence_or_full(confidence: Column, zero_is_missing: bool = True) -> Column:
     return F.coalesce(F.nullif(confidence, F.lit(0.0)) if zero_is_missing else confidence, F.lit(1.0))
 

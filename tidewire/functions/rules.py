@@ -63,6 +63,9 @@ class RuleSet:
     default_topic: str = "other"
     countries: dict[str, tuple[str, ...]] = field(default_factory=dict)
     urgency: tuple[Rule, ...] = ()
+    axes: tuple[str, ...] = ()  # score rules that let a foreign item in
+    generic_axis: str = ""  # of these, the one that counts only with a proper name
+    proper_names: str = ""
 
 
 def fits(text: Column, pattern: str) -> Column:
@@ -82,6 +85,14 @@ def reject_reason(title: Column, rules: RuleSet) -> Column:
     return F.coalesce(*(F.when(gate_fails(title, g), g.reason) for g in rules.gates), F.lit(None).cast("string"))
 
 
+def fails_any(title: Column, rules: RuleSet, reasons: list[str]) -> Column:
+    """Whether one of the named gates applies, such as those for price stories."""
+    found = F.lit(False)
+    for g in rules.gates:
+        found = found | gate_fails(title, g) if g.reason in reasons else found
+    return found
+
+
 def alias_entries(rules: RuleSet) -> list[tuple[str, str, str]]:
     """(group, name, alias in lower case) in order; a name is an alias of itself."""
     return [(g, name, a.lower()) for g, names in rules.aliases.items() for name, al in names.items() for a in (name, *al)]
@@ -125,10 +136,25 @@ def score(title: Column, entities: Column, strategic: Column | None, rules: Rule
     return F.when(foreign_verdict(title, entities, rules), clamped).otherwise(0) if rules.foreign else clamped
 
 
+def foreign_axes(title: Column, entities: Column, rules: RuleSet) -> Column:
+    """Names of the axes that let a foreign item in; the generic one only if the text holds a proper name."""
+    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(entities, F.lit("")))
+    found = hits(text, tuple(r for r in rules.scores if r.name in rules.axes))
+    return F.filter(found, lambda a: (a != rules.generic_axis) | fits(text, rules.proper_names))
+
+
 def foreign_verdict(title: Column, entities: Column, rules: RuleSet) -> Column:
-    """True unless the foreign rule fits without an anchor."""
+    """True unless the foreign rule fits without an anchor and without an axis."""
     text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(entities, F.lit("")))
-    return ~fits(text, rules.foreign) | fits(text, rules.anchors)
+    return ~fits(text, rules.foreign) | fits(text, rules.anchors) | (F.size(foreign_axes(title, entities, rules)) > 0)
+
+
+def foreign_reason(title: Column, entities: Column, rules: RuleSet) -> Column:
+    """Why foreign_verdict came out as it did; empty for items that aren't foreign."""
+    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(entities, F.lit("")))
+    axes = foreign_axes(title, entities, rules)
+    by_axis = F.when(F.size(axes) > 0, F.concat(F.lit("axes: "), F.array_join(axes, "·")))
+    return F.when(~fits(text, rules.foreign), "").when(fits(text, rules.anchors), "anchor").otherwise(F.coalesce(by_axis, F.lit("foreign only")))
 
 
 def primary_category(title: Column, rules: RuleSet) -> Column:
@@ -217,6 +243,18 @@ def tier(title: Column, topic: Column, entities: Column, event_type: Column, rul
     )
 
 
+def tier_by_names(primary: Column, names: Column, event_type: Column, own: list[str], own_topic: str, second: list[str], deals: list[str], third: list[str], hint: str) -> Column:
+    """1 an own name or the own topic, 2 deals and the second topics, 3 the third topics, 4 a topic that holds the hint, 5 others."""
+    any_own = F.coalesce(F.arrays_overlap(names, F.array(*map(F.lit, own))), F.lit(False))
+    return (
+        F.when(any_own | (primary == own_topic), 1)
+        .when(primary.isin(second) | event_type.isin(deals), 2)
+        .when(primary.isin(third), 3)
+        .when(F.contains(primary, F.lit(hint)), 4)
+        .otherwise(5)
+    )
+
+
 def tier_bonus(tier_: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, (25, 15, 10, 5, 0))), tier_)
 

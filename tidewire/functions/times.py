@@ -44,6 +44,17 @@ def in_window(ts: Column, since: Column, until: Column) -> Column:
     return (ts > since) & (ts <= until)
 
 
+def dated_since(ts: Column, since: Column) -> Column:
+    """Not before `since`; undated items are out."""
+    return F.coalesce(ts >= since, F.lit(False))
+
+
+def window_start(last_end: Column, now: Column, usual_hours: int = 24, most_days: int = 3) -> Column:
+    """Where a window opens: at the end of the last one, at most so many days back; without a last one the usual hours back."""
+    back = lambda seconds: F.timestamp_seconds(F.unix_timestamp(now) - seconds)
+    return F.greatest(F.coalesce(last_end, back(usual_hours * 3600)), back(most_days * 86400))
+
+
 def not_before_day(origin: Column, floor_day: Column) -> Column:
     """Not from a day before the floor, by the day of origin; an unknown origin is kept."""
     return F.coalesce(F.to_date(origin) >= floor_day, F.lit(True))

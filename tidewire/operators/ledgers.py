@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions import judgments, urls
+
 
 def first_wins(items: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Drops later rows of each key, a key after the other; empty and null keys are exempt."""
@@ -82,3 +84,36 @@ def rolling(history: DataFrame, minute: Column, keep: int, order: Column) -> Dat
 def pending_runs(windows: DataFrame, runs: DataFrame) -> DataFrame:
     """Windows (scope, window_end) that no run has covered: each is emitted once."""
     return windows.join(runs.select("scope", "window_end").distinct(), ["scope", "window_end"], "left_anti")
+
+
+def last_ends(runs: DataFrame) -> DataFrame:
+    """scope, last_end: where the next window of each scope opens."""
+    return runs.groupBy("scope").agg(F.max("window_end").alias("last_end"))
+
+
+def open_rows(rows: DataFrame, mark: str) -> DataFrame:
+    """Rows that no edition has taken (mark is null or empty) and whose judgment is confident."""
+    return rows.where((F.coalesce(F.col(mark).cast("string"), F.lit("")) == "") & (judgments.confidence_known(F.col("confidence")) >= 0.5))
+
+
+def candidates(rows: DataFrame, mark: str, least: int, since: Column, until: Column, ts: str = "ts") -> DataFrame:
+    """Open rows of the window (since, until] with at least that score."""
+    return open_rows(rows, mark).where((F.col("score") >= least) & (F.col(ts) > since) & (F.col(ts) <= until))
+
+
+def restored(draft: DataFrame, rows: DataFrame, mark: str) -> DataFrame:
+    """A draft's rows (edition, pos, key) that still are open, with their attributes, in the draft's order (pos)."""
+    return draft.join(open_rows(rows, mark), "key")
+
+
+def backfilled_urls(seen_urls: DataFrame, published: DataFrame) -> DataFrame:
+    """seen_urls, or, where it is empty, the URL keys of all published rows."""
+    keys = published.select(urls.normalize_url(F.col("url")).alias("url_key")).where("url_key != ''").distinct()
+    return keys if seen_urls.isEmpty() else seen_urls
+
+
+def seen_with(curated: DataFrame, seen: DataFrame, seen_urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both ledgers with the keys and URL keys of curated rows, which must not come in again as new ones."""
+    rows = curated.withColumn("url_key", urls.normalize_url(F.col("url")))
+    by_url = insert_or_ignore(seen_urls, rows.where("url_key != ''").select("url_key"), ["url_key"], [F.col("url_key")])
+    return insert_or_ignore(seen, rows.select("key"), ["key"], [F.col("key")]), by_url

@@ -99,3 +99,29 @@ def key_signals(picks: DataFrame, by: str, sentence: Column, most: int = 5) -> D
     """The first sentences of an edition's key issues."""
     lines = F.array_sort(F.collect_list(F.struct("place", sentence.alias("s"))))
     return picks.where("key_issue").groupBy(by).agg(F.slice(F.transform(lines, lambda x: x["s"]), 1, most).alias("signals"))
+
+
+def counts_by(rows: DataFrame, columns: list[str], top: int | None = None, within: list[str] = ()) -> DataFrame:
+    """within, facet, value, n: how often each value of each column comes, counted in one pass; with top the commonest of each."""
+    faceted = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns)))
+    counted = rows.select(*within, faceted.alias("f")).groupBy(*within, "f.facet", "f.value").agg(F.count(F.lit(1)).alias("n"))
+    if top is None:
+        return counted
+    place = F.row_number().over(Window.partitionBy(*within, "facet").orderBy(F.col("n").desc(), F.col("value").asc_nulls_first()))
+    return counted.withColumn("__place", place).where(F.col("__place") <= top).drop("__place")
+
+
+def shown(rows: DataFrame, equal: dict[str, str] | None = None, holding: dict[str, str] | None = None, since: Column | None = None, words: str = "", fields: list[str] = (), ts: str = "ts") -> DataFrame:
+    """The rows that a dashboard's filters leave: columns equal to a value, arrays that hold one, not older than since, words in one of the fields (case is ignored).
+
+    Filters that are empty let all pass, so they compose to one condition that reaches the scan.
+    """
+    for c, v in (equal or {}).items():
+        rows = rows.where(F.col(c) == v)
+    for c, v in (holding or {}).items():
+        rows = rows.where(F.array_contains(c, v))
+    if since is not None:
+        rows = rows.where(F.col(ts) >= since)
+    if words:
+        rows = rows.where(F.contains(F.lower(F.concat_ws("\n", *fields)), F.lit(words.lower())))
+    return rows

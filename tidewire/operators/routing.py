@@ -120,6 +120,12 @@ def once_a_day(rows: DataFrame, log: DataFrame, hours: int = 24) -> DataFrame:
     return seen.where("seen IS NULL").select(*rows.columns)
 
 
+def follow_ups(rows: DataFrame, log: DataFrame, days: int = 10) -> DataFrame:
+    """rows with update_of, the key of the newest log row of their cluster within the days before; those that bring no fact (material) go."""
+    seen = newest_before(rows, log, "cluster", days * 86400).withColumn("update_of", F.col("seen.key")).drop("seen")
+    return seen.where(F.col("update_of").isNull() | F.coalesce("material", F.lit(False)))
+
+
 def findings(rows: DataFrame, losers: DataFrame, expected_topic: Column) -> DataFrame:
     """(key, finding) of a health check: dominated duplicates, topics that differ from their category, rows that were mirrored."""
     duplicate = rows.join(losers.select(F.col("loser").alias("key")), "key", "left_semi").select("key", F.lit("duplicate").alias("finding"))

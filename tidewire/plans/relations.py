@@ -11,7 +11,7 @@ from tidewire.functions import times, urls
 from tidewire.functions import published
 from tidewire.operators import clusters, editions, ledgers, marts, pairs, routing
 from tidewire.plans import sample as S
-from tidewire.plans.scalars import ARTICLE_PLACE, ARTICLE_SQL
+from tidewire.plans.scalars import ARTICLE_PLACE, ARTICLE_SQL, URL_KEY_SQL, URL_PARTS_SQL
 from tidewire.sources import feeds
 from tidewire.streaming import flows
 
@@ -447,6 +447,84 @@ def channel_items(spark, sf_dir):
     return feeds.channel_items(messages, F.lit("2024-01-01").cast("timestamp")).select("unique_id", "title")
 
 
+# Candidates, runs and counts
+
+_OPEN = "c AS (SELECT *, strftime(ts, '%Y-%m-%d') AS edition, CASE WHEN event_type = 'purchase' THEN strftime(ts, '%Y-%m-%d') END AS taken, CASE WHEN k % 7 > 0 THEN k / 100.0::DOUBLE END AS confidence FROM log), o AS (SELECT * FROM c WHERE taken IS NULL AND coalesce(confidence, 1) >= 0.5)"
+
+
+def _judged(spark, sf_dir):
+    """The log with an edition that took a row, and a confidence that isn't always known."""
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return S.log(spark, sf_dir).withColumns({"edition": day, "taken": F.when(F.col("event_type") == "purchase", day), "confidence": F.when(F.col("k") % 7 > 0, F.col("k") / 100.0)})
+
+
+@query(f"WITH {S.LOG}, {_OPEN} SELECT key FROM o WHERE score >= 30 AND ts > TIMESTAMP '2024-01-05 06:50:00' AND ts <= TIMESTAMP '2024-01-12 06:00:00'")
+def edition_candidates(spark, sf_dir):
+    at = lambda t: F.lit(t).cast("timestamp")
+    return ledgers.candidates(_judged(spark, sf_dir), "taken", 30, at("2024-01-05 06:50:00"), at("2024-01-12 06:00:00")).select("key")
+
+
+@query(f"WITH {S.LOG}, {_OPEN}, d AS (SELECT edition, key, row_number() OVER (PARTITION BY edition ORDER BY score DESC, key)::INT AS pos FROM c) SELECT d.edition, d.pos, d.key, o.score FROM d JOIN o USING (key) WHERE pos <= 10")
+def draft_restored(spark, sf_dir):
+    rows = _judged(spark, sf_dir)
+    pos = F.row_number().over(Window.partitionBy("edition").orderBy(F.col("score").desc(), "key"))
+    draft = rows.select("edition", "key", pos.alias("pos")).where("pos <= 10")
+    return ledgers.restored(draft, rows.drop("edition"), "taken").select("edition", "pos", "key", "score")
+
+
+@query(f"""WITH {S.LOG}, l AS (SELECT action AS scope, max(date_trunc('second', ts)) AS last_end FROM log GROUP BY 1)
+ SELECT scope, epoch(last_end)::BIGINT AS last_end, greatest(epoch(last_end)::BIGINT, epoch(TIMESTAMP '2024-02-01')::BIGINT - 3 * 86400) AS since FROM l""")
+def next_windows(spark, sf_dir):
+    """Where the next window of each scope opens."""
+    runs = S.log(spark, sf_dir).select(F.col("action").alias("scope"), F.date_trunc("second", "ts").alias("window_end"))
+    since = times.window_start(F.col("last_end"), F.lit("2024-02-01").cast("timestamp"))
+    return ledgers.last_ends(runs).select("scope", F.unix_timestamp("last_end").alias("last_end"), F.unix_timestamp(since).alias("since"))
+
+
+@query(f"""WITH {S.LOG}, s AS (SELECT a.key, a.k < 20 AS material, max(b.key) AS update_of FROM log a LEFT JOIN log b ON a.cluster = b.cluster AND b.ts < a.ts AND floor(epoch(a.ts)) - floor(epoch(b.ts)) <= 10 * 86400 GROUP BY 1, 2)
+ SELECT key, update_of FROM s WHERE update_of IS NULL OR coalesce(material, FALSE)""")
+def update_notes(spark, sf_dir):
+    """New events, and new facts of ones that were published."""
+    log = S.log(spark, sf_dir)
+    return routing.follow_ups(log.withColumn("material", F.col("k") < 20), log).select("key", "update_of")
+
+
+@query(f"""WITH {S.ITEMS}, f AS (SELECT 'source' AS facet, source AS value FROM items UNION ALL SELECT 'lang', lang FROM items UNION ALL SELECT 'day', strftime(ts, '%Y-%m-%d') FROM items)
+ SELECT facet, value, n FROM (SELECT facet, value, count(*) AS n, row_number() OVER (PARTITION BY facet ORDER BY count(*) DESC, value NULLS FIRST) AS rn FROM f GROUP BY 1, 2) WHERE rn <= 15""")
+def top_counts(spark, sf_dir):
+    rows = S.items(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return marts.counts_by(rows, ["source", "lang", "day"], 15)
+
+
+@query(f"""WITH {S.ITEMS}, c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {S.category()} AS value, count(*) AS n FROM items GROUP BY 1, 2)
+ SELECT day, value, n FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY n DESC, value NULLS FIRST) AS rn FROM c) WHERE rn <= 8""")
+def top_categories_daily(spark, sf_dir):
+    rows = S.items(spark, sf_dir).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), R.primary_category(F.col("title"), S.RULES).alias("category"))
+    return marts.counts_by(rows, ["category"], 8, ["day"]).select("day", "value", "n")
+
+
+@query(f"WITH {S.DESCRIBED} SELECT doc_id FROM described WHERE lang = 'en' AND list_contains(ents, 'Thanea') AND ts >= TIMESTAMP '2024-01-02' AND (contains(lower(title), 'the') OR contains(lower(body), 'the'))")
+def articles_shown(spark, sf_dir):
+    rows = S.described(spark, sf_dir)
+    return marts.shown(rows, {"lang": "en"}, {"ents": "Thanea"}, F.lit("2024-01-02").cast("timestamp"), "The", ["title", "body"]).select("doc_id")
+
+
+@query(f"SELECT DISTINCT {URL_KEY_SQL} AS url_key FROM (SELECT url, {URL_PARTS_SQL} AS qs FROM pages)")
+def seen_urls_backfill(spark, sf_dir):
+    """The URL ledger, filled once from what was published."""
+    pages = S.table(spark, sf_dir, "pages").select("url")
+    return ledgers.backfilled_urls(pages.where("false").select(F.col("url").alias("url_key")), pages)
+
+
+@query(f"""WITH u AS (SELECT page_id, url, {URL_KEY_SQL} AS url_key FROM (SELECT page_id, url, {URL_PARTS_SQL} AS qs FROM pages)), s AS (SELECT DISTINCT url_key FROM u WHERE contains(url, 'https'))
+ SELECT url_key FROM s UNION SELECT url_key FROM u WHERE contains(url, '.html')""")
+def curated_seen(spark, sf_dir):
+    """The URL ledger after curated pages were put in."""
+    pages = S.table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "url")
+    seen = ledgers.backfilled_urls(pages.where("false").select(F.col("url").alias("url_key")), pages.where(F.contains("url", F.lit("https"))))
+    return ledgers.seen_with(pages.where(F.contains("url", F.lit(".html"))), pages.where("false").select("key"), seen)[1]
+
+
 # Routing
 
 

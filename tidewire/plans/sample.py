@@ -41,6 +41,9 @@ RULES = R.RuleSet(
     context="ther|enmentai",
     foreign="que|des|les",
     anchors="eaux|la|de",
+    axes=("trade", "rival"),
+    generic_axis="rival",
+    proper_names="eriner|und",
     category_caps={"trade": 3, "merger": 3, "rival": 2, "world": 2},
     theme_caps={"digital": 2, "pay": 1},
     category_floors={"merger": 1, "world": 1},
@@ -136,7 +139,13 @@ def score() -> str:
     penalties = [f"(CASE WHEN {fits(spaced, r.pattern)} THEN {float(r.weight)}::DOUBLE ELSE 0.0::DOUBLE END)" for r in RULES.penalties]
     top = f"greatest({', '.join(weights)})"
     points = f"{top} + 0.2::DOUBLE * (({' + '.join(weights)}) - {top}) + {' + '.join(penalties)}"
-    return f"CASE WHEN {fits(spaced, RULES.foreign)} AND NOT {fits(spaced, RULES.anchors)} THEN 0 ELSE greatest(0, least(100, trunc({points})::INT)) END"
+    return f"CASE WHEN {fits(spaced, RULES.foreign)} AND NOT {fits(spaced, RULES.anchors)} AND len({axes()}) = 0 THEN 0 ELSE greatest(0, least(100, trunc({points})::INT)) END"
+
+
+def axes() -> str:
+    spaced = "title || ' '"
+    named = [f"CASE WHEN {fits(spaced, r.pattern)}{' AND ' + fits(spaced, RULES.proper_names) if r.name == RULES.generic_axis else ''} THEN {_q(r.name)} END" for r in RULES.scores if r.name in RULES.axes]
+    return f"list_filter([{', '.join(named)}], lambda x: x IS NOT NULL)"
 
 
 def category() -> str:

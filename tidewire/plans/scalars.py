@@ -24,13 +24,13 @@ def query(sql: str | None = None):
     return add
 
 
-_URL_KEY = r"""regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '')
+URL_KEY_SQL = r"""regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)), '^www\.', '')
  || coalesce(nullif(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/')
  || CASE WHEN len(qs) > 0 THEN '?' || array_to_string(list_transform(qs, lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END), '&') ELSE '' END"""
-_QS = r"""list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_.*|fbclid|gclid)(=.*)?$'))"""
+URL_PARTS_SQL = r"""list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_.*|fbclid|gclid)(=.*)?$'))"""
 
 
-@query(f"SELECT page_id, {_URL_KEY} AS url_key FROM (SELECT page_id, url, {_QS} AS qs FROM pages)")
+@query(f"SELECT page_id, {URL_KEY_SQL} AS url_key FROM (SELECT page_id, url, {URL_PARTS_SQL} AS qs FROM pages)")
 def url_normalize(spark, sf_dir):
     return S.table(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("url_key"))
 
@@ -79,6 +79,27 @@ def rule_score(spark, sf_dir):
     return S.items(spark, sf_dir).select("doc_id", R.score(title, F.lit(""), None, S.RULES).alias("score"), R.primary_category(title, S.RULES).alias("category"))
 
 
+_SPACED = "title || ' '"
+
+
+@query(f"""WITH {S.ITEMS}, a AS (SELECT *, {S.axes()} AS axes, {S.fits(_SPACED, S.RULES.foreign)} AS away, {S.fits(_SPACED, S.RULES.anchors)} AS anchored FROM items)
+ SELECT doc_id, NOT away OR anchored OR len(axes) > 0 AS ok, CASE WHEN NOT away THEN '' WHEN anchored THEN 'anchor' WHEN len(axes) > 0 THEN 'axes: ' || array_to_string(axes, '·') ELSE 'foreign only' END AS reason FROM a""")
+def foreign_verdicts(spark, sf_dir):
+    title, none = F.col("title"), F.lit("")
+    return S.items(spark, sf_dir).select("doc_id", R.foreign_verdict(title, none, S.RULES).alias("ok"), R.foreign_reason(title, none, S.RULES).alias("reason"))
+
+
+@query(f"WITH {S.DESCRIBED} SELECT doc_id, CASE WHEN list_contains(ents, 'Thanea') OR source = 'src1' THEN 1 WHEN source = 'src2' OR action = 'deal' THEN 2 WHEN source = 'src3' THEN 3 WHEN contains(source, 'src') THEN 4 ELSE 5 END AS tier FROM described")
+def name_tiers(spark, sf_dir):
+    tier = R.tier_by_names(F.col("source"), F.col("ents"), F.col("action"), ["Thanea"], "src1", ["src2"], ["deal"], ["src3"], "src")
+    return S.described(spark, sf_dir).select("doc_id", tier.alias("tier"))
+
+
+@query(f"WITH {S.ITEMS} SELECT doc_id, {' OR '.join('(' + S.fits('title', g.pattern) + (' AND ' + S.fits('title', g.also) if g.also else '') + (' AND NOT ' + S.fits('title', g.rescue) if g.rescue else '') + ')' for g in S.RULES.gates if g.reason in ('noise', 'price'))} AS price_story FROM items")
+def price_stories(spark, sf_dir):
+    return S.items(spark, sf_dir).select("doc_id", R.fails_any(F.col("title"), S.RULES, ["noise", "price"]).alias("price_story"))
+
+
 @query(f"WITH {S.ITEMS} SELECT category, count(*) AS n FROM (SELECT {S.category()} AS category FROM items) GROUP BY 1")
 def primary_category_counts(spark, sf_dir):
     return S.items(spark, sf_dir).groupBy(R.primary_category(F.col("title"), S.RULES).alias("category")).agg(F.count(F.lit(1)).alias("n"))
