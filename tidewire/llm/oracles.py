@@ -48,4 +48,19 @@ ruled AS (SELECT page_id, host, path, CASE WHEN (host = 'www.example.com' OR end
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
 SELECT page_id, ruled.host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > base THEN 'block' ELSE 'allow' END AS verdict, round(m, 6) AS bad_mean, round(low, 6) AS bad_low
 FROM ruled LEFT JOIN bad ON bad.host = ruled.host""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+m AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+      + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS fails FROM w LEFT JOIN m USING (doc_id)),
+h AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o(filter_order, mask) AS (SELECT '', 0 UNION ALL SELECT filter_order || x, mask + bit FROM o, letters WHERE mask & bit = 0),
+s AS (SELECT filter_order, step::INT AS step, bit, (SELECT sum(l.bit) FROM letters l WHERE strpos(filter_order, l.x) < step)::INT AS before
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE mask = 31) JOIN letters ON x = substr(filter_order, step, 1)),
+c AS (SELECT part, filter_order, step, bit, sum(n) FILTER (fails & (coalesce(before, 0) | bit) = 0) AS kept, sum(n) FILTER (fails & bit > 0 AND fails & coalesce(before, 0) = 0) AS removed,
+      sum(n) FILTER (fails & bit > 0 AND fails & coalesce(before, 0) > 0) AS redundant, sum(n) FILTER (fails = bit) AS unique_fails,
+      sum(good) FILTER (fails & bit > 0 AND fails & coalesce(before, 0) = 0) AS good_lost, sum(toxic) FILTER (fails & bit > 0 AND fails & coalesce(before, 0) = 0) AS toxic_lost FROM h, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM c""",
 }
