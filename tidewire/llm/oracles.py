@@ -63,4 +63,17 @@ c AS (SELECT part, filter_order, step, bit, sum(n) FILTER (fails & (coalesce(bef
       sum(good) FILTER (fails & bit > 0 AND fails & coalesce(before, 0) = 0) AS good_lost, sum(toxic) FILTER (fails & bit > 0 AND fails & coalesce(before, 0) = 0) AS toxic_lost FROM h, s GROUP BY 1, 2, 3, 4)
 SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
   coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM c""",
+    "op11_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.*, u.j, array_to_string(ws[1:u.j], ' ') AS lp, array_to_string(ws[u.j + 1:k], ' ') AS rp FROM c, (SELECT unnest([1, 2]) AS j) u WHERE u.j < k),
+s AS (SELECT cut.lang, cut.k, cut.phrase, cut.a, cut.j, l.f AS l, r.f AS r, ((1000000::HUGEINT * cut.a * cut.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM cut JOIN g l ON l.lang = cut.lang AND l.phrase = cut.lp AND l.k = cut.j JOIN g r ON r.lang = cut.lang AND r.phrase = cut.rp AND r.k = cut.k - cut.j),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+x AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE k = 3) GROUP BY 1, 2),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank FROM m LEFT JOIN x ON x.lang = m.lang AND x.phrase = m.phrase AND m.k = 2 WHERE x.most IS NULL OR 100 * x.most < 50 * m.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import audit, embeddings, extraction, hosts, mixing, packing, ppm, quality, sharding, simhash, sketches, substrings
+from tidewire.llm import audit, embeddings, extraction, hosts, mixing, packing, phrases, ppm, quality, sharding, simhash, sketches, substrings
 from tidewire.llm.common import table
 
 
@@ -61,3 +61,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scored(table(spark, sf_dir, "documents"))
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
