@@ -282,3 +282,46 @@ def country(text: Column, rules: RuleSet, noise: tuple[str, ...] = ()) -> Column
 def urgency(title: Column, rules: RuleSet) -> Column:
     """The first label that fits, or null."""
     return F.coalesce(*(F.when(fits(title, r.pattern), r.name) for r in rules.urgency), F.lit(None).cast("string"))
+
+
+@dataclass(frozen=True)
+class UrgentRouting:
+    """Where urgent items go: the home pattern and tabs, the labels that are mirrored whatever the place, those summarised in depth."""
+
+    home: str
+    home_tab: str
+    other_tab: str
+    mirror_tab: str
+    always_mirrored: tuple[str, ...] = ()
+    deep: tuple[str, ...] = ()
+    prefix: str = "urgent"
+
+
+def is_home(title: Column, hint: Column, routing: UrgentRouting) -> Column:
+    """Whether a title with its region's hint speaks of the home market; case counts."""
+    return F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(hint, F.lit(""))).rlike(routing.home)
+
+
+def target_tab(title: Column, hint: Column, routing: UrgentRouting) -> Column:
+    return F.when(is_home(title, hint, routing), routing.home_tab).otherwise(F.lit(routing.other_tab))
+
+
+def mirror_tab(label: Column, title: Column, hint: Column, routing: UrgentRouting) -> Column:
+    """The second tab of an item: of labels that always have one, and of the home market; else null."""
+    always = label.isin(*routing.always_mirrored) if routing.always_mirrored else F.lit(False)
+    return F.when(F.coalesce(always, F.lit(False)) | is_home(title, hint, routing), routing.mirror_tab)
+
+
+def normal_category(value: Column, categories: list[str], aliases: dict[str, str], default: str) -> Column:
+    """A category in one of the known spellings: as it is, with case and outer blanks folded, or by alias; else the default."""
+    folded = F.lower(F.trim(value))
+    table = {**aliases, **{c.lower(): c for c in reversed(categories)}}
+    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv)) if table else F.lit(None)
+    found = F.element_at(known, folded) if table else F.lit(None).cast("string")
+    exact = F.when(value.isin(categories), value) if categories else F.lit(None).cast("string")
+    return F.coalesce(exact, found, F.lit(default))
+
+
+def fit_to_post(fit: Column, least: int = 20) -> Column:
+    """Whether an item fits what readers share; one that no rule knows stays under the floor."""
+    return F.coalesce(fit >= least, F.lit(False))

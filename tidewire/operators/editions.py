@@ -41,7 +41,7 @@ def in_issue_order(rows: DataFrame, by: list[str], usual: int = 6, with_incident
     return counted.where(taken).drop("__inc", "__usual")
 
 
-def alike(generic: list[str]) -> Callable[[dict, dict], bool]:
+def alike(generic: list[str], strict: bool = False) -> Callable[[dict, dict], bool]:
     """pairs.same_story for two rows that are at hand (tokens, ents, action); rows without ents go by their titles."""
     from tidewire.functions.text import NUMBER
 
@@ -65,7 +65,7 @@ def alike(generic: list[str]) -> Callable[[dict, dict], bool]:
         beyond = lambda ws: {w for w in ws - lower if not any(w.startswith(n.lower()[:2]) for n in shared if len(n) >= 2)}
         hits = stems(beyond(x), beyond(y))
         told = any(len(w) >= 3 and not any(w.startswith(n) for n in lower) for w in telling(x & y))
-        return min(len(shared), 2) + (a["action"] == b["action"]) + (jaccard >= 0.25) + min(hits, 2) + told >= 3
+        return min(len(shared), 2) + (a["action"] == b["action"]) + (jaccard >= 0.25) + min(hits, 2) + told >= 3 and (hits >= 2 or not strict)
 
     return same
 

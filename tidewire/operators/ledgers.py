@@ -11,10 +11,14 @@ from tidewire.functions import judgments, urls
 
 
 def first_wins(items: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Drops later rows of each key, a key after the other; empty and null keys are exempt."""
+    """Drops later rows of each key, a key after the other; empty and null keys are exempt, and go round the ranking.
+
+    Only the first row of a key is asked for, so Spark cuts each key down before the shuffle.
+    """
     for k in keys:
-        first = F.row_number().over(Window.partitionBy(k).orderBy(*order))
-        items = items.withColumn("__rn", first).where((F.col("__rn") == 1) | F.col(k).isNull() | (F.col(k).cast("string") == "")).drop("__rn")
+        exempt = F.col(k).isNull() | (F.col(k).cast("string") == "")
+        ranked = items.where(~exempt).withColumn("__rn", F.row_number().over(Window.partitionBy(k).orderBy(*order)))
+        items = ranked.where("__rn = 1").drop("__rn").unionByName(items.where(exempt))
     return items
 
 
@@ -68,6 +72,23 @@ def champions(drafts: DataFrame, by: str = "edition") -> DataFrame:
     return drafts.groupBy(by).agg(F.max_by(F.struct("keys", "quality", "built_at"), F.struct("quality", -F.unix_timestamp("built_at"))).alias("d")).select(by, "d.*")
 
 
+def slot_of(built_at: Column, hours: tuple[int, ...] = (12, 18, 22, 4), zone: str = "Asia/Seoul") -> Column:
+    """The slot hour of a draft: the last one at or before the time it was built, in a zone; before the first of a day, the last of the day before."""
+    hour = F.hour(F.from_utc_timestamp(built_at, zone))
+    passed = F.array_max(F.filter(F.array(*map(F.lit, sorted(hours))), lambda h: h <= hour))
+    return F.coalesce(passed, F.lit(max(hours)))
+
+
+def merged_drafts(versions: DataFrame, new: DataFrame, by: str = "edition") -> DataFrame:
+    """The table of draft versions with new ones: one a slot of an edition, the last built, so that a slot that runs again replaces its own.
+
+    The result doesn't depend on the order in which slots run; champions() of it is the draft that stands.
+    """
+    columns = [by, "slot", "keys", "quality", "built_at"]
+    every = versions.select(*columns).unionByName(new.select(*columns))
+    return latest_per_key(every, [by, "slot"], [F.col("built_at").desc(), F.col("quality").desc(), F.col("keys").asc()])
+
+
 def quality(picks: DataFrame, by: list[str]) -> DataFrame:
     """1000 a pick, the mean fit, and up to 1 for freshness; an unknown age counts as 48 hours."""
     fresh = F.greatest(F.lit(0.0), 1 - F.avg(F.coalesce("age_hours", F.lit(48.0))) / 48)

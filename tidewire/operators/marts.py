@@ -51,10 +51,20 @@ def health(last: Column, now: Column) -> Column:
     return F.when(age < 2, "ok").when(age < 6, "warn").otherwise("down")
 
 
-def upper_median_gap(log: DataFrame, by: str) -> DataFrame:
-    """The median of the seconds between consecutive rows; of an even number the upper one. Equal gaps are counted before they are put in order."""
-    gap = F.unix_timestamp("ts") - F.lag(F.unix_timestamp("ts")).over(Window.partitionBy(by).orderBy("ts", "key"))
-    counts = log.select(by, gap.alias("gap")).where("gap IS NOT NULL").groupBy(by, "gap").agg(F.count(F.lit(1)).alias("times"))
+def upper_median_gap(log: DataFrame, by: str, days: int = 1) -> DataFrame:
+    """The median of the seconds between consecutive rows; of an even number the upper one. Equal gaps are counted before they are put in order.
+
+    A key's rows are put in order by spans of days, and the first of a span takes the last time of the span before it, so that a key that
+    holds most rows is spread over its spans.
+    """
+    at = F.unix_timestamp("ts")
+    timed = log.select(by, "key", at.alias("at"), F.floor(at / (days * 86400)).alias("span"))
+    spans = timed.groupBy(by, "span").agg(F.max("at").alias("last"))
+    before = spans.select(F.col(by).alias("__by"), F.col("span").alias("__span"), F.lag("last").over(Window.partitionBy(by).orderBy("span")).alias("before"))
+    inside = timed.withColumn("prior", F.lag("at").over(Window.partitionBy(by, "span").orderBy("at", "key")))
+    joined = inside.join(before, inside[by].eqNullSafe(before["__by"]) & inside["span"].eqNullSafe(before["__span"]))
+    gaps = joined.select(by, (F.col("at") - F.coalesce("prior", "before")).alias("gap")).where("gap IS NOT NULL")
+    counts = gaps.groupBy(by, "gap").agg(F.count(F.lit(1)).alias("times"))
     upto = F.sum("times").over(Window.partitionBy(by).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0))
     middle = F.floor(F.sum("times").over(Window.partitionBy(by)) / 2) + 1
     placed = counts.withColumns({"upto": upto, "middle": middle})
@@ -96,9 +106,10 @@ def bulletin(rows: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def key_signals(picks: DataFrame, by: str, sentence: Column, most: int = 5) -> DataFrame:
-    """The first sentences of an edition's key issues."""
-    lines = F.array_sort(F.collect_list(F.struct("place", sentence.alias("s"))))
-    return picks.where("key_issue").groupBy(by).agg(F.slice(F.transform(lines, lambda x: x["s"]), 1, most).alias("signals"))
+    """The first sentences of an edition's key issues, the first `most` by place."""
+    first = picks.where("key_issue").select(by, "place", sentence.alias("s")).withColumn("__rn", F.row_number().over(Window.partitionBy(by).orderBy("place", "s"))).where(F.col("__rn") <= most)
+    lines = F.array_sort(F.collect_list(F.struct("__rn", "s")))
+    return first.groupBy(by).agg(F.transform(lines, lambda x: x["s"]).alias("signals"))
 
 
 def counts_by(rows: DataFrame, columns: list[str], top: int | None = None, within: list[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,29 @@ def jaccard_pairs(rows: DataFrame, threshold: float, id_col: str = "key", words:
     prefix = ordered.withColumn("w", F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))))
     a, b = prefix.select(F.col("id").alias("a_id"), F.col("ws").alias("a_ws"), "w"), prefix.select(F.col("id").alias("b_id"), F.col("ws").alias("b_ws"), "w")
     near = a.join(b, "w").where((F.col("a_id") < F.col("b_id")) & (F.size("a_ws") >= F.size("b_ws") * threshold) & (F.size("b_ws") >= F.size("a_ws") * threshold))
-    near = near.select("a_id", "b_id", T.jaccard(F.col("a_ws"), F.col("b_ws")).alias("jaccard")).where(F.col("jaccard") >= threshold)
-    return near.distinct()
+    # A pair counts at the first word that both prefixes share, so none comes twice.
+    start = lambda ws: F.slice(ws, F.lit(1), (F.size(ws) - F.ceil(F.size(ws) * threshold) + 1).cast("int"))
+    near = near.where(F.col("w") == F.array_min(F.array_intersect(start(F.col("a_ws")), start(F.col("b_ws")))))
+    return near.select("a_id", "b_id", T.jaccard(F.col("a_ws"), F.col("b_ws")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def rare_first(rows: DataFrame, counted: DataFrame, id_col: str, words: str, keep: Callable[[Column], Column], out: str) -> DataFrame:
+    """id_col, out: of each row's words, the first keep(n) of n by how few rows of counted hold them (ties by the word)."""
+    frequency = counted.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    each = rows.select(id_col, F.explode(F.array_distinct(words)).alias("w")).join(frequency, "w", "left")
+    ordered = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("s"))
+    return ordered.select(id_col, F.transform(F.slice("s", F.lit(1), F.greatest(keep(F.size("s")), F.lit(0)).cast("int")), lambda x: x["w"]).alias(out))
+
+
+def story_blocks(rows: DataFrame, generic: list[str], id_col: str = "key", alone: float = 0.62) -> DataFrame:
+    """rows with telling and rare, which with ents are all that two rows of one story can share (see same_story).
+
+    Rows that share no name are one story by a telling word, or by titles that agree to `alone`; of those, each has a word among its rarest ones, so
+    frequent words that tell nothing are joined on only where a title has no others.
+    """
+    found = rare_first(rows, rows, id_col, "tokens", lambda n: n - F.ceil(n * alone) + 1, "rare")
+    told = rows.withColumn("telling", T.distinctive(F.col("tokens"), generic)).join(found, id_col, "left")
+    return told.withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
 
 
 def same_event(a: Column, b: Column, generic: list[str], alone: float = 0.62, soft: float = 0.25) -> Column:
@@ -112,14 +135,31 @@ def without_used(rows: DataFrame, used: DataFrame, articles: list[Column], id_co
     return rows.join(each.join(used.select("article"), "article", "left_semi").select(id_col).distinct(), id_col, "left_anti")
 
 
+def _stems(words: Column, short: str, long: str) -> Column:
+    """What a word must share with one that stem_hits() takes as alike: three letters, or, if one of them has only two, those (marked by which side has it)."""
+    three = F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("3:"), F.substring(w, 1, 3)))
+    two = F.transform(F.filter(words, lambda w: F.length(w) == 2), lambda w: F.concat(F.lit(short), w))
+    start = F.transform(F.filter(words, lambda w: F.length(w) >= 2), lambda w: F.concat(F.lit(long), F.substring(w, 1, 2)))
+    return F.array_distinct(F.concat(three, two, start))
+
+
 def shared_titles(rows: DataFrame, titles: DataFrame, id_col: str = "key", jaccard: float = 0.30, stems: int = 3) -> DataFrame:
     """Ids of the rows (tokens) whose title was shared before: Jaccard at least `jaccard`, or as many stems.
 
-    Both need a word that starts alike, so rows are joined on the first two characters of their words.
+    Joined on what either rule needs, rare things first. Of `stems` words that must be alike, one is not among the stems - 1 whose beginnings
+    most titles share; and at that Jaccard one of a row's rarest words is shared as it is. So a frequent beginning is joined on only for
+    titles that have little else.
     """
-    start = lambda df: F.array_distinct(F.transform(df["tokens"], lambda w: F.substring(w, 1, 2)))
-    a, b = rows.withColumn("starts", start(rows)), titles.withColumn("starts", start(titles))
-    pairs = blocked_pairs(a, b, ["starts"], id_col)
+    b = titles.withColumn("stems", _stems(F.col("tokens"), "l:", "s:"))
+    each = rows.select(id_col, F.explode(F.array_distinct("tokens")).alias("w")).withColumn("k", _stems(F.array("w"), "s:", "l:"))
+    often = b.select(F.explode("stems").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    weight = each.select(id_col, "w", F.explode("k").alias("s")).join(often, "s").groupBy(id_col, "w").agg(F.sum("df").alias("df"), F.collect_list("s").alias("k"))
+    by = Window.partitionBy(id_col).orderBy(F.col("df").desc(), "w")
+    alike = weight.withColumn("__rn", F.row_number().over(by)).where(F.col("__rn") >= stems).groupBy(id_col).agg(F.array_distinct(F.flatten(F.collect_list("k"))).alias("stems"))
+    rare = rare_first(rows, titles, id_col, "tokens", lambda n: n - F.ceil(n * jaccard) + 1, "rare")
+    none = F.array().cast("array<string>")
+    a = rows.select(id_col, "tokens").join(alike, id_col, "left").join(rare, id_col, "left").withColumns({"stems": F.coalesce("stems", none), "rare": F.coalesce("rare", none)})
+    pairs = blocked_pairs(a, b.withColumn("rare", F.col("tokens")), ["stems", "rare"], id_col)
     rule = (T.jaccard(F.col("a.tokens"), F.col("b.tokens")) >= jaccard) | (T.stem_hits(F.col("a.tokens"), F.col("b.tokens")) >= stems)
     return pairs.where(rule).select(F.col(f"a.{id_col}").alias(id_col)).distinct()
 
@@ -161,9 +201,13 @@ def dominated(rows: DataFrame, rule, keys: list[str], hours: int = 36, id_col: s
 
 
 def alternatives(rows: DataFrame, pool: DataFrame, days: int = 2, least: float = 0.45, top: int = 8, id_col: str = "key") -> DataFrame:
-    """For each row the first free item of the pool among the `top` by word overlap within the days: (key, alt)."""
+    """For each row the first free item of the pool among the `top` by word overlap within the days: (key, alt).
+
+    Spans of the days are in the join's key, so a word meets only the rows of its time.
+    """
     near = F.abs(F.unix_timestamp(F.col("a.ts")) - F.unix_timestamp(F.col("b.ts"))) <= days * 86400
-    pairs = blocked_pairs(rows, pool, ["tokens"], id_col, near & (F.col(f"a.{id_col}") != F.col(f"b.{id_col}")))
+    spanned = lambda df: df.withColumn("__span", F.floor(F.unix_timestamp("ts") / (days * 86400)))
+    pairs = blocked_pairs(spanned(rows), spanned(pool), ["tokens"], id_col, near & (F.col(f"a.{id_col}") != F.col(f"b.{id_col}")), next_to="__span")
     pairs = pairs.withColumn("overlap", T.overlap(F.col("a.tokens"), F.col("b.tokens"))).where(F.col("overlap") >= least)
     by = Window.partitionBy(F.col(f"a.{id_col}")).orderBy(F.col("overlap").desc(), F.col(f"b.{id_col}"))
     free = pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).where("b.free")

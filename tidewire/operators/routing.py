@@ -103,6 +103,11 @@ def queue_order(tier: Column, ts: Column, key: str = "key") -> list[Column]:
     return [tier.asc(), ts.desc_nulls_last(), F.col(key).asc()]
 
 
+def publish_order(ts: Column, key: str = "key") -> list[Column]:
+    """Order of publishing: oldest first, undated last, so that the newest stands where readers arrive."""
+    return [ts.asc_nulls_last(), F.col(key).asc()]
+
+
 def importance_floor(category: Column, policy: list[str], policy_floor: int, usual: int) -> Column:
     """The least importance that a category asks for: a lower one for policy categories."""
     return F.when(category.isin(policy), policy_floor).otherwise(usual)

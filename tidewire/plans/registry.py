@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from tidewire.plans import relations, scalars
+from tidewire.plans import curation, relations, scalars
 
 
 def queries():
-    return {**scalars.QUERIES, **relations.QUERIES}
+    return {**scalars.QUERIES, **relations.QUERIES, **curation.QUERIES}
 
 
 def oracle_sql():
-    return {**scalars.SQL, **relations.SQL}
+    return {**scalars.SQL, **relations.SQL, **curation.SQL}
 
 
 def flagship(spark, sf_dir):

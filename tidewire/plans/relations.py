@@ -207,7 +207,8 @@ def unused_articles(spark, sf_dir):
 def fold_by_event(spark, sf_dir):
     """Leaders of greedy folding by coverage: order-dependent, so without SQL; tests hold it against the plain loop."""
     rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ents", "action", "coverage")
-    edges = pairs.blocked_pairs(rows, rows, ["tokens", "ents"], "doc_id", same=True).where(pairs.same_story(F.col("a"), F.col("b"), S.GENERIC)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    blocks = pairs.story_blocks(rows, S.GENERIC, "doc_id")
+    edges = pairs.blocked_pairs(blocks, blocks, ["ents", "telling", "rare"], "doc_id", same=True).where(pairs.same_story(F.col("a"), F.col("b"), S.GENERIC)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
     rank = F.struct((-F.col("coverage")).alias("c"), F.col("doc_id").alias("d"))
     found = clusters.first_leaders(rows.select(F.col("doc_id").alias("id"), rank.alias("rank")), edges)
     return found.select(F.col("id").alias("doc_id"), "leader")
@@ -588,6 +589,11 @@ def streamed_hourly(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/events.parquet*")
     out = clusters.stage_path(spark)
     counted = flows.hourly(stream.withColumn("ts", F.col("ts").cast("timestamp")), ["event_type"], "ts")
-    batch = counted.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    batch.awaitTermination()
-    return spark.read.parquet(out).select("event_type", F.date_format("window_end", "yyyy-MM-dd HH").alias("window_end"), "n")
+
+    def each(df, number):
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    # Only windows that changed are written, so the watermark lets go of old ones; the last batch of a window holds its count.
+    counted.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("event_type", "window_end").agg(F.max_by("n", "batch").alias("n"))
+    return last.select("event_type", F.date_format("window_end", "yyyy-MM-dd HH").alias("window_end"), "n")

@@ -57,6 +57,8 @@ RULES = R.RuleSet(
     countries={"en": ("the", "and", "of"), "fr": ("les", "que", "une"), "de": ("der", "und", "ver"), "es": ("los", "para", "ción")},
     urgency=(R.Rule("alert", "!!"), R.Rule("watch", "ndble|erreth"), R.Rule("note", "thon")),
 )
+#: Issues that run over days, whatever the category of an item.
+ISSUES = (R.Rule("outage", "thble|enment"), R.Rule("court", "eaulle|tione"), R.Rule("strike", "erver|versch"))
 STOP, GENERIC = list(RULES.stop), list(RULES.generic)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions import rules as R
 from tidewire.functions import text as T
 from tidewire.functions import times
 
@@ -45,6 +46,45 @@ def search_items(items: DataFrame, noise: list[str], per_query: int = 12, body:
     return clean.withColumns({"outlet": outlet, "bare": title, "__rn": rank, "body": F.substring("body", 1, body)}).where(F.col("__rn") <= per_query).drop("__rn", "title").withColumnRenamed("bare", "title")
 
 
+#: The elements of a search result. What an element holds beyond its text is read and left.
+RESULT = "title string, link string, pubDate string, description string, source struct<_VALUE: string, _url: string>, __broken string"
+
+
+def search_results(replies: DataFrame, since: Column, until: Column, body: int = 2000, unnamed: str = "search") -> DataFrame:
+    """Results of (query, arrival, xml) with since < published_at <= until, the first arrival of each link: ITEM_COLUMNS, query, broken.
+
+    Each <item> is parsed as XML, with CDATA and character references; one that isn't well-formed is read by patterns, and marked `broken`. A result
+    needs a title, a link and an RFC 822 date. Markup is taken out of titles and bodies; a null reply has no results.
+    """
+    blocks = replies.select("query", "arrival", F.posexplode(_blocks(F.col("xml"), "item")).alias("pos", "block"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken", "attributePrefix": "_", "valueTag": "_VALUE"}
+    read = blocks.withColumn("x", F.from_xml("block", RESULT, options))
+    # A parsed element has its references decoded; a raw one has them decoded here.
+    raw = lambda name: F.when(F.col("block").rlike(rf"(?is)<{name}\b[^>]*>"), T.unescape(_tag(F.col("block"), name)))
+    broken = F.col("x.__broken").isNotNull() | F.col("x").isNull()
+    of = lambda name, value: F.trim(F.regexp_replace(F.when(broken, raw(name)).otherwise(value), "<[^>]*>", ""))
+    when = F.regexp_replace(of("pubDate", F.col("x.pubDate")), r"^[A-Za-z]{3},\s*", "")
+    at = F.coalesce(*(F.try_to_timestamp(when, F.lit(f)) for f in RFC822))
+    outlet = F.coalesce(F.nullif(of("source", F.col("x.source._VALUE")), F.lit("")), F.lit(unnamed))
+    link = of("link", F.col("x.link"))
+    items = read.select(
+        outlet.alias("source"), link.alias("unique_id"), of("title", F.col("x.title")).alias("title"), link.alias("url"), F.substring(F.coalesce(of("description", F.col("x.description")), F.lit("")), 1, body).alias("body"),
+        at.alias("published_at"), "query", broken.alias("broken"), F.struct("arrival", "pos").alias("arrival"),
+    )
+    return between(items.where("title IS NOT NULL AND unique_id != ''"), since, until).drop("arrival")
+
+
+def landed_feeds(spark: SparkSession, folders: list[str], sources: DataFrame, up: int = 0) -> DataFrame:
+    """(source, region, payload, path) of the files in many folders, in one read: rows meet their source by the folder that their file lies in.
+
+    sources (folder, source, region) names folders; up says how many folders lie between them and their files. The list is the owner's,
+    and files of a folder that it doesn't name keep a null source. A file is a payload as a whole.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(folders, wholetext=True).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("path"))
+    folder = F.element_at(F.split("path", "/"), -2 - up)
+    return files.withColumn("folder", folder).join(sources.select("folder", "source", "region"), "folder", "left").select("source", "region", "payload", "path")
+
+
 def between(items: DataFrame, since: Column, until: Column) -> DataFrame:
     """since < published_at <= until, the first of each unique_id by arrival."""
     kept = items.where(times.in_window(F.col("published_at"), since, until))
@@ -162,3 +202,30 @@ def truth_titles(rows: DataFrame) -> DataFrame:
 def all_sources(frames: list[DataFrame]) -> DataFrame:
     """The union of collectors; the order of the list is their precedence."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("precedence", F.lit(k)) for k, f in enumerate(frames)])
+
+
+def urgent_lane(releases: DataFrame, stream: DataFrame, speeches: DataFrame, feeds: DataFrame, rules: R.RuleSet, routing: R.UrgentRouting, released: str = "release") -> DataFrame:
+    """The urgent items of four sources (ITEM_COLUMNS, hint) with label, hint, tab, mirror and deep.
+
+    releases are numbers of the calendar, stream rows carry their label in the hint ("prefix:label/place"), speeches belong to the home market, are mirrored
+    and summarised in depth; of other feeds a title that a rule of urgency fits comes in, with its label added to the hint.
+    """
+    prefix = routing.prefix
+    named = F.regexp_extract(F.coalesce("hint", F.lit("")), rf"^(?:{prefix}:)?([^/]*)", 1)
+    label = {
+        "releases": F.lit(released),
+        "stream": F.coalesce(F.nullif(named, F.lit("")), F.lit(released)),
+        "speeches": F.lit("speech"),
+        "feeds": R.urgency(F.col("title"), rules),
+    }
+    lanes = []
+    for name, rows in (("releases", releases), ("stream", stream), ("speeches", speeches), ("feeds", feeds)):
+        rows = rows.withColumn("label", label[name]).where("label IS NOT NULL")
+        if name == "feeds":
+            rows = rows.withColumn("hint", F.ltrim(F.concat(F.coalesce("hint", F.lit("")), F.lit(f"/{prefix}:"), "label"), F.lit("/")))
+        tab, mirror = R.target_tab(F.col("title"), F.col("hint"), routing), R.mirror_tab(F.col("label"), F.col("title"), F.col("hint"), routing)
+        deep = F.col("label").isin(*routing.deep) if routing.deep and name == "feeds" else F.lit(name == "speeches")
+        if name == "speeches":
+            tab, mirror = F.lit(routing.home_tab), F.lit(routing.mirror_tab)
+        lanes.append(rows.withColumns({"tab": tab, "mirror": mirror, "deep": deep}))
+    return all_sources(lanes)

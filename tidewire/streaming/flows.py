@@ -75,34 +75,46 @@ def _landed(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def event_index(items: DataFrame, days: int = 10) -> DataFrame:
-    """cluster, key, is_new for a stream of (block, key, tokens, ts): each item joins the most alike representative of its block, or is one itself.
+def with_lateness(items: DataFrame, limit_hours: Column, arrived: str = "arrived_at", ts: str = "published_at") -> DataFrame:
+    """items with late (older at arrival than their class's limit) and event_time: their time, or that of their arrival if they have none.
 
-    State per block: representatives with their words and times, dropped after `days`. Only representatives are
-    compared, so clusters don't chain.
+    An undated item is never late: it counts from its arrival.
     """
-    import pandas as pd
-
-    def step(block, batches, state):
-        reps = list(zip(*state.get)) if state.exists else []
-        out = []
-        for pdf in batches:
-            for r in pdf.sort_values(["ts", "key"]).itertuples():
-                at, words = r.ts.timestamp(), set(r.tokens)
-                reps = [x for x in reps if at - x[2] <= days * 86400]
-                best = max(reps, key=lambda x: (_alike(words, set(x[1].split(" "))), x[0]), default=None)
-                if best and _alike(words, set(best[1].split(" "))) >= 0.62:
-                    out.append((block[0], best[0], r.key, False))
-                else:
-                    reps.append((r.key, " ".join(sorted(words)), at))
-                    out.append((block[0], r.key, r.key, True))
-        state.update(tuple(list(c) for c in zip(*reps)) if reps else ([], [], []))
-        yield pd.DataFrame(out, columns=["block", "cluster", "key", "is_new"])
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return items.groupBy("block").applyInPandasWithState(step, "block string, cluster string, key string, is_new boolean", "keys array<string>, words array<string>, at array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
-def _alike(a: set, b: set) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+    return items.withColumns({"late": times.is_stale(F.col(ts), F.col(arrived), limit_hours), "event_time": F.coalesce(ts, arrived)})
+
+
+def on_time(items: DataFrame, key: str, longest_hours: int) -> DataFrame:
+    """The rows of with_lateness() that are in time, each key once: the watermark is at the longest limit, so state is bounded.
+
+    A row in time is at most that much older than its arrival, and arrivals only grow, so the watermark never passes one that another
+    class's limit lets in. Late rows go to late_rows(), a stream of its own without state.
+    """
+    return items.where("NOT late").withWatermark("event_time", f"{longest_hours} hours").dropDuplicatesWithinWatermark([key])
+
+
+def late_rows(items: DataFrame) -> DataFrame:
+    """The rows of with_lateness() that came too late, for a side table."""
+    return items.where("late")
+
+
+def split_by_lateness(items: DataFrame, key: str, longest_hours: int, main: str, side: str, checkpoint: str) -> list[StreamingQuery]:
+    """Runs both streams over what is there: rows in time into the table at main, late ones into the one at side."""
+    flows = (("main", on_time(items, key, longest_hours), main), ("side", late_rows(items), side))
+    return [df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start() for name, df, path in flows]
+
+
+def replay(items: DataFrame, since: str, until: str, kept: Column, ledger: str, key: str, published: DataFrame | None = None, emit: Callable[[DataFrame, int], None] | None = None, ts: str = "published_at") -> int:
+    """Runs a past interval (since, until] through a gate and into the ledger at a path, as one batch; returns the batch's number.
+
+    kept: the gate, such as that of relaxed rules; the age of items isn't asked. published (key): what is out already and isn't emitted again. The number
+    follows from the interval, below those of the stream, so a second run finds its batch marked and changes nothing, and one that
+    was broken off writes its own rows anew.
+    """
+    spark = items.sparkSession
+    begin, end = (int(spark.range(1).select(F.unix_timestamp(F.lit(t).cast("timestamp"))).first()[0]) for t in (since, until))
+    number = -(begin // 60 * 1_000_000 + (end - begin) // 60 + 1)
+    rows = items.where(times.in_window(F.col(ts), F.timestamp_seconds(F.lit(begin)), F.timestamp_seconds(F.lit(end))) & kept)
+    if published is not None:
+        rows = rows.join(published.select(key).distinct(), key, "left_anti")
+    ledger_batch(rows, number, ledger, key, emit)
+    return number
