@@ -150,7 +150,7 @@ def test_editions_of_several_days_equal_the_plain_loop(spark, fill_days):
     rows = [x for x in rows if not (x["audience"] == "q" and r.random() < 0.6)]  # few candidates, so that refills are used
     policy = E.Policy(SAME, STRICT, caps={"m": 3, "y": 1}, theme_caps={"t": 1}, floors={"w": 2, "x": 1}, count=6, per_head=3, fill_days=fill_days)
     by = ["audience", "edition"]
-    groups = E.grouped(frame(spark, rows), by, lambda a, b: pairs.same_story(a, b, GENERIC), fill_days)
+    groups = E.grouped(frame(spark, rows), by, lambda a, b: pairs.same_story(a, b, GENERIC), GENERIC, fill_days)
     offered = E.offers(groups, by, policy).persist()
     expected = sorted(plain(rows, policy))
     found = lambda df: sorted((x.audience, x.edition, x.place, x.key, x.phase) for x in df.collect())
@@ -180,7 +180,7 @@ def test_a_swapped_member_is_judged_anew(spark):
         {**base, "at": at + 4, "key": "k5", "coverage": 5, "tokens": ["river", "green"], "ents": [], "shared": True},
     ]
     policy = E.Policy(SAME, STRICT, topup_least=99)
-    groups = E.grouped(frame(spark, rows), ["edition"], lambda a, b: pairs.same_story(a, b, GENERIC))
+    groups = E.grouped(frame(spark, rows), ["edition"], lambda a, b: pairs.same_story(a, b, GENERIC), GENERIC)
     assert {r.key: r.leader.split("\u0001")[-1] for r in groups.collect()} == {"k1": "k1", "k2": "k2", "k3": "k2", "k4": "k4", "k5": "k4"}
     got = [(r.key, r.phase) for r in E.run(E.offers(groups, ["edition"], policy), ["edition"], policy).orderBy("place").collect()]
     assert got == [("k1", E.USUAL), ("k3", E.USUAL)]

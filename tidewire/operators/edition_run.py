@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.operators import clusters, pairs
@@ -66,35 +66,38 @@ def _name(by: list[str]) -> Column:
     return F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in [*by, "edition", "key"]))
 
 
-def grouped(rows: DataFrame, by: list[str], rule: Callable[[Column, Column], Column], fill_days: int = 0) -> DataFrame:
+def grouped(rows: DataFrame, by: list[str], rule: Callable[[Column, Column], Column], generic: list[str], fill_days: int = 0) -> DataFrame:
     """rows of slotted() with id, leader (of the window's groups), alone and alone_in_slot (leads a group of all rows of the window, the slot).
 
     Groups are folded in two steps: of each cluster the row that covers most, by score and key; then, in that order, a row joins the first leader
     whose story it tells by rule(row, leader). Rows without a cluster are clusters of their own. The refills fold all rows, not only
-    those of the first step. Like rows are found once and serve all folds; each fold is clusters.first_leaders().
+    those of the first step. Like rows are found once, by pairs.story_blocks(), and all folds run as one clusters.first_leaders().
     """
     rank = F.struct((-F.col("coverage")).alias("c"), (-F.col("score")).alias("s"), F.col("key").alias("k"))
     named = clusters.staged(rows.withColumns({"id": _name(by), "rank": rank}))
-    light = named.select("id", "rank", *by, "edition", "tokens", "ents", "action")
-    later = F.struct("a.rank.c", "a.rank.s", "a.rank.k") > F.struct("b.rank.c", "b.rank.s", "b.rank.k")
     known = [c for c in by if c != "edition"]
-    like = pairs.blocked_pairs(light, light, ["tokens", "ents"], "id", later, equal=(*known, "edition"))
-    edges = clusters.staged(like.where(rule(F.col("a"), F.col("b"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
-
-    def leaders(nodes: DataFrame, name: str) -> DataFrame:
-        own = nodes.select("id", "rank")
-        inner = edges.join(own.select(F.col("id").alias("a")), "a", "left_semi").join(own.select(F.col("id").alias("b")), "b", "left_semi")
-        return clusters.staged(clusters.first_leaders(own, inner).select("id", F.col("leader").alias(name)))
+    light = pairs.story_blocks(named.select("id", "rank", *known, "edition", "tokens", "ents", "action"), generic, "id")
+    later = F.struct("a.rank.c", "a.rank.s", "a.rank.k") > F.struct("b.rank.c", "b.rank.s", "b.rank.k")
+    like = pairs.blocked_pairs(light, light, ["ents", "telling", "rare"], "id", later, equal=(*known, "edition"))
+    edges = like.where(rule(F.col("a"), F.col("b"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
-    window = named.where("inside")
+    # Which folds a row takes part in; a fold's nodes and edges carry its name.
     solo = F.when(F.coalesce(F.col("cluster").cast("string"), F.lit("")) == "", F.concat(F.lit("_solo:"), "key")).otherwise(F.concat(F.lit("_"), F.col("cluster").cast("string")))
-    best = clusters.best_of(window.withColumn("__solo", solo), [*known, "edition", "__solo"], ["rank"])
-    out = named.join(leaders(best, "leader"), "id", "left").join(leaders(window, "__in_window"), "id", "left")
-    slot = F.lit(False)
-    if fill_days:
-        out, slot = out.join(leaders(named, "__in_slot"), "id", "left"), F.col("__in_slot") == F.col("id")
-    flags = {"alone": F.coalesce(F.col("__in_window") == F.col("id"), F.lit(False)), "alone_in_slot": F.coalesce(slot, F.lit(False))}
-    return out.withColumns(flags).drop("rank", "__in_window", "__in_slot")
+    first = F.row_number().over(Window.partitionBy(*known, "edition", "inside", solo).orderBy("rank")) == 1
+    folds = {"leader": F.col("inside") & first, "window": F.col("inside")} | ({"slot": F.lit(True)} if fill_days else {})
+    part = F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in folds.items())))
+    nodes = clusters.staged(named.select("id", "rank", part.alias("folds")))
+    mark = lambda c: F.concat_ws("\u0002", "fold", c)
+    each = nodes.select("id", "rank", F.explode("folds").alias("fold"))
+    ends = nodes.select("id", "folds")
+    inner = edges.join(ends.withColumnsRenamed({"id": "a", "folds": "fa"}), "a").join(ends.withColumnsRenamed({"id": "b", "folds": "fb"}), "b")
+    inner = inner.select("a", "b", F.explode(F.array_intersect("fa", "fb")).alias("fold")).select(mark("a").alias("a"), mark("b").alias("b"))
+    led = clusters.first_leaders(each.select(mark("id").alias("id"), "rank"), inner).select(F.split("id", "\u0002", 2).alias("x"), F.split("leader", "\u0002", 2)[1].alias("l"))
+    led = led.select(F.col("x")[0].alias("fold"), F.col("x")[1].alias("id"), "l")
+    of = lambda f: F.max(F.when(F.col("fold") == f, F.col("l")))
+    flat = led.groupBy("id").agg(of("leader").alias("leader"), F.coalesce(of("window") == F.col("id"), F.lit(False)).alias("alone"), F.coalesce(of("slot") == F.col("id"), F.lit(False)).alias("alone_in_slot"))
+    none = F.lit(False)
+    return named.drop("rank").join(flat, "id", "left").withColumns({"alone": F.coalesce("alone", none), "alone_in_slot": F.coalesce("alone_in_slot", none)})
 
 
 def offers(groups: DataFrame, by: list[str], policy: Policy) -> DataFrame:

@@ -42,9 +42,9 @@ def _candidates(spark, sf_dir: str) -> DataFrame:
     rows = rows.join(labels, "doc_id", "left")
     benchmark = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), T.tokens(F.split(F.split("text", "\n")[0], r"\. ")[0], S.STOP).alias("tokens"))
     shared = pairs.shared_titles(rows.select("key", "tokens"), benchmark).withColumn("__shared", F.lit(True))
-    story = ["key", "edition", "tokens", "ents", "action"]
-    before = rows.where("__q = 0").withColumn("edition", F.col("edition") + 1).select(*story)
-    told = pairs.blocked_pairs(rows.select(*story), before, ["tokens", "ents"], equal=("edition",))
+    blocks = pairs.story_blocks(rows.select("key", "edition", "tokens", "ents", "action", "__q"), S.GENERIC)
+    before = blocks.where("__q = 0").withColumn("edition", F.col("edition") + 1)
+    told = pairs.blocked_pairs(blocks, before, ["ents", "telling", "rare"], equal=("edition",))
     told = told.where(pairs.same_story(F.col("a"), F.col("b"), S.GENERIC, strict=True)).select("a.key").distinct().withColumn("__told", F.lit(True))
     no = F.lit(False)
     rows = rows.join(shared, "key", "left").join(told, "key", "left")
@@ -65,7 +65,7 @@ def _candidates(spark, sf_dir: str) -> DataFrame:
 def edition_days(spark, sf_dir):
     """The editions of all days, each knowing those before it: order-dependent, so without SQL; tests hold the whole job against a plain loop."""
     policy = _policy(fill_days=1)
-    groups = edition_run.grouped(_candidates(spark, sf_dir), ["edition"], lambda a, b: pairs.same_story(a, b, S.GENERIC), policy.fill_days)
+    groups = edition_run.grouped(_candidates(spark, sf_dir), ["edition"], lambda a, b: pairs.same_story(a, b, S.GENERIC), S.GENERIC, policy.fill_days)
     return edition_run.run(edition_run.offers(groups, ["edition"], policy), ["edition"], policy).select("edition", "place", "key", "phase", "pr")
 
 
