@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from tidewire.plans import curation, relations, scalars
+from tidewire.plans import curation, landings, relations, scalars
 
 
 def queries():
-    return {**scalars.QUERIES, **relations.QUERIES, **curation.QUERIES}
+    return {**scalars.QUERIES, **relations.QUERIES, **curation.QUERIES, **landings.QUERIES}
 
 
 def oracle_sql():
-    return {**scalars.SQL, **relations.SQL, **curation.SQL}
+    return {**scalars.SQL, **relations.SQL, **curation.SQL, **landings.SQL}
 
 
 def flagship(spark, sf_dir):
