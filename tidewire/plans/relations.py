@@ -394,9 +394,10 @@ def origin_floors(spark, sf_dir):
 
 
 @query(f"""WITH {S.LOG}, e AS (SELECT strftime(ts, '%Y-%m-%d') AS edition, * FROM log WHERE score >= 65)
- SELECT edition, key, row_number() OVER (PARTITION BY edition ORDER BY CASE action WHEN 'deal' THEN 1 WHEN 'market' THEN 2 ELSE 3 END, floor(epoch(ts)), key)::INT AS place FROM e""")
+ SELECT edition, key, row_number() OVER (PARTITION BY edition ORDER BY CASE action WHEN 'deal' THEN 1 WHEN 'market' THEN 2 ELSE 3 END, CASE WHEN k % 13 <> 0 THEN floor(epoch(ts)) ELSE 0 END, key)::INT AS place FROM e""")
 def edition_items(spark, sf_dir):
-    rows = S.log(spark, sf_dir).where("score >= 65").withColumn("edition", F.date_format("ts", "yyyy-MM-dd"))
+    """Editions by topic and original time; some rows have no time, and come first of their topic."""
+    rows = S.log(spark, sf_dir).where("score >= 65").withColumn("edition", F.date_format("ts", "yyyy-MM-dd")).withColumn("ts", F.when(F.col("k") % 13 != 0, F.col("ts")))
     return marts.edition_items(rows, ["deal", "market"]).select("edition", "key", "place")
 
 
@@ -510,20 +511,25 @@ def articles_shown(spark, sf_dir):
     return marts.shown(rows, {"lang": "en"}, {"ents": "Thanea"}, F.lit("2024-01-02").cast("timestamp"), "The", ["title", "body"]).select("doc_id")
 
 
-@query(f"SELECT DISTINCT {URL_KEY_SQL} AS url_key FROM (SELECT url, {URL_PARTS_SQL} AS qs FROM pages)")
+@query(f"""WITH u AS (SELECT url, {URL_KEY_SQL} AS url_key FROM (SELECT url, {URL_PARTS_SQL} AS qs FROM pages))
+ SELECT DISTINCT 'empty' AS ledger, url_key FROM u UNION ALL SELECT DISTINCT 'filled', url_key FROM u WHERE contains(url, 'https')""")
 def seen_urls_backfill(spark, sf_dir):
-    """The URL ledger, filled once from what was published."""
+    """The URL ledger, filled once from what was published: an empty one is, one with rows stays as it is."""
     pages = S.table(spark, sf_dir, "pages").select("url")
-    return ledgers.backfilled_urls(pages.where("false").select(F.col("url").alias("url_key")), pages)
+    filled = ledgers.backfilled_urls(pages.where("false").select(F.col("url").alias("url_key")), pages.where(F.contains("url", F.lit("https"))))
+    named = lambda df, name: df.select(F.lit(name).alias("ledger"), "url_key")
+    return named(ledgers.backfilled_urls(filled.where("false"), pages), "empty").unionByName(named(ledgers.backfilled_urls(filled, pages), "filled"))
 
 
 @query(f"""WITH u AS (SELECT page_id, url, {URL_KEY_SQL} AS url_key FROM (SELECT page_id, url, {URL_PARTS_SQL} AS qs FROM pages)), s AS (SELECT DISTINCT url_key FROM u WHERE contains(url, 'https'))
- SELECT url_key FROM s UNION SELECT url_key FROM u WHERE contains(url, '.html')""")
+ SELECT 'url' AS ledger, url_key AS value FROM (SELECT url_key FROM s UNION SELECT url_key FROM u WHERE contains(url, '.html')) UNION ALL SELECT 'key', page_id::VARCHAR FROM u WHERE contains(url, '.html') OR contains(url, 'utm_source')""")
 def curated_seen(spark, sf_dir):
-    """The URL ledger after curated pages were put in."""
+    """Both ledgers after curated pages were put in, some of which stood in either of them before."""
     pages = S.table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "url")
-    seen = ledgers.backfilled_urls(pages.where("false").select(F.col("url").alias("url_key")), pages.where(F.contains("url", F.lit("https"))))
-    return ledgers.seen_with(pages.where(F.contains("url", F.lit(".html"))), pages.where("false").select("key"), seen)[1]
+    urls_seen = ledgers.backfilled_urls(pages.where("false").select(F.col("url").alias("url_key")), pages.where(F.contains("url", F.lit("https"))))
+    keys_seen = pages.where(F.contains("url", F.lit("utm_source"))).select("key")
+    keys, by_url = ledgers.seen_with(pages.where(F.contains("url", F.lit(".html"))), keys_seen, urls_seen)
+    return by_url.select(F.lit("url").alias("ledger"), F.col("url_key").alias("value")).unionByName(keys.select(F.lit("key").alias("ledger"), F.col("key").cast("string").alias("value")))
 
 
 # Routing
@@ -548,10 +554,18 @@ def readable_member(spark, sf_dir):
     return routing.first_readable(rows, "cluster").select("cluster", "key")
 
 
-@query("SELECT doc_id, source AS label FROM documents")
+@query(r"""WITH r AS (SELECT doc_id, source, lang, length(text) % 7 AS k FROM documents)
+ SELECT doc_id, CASE k WHEN 0 THEN 'Daily ' || lang WHEN 1 THEN source WHEN 2 THEN source WHEN 3 THEN source || ' (' || lang || ' edition)' WHEN 4 THEN source WHEN 5 THEN lang || ' (' || source || '.com)' ELSE '' END AS label FROM r""")
 def source_labels(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("feed:x("), "source", F.lit(")"))).when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit(" ("), "source", F.lit(".com)"))).otherwise(F.concat("source", F.lit(" policy")))
-    return S.table(spark, sf_dir, "documents").select("doc_id", published.source_label(raw, r"^feed:[^(]*\((.+)\)$", ["US"], ["policy"]).alias("label"))
+    """Names as sources send them: wrapped, with a domain or a region in brackets, with a note that stays, with a tail word, with another name in brackets, blank."""
+    source, lang = F.col("source"), F.col("lang")
+    forms = [
+        F.concat(F.lit("feed:x(Daily "), lang, F.lit(" (US))")), F.concat(F.initcap(source), F.lit(" ("), source, F.lit(".com)")), F.concat(source, F.lit(" (US) ")), F.concat(source, F.lit(" ("), lang, F.lit(" edition)")),
+        F.concat(F.lit("  "), source, F.lit(" policy")), F.concat(lang, F.lit(" ("), source, F.lit(".com)")), F.lit("  "),
+    ]
+    raw = F.element_at(F.array(*forms), (F.length("text") % 7 + 1).cast("int"))
+    label = published.source_label(raw, r"^feed:[^(]*\((.+)\)$", ["US"], ["policy"])
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.when(F.length("text") % 7 == 1, F.lower(label)).otherwise(label).alias("label"))
 
 
 @query(f"""WITH {S.ITEMS} SELECT doc_id, CASE WHEN regexp_matches(trim(title), '^(The|Les)') THEN 'rules' WHEN lang = 'en' AND NOT {S.fits("split_part(trim(title), ',', 1)", 'the')} THEN source ELSE lang END AS topic FROM items""")

@@ -162,16 +162,24 @@ def page_title(spark, sf_dir):
     return S.table(spark, sf_dir, "pages").select("page_id", P.page_title(F.col("html")).alias("title"))
 
 
-_ART = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
-
-
-@query(rf"""WITH l AS (SELECT page_id, url, html, generate_subscripts(ls, 1) AS pos, unnest(ls) AS raw FROM (SELECT page_id, url, html, string_split(regexp_replace({_ART}, '(?i)</?(p|div|br|li|h[1-6]|tr|section)\b[^>]*>', chr(10), 'g'), chr(10)) AS ls FROM pages)),
- c AS (SELECT url, pos, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS line, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM l),
- k AS (SELECT url, line, min(pos) AS pos FROM c WHERE length(line) >= 30 AND line <> title GROUP BY ALL),
- b AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY url ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY url ORDER BY pos) AS n FROM k)
- SELECT url, count(*)::INT AS n_paras, sum(length(line))::BIGINT AS n_chars FROM b WHERE before < 12000 AND n <= 40 GROUP BY 1""")
+#: The containers in turn, of a page without what isn't text; DuckDB has no back references, so tags go one after the other.
+_BARE = "html"
+for _tag in ("script", "style", "nav", "header", "footer", "aside", "form", "figure"):
+    _BARE = rf"regexp_replace({_BARE}, '(?is)<{_tag}\b.*?</{_tag}\s*>', ' ', 'g')"
+_INNER = ", ".join(f"regexp_extract(bare, '(?is)<{t}\\b[^>]*>(.*?)</{t}>', 1)" for t in ("article", "main", "body"))
+
+
+@query(rf"""WITH p AS (SELECT url, {_BARE} AS bare, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM (SELECT url, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS html FROM pages)),
+ o AS (SELECT url, title, unnest([{_INNER}]) AS inner_, unnest([0, 1, 2]) AS container FROM p),
+ l AS (SELECT url, title, container, generate_subscripts(ls, 1) AS pos, unnest(ls) AS raw FROM (SELECT *, string_split(regexp_replace(inner_, '(?i)</?(p|div|br|li|h[1-6]|tr|section)\b[^>]*>', chr(10), 'g'), chr(10)) AS ls FROM o)),
+ c AS (SELECT url, container, pos, trim(regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS line, title FROM l),
+ k AS (SELECT url, container, line, min(pos) AS pos FROM c WHERE length(line) >= 30 AND line <> title GROUP BY ALL),
+ b AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY url, container ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY url, container ORDER BY pos) AS n FROM k),
+ t AS (SELECT url, container, count(*)::INT AS n_paras, sum(length(line))::BIGINT AS n_chars FROM b WHERE before < 12000 AND n <= 40 GROUP BY 1, 2)
+ SELECT url, container::INT AS container, n_paras, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY n_chars DESC, container) AS rn FROM t) WHERE rn = 1""")
 def page_paragraphs(spark, sf_dir):
-    return P.paragraphs(S.table(spark, sf_dir, "pages"), containers=P.CONTAINERS[:1]).select("url", "n_paras", "n_chars")
+    """What of a page is read: the container that holds most text, its paragraphs within the budget."""
+    return P.paragraphs(S.table(spark, sf_dir, "pages")).select("url", "container", "n_paras", "n_chars")
 
 
 def _count_sql(words) -> str:
