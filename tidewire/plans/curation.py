@@ -219,3 +219,40 @@ def draft_slots(spark, sf_dir):
         versions = ledgers.merged_drafts(versions, built.where(F.col("slot") == slot))
     best = ledgers.champions(versions)
     return best.select("edition", ledgers.slot_of(F.col("built_at"), zone="UTC").alias("slot"), F.element_at("keys", 1).alias("keys"))
+
+
+# Texts of editions
+
+
+_TEXTS = f"""{S.LOG}, e AS (SELECT strftime(ts, '%Y-%m-%d') AS edition, key, action, score, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY score DESC, key) AS place FROM log WHERE score >= 65)"""
+
+
+@query(f"""WITH {_TEXTS}, t AS (SELECT *, '<b>' || place || '. ' || CASE action WHEN 'deal' THEN '🤝' ELSE '📰' END || ' [' || CASE action WHEN 'deal' THEN 'Deals' ELSE action END || ']</b>' || chr(10) || '<a href="https://example.com/' || key || '?a&amp;b">Item &lt;' || key || '&gt;</a>'
+  || CASE WHEN key % 2 = 0 THEN chr(10) || chr(10) || '<b>Core</b>  ' || action || ' of ' || score ELSE '' END || CASE WHEN key % 3 = 0 THEN chr(10) || '🐧 ' || 'why' ELSE '' END || chr(10) AS entry FROM e WHERE place <= 10),
+ s AS (SELECT edition, list(action ORDER BY place) AS signals FROM e WHERE place <= 2 AND action = 'deal' GROUP BY 1)
+ SELECT edition, '☀️ <b>tidewire | Brief</b>' || chr(10) || chr(10) || edition || chr(10) || chr(10) || string_agg(entry, chr(10) ORDER BY place) || CASE WHEN len(any_value(signals)) > 0 THEN chr(10) || '━━━━━━━━━━━━━━' || chr(10) || chr(10) || '🚨 <b>Key signals</b>' || chr(10) || chr(10) || array_to_string(list_transform(any_value(signals), lambda x: '• ' || x), chr(10)) ELSE '' END AS text
+ FROM t LEFT JOIN s USING (edition) GROUP BY edition""")
+def edition_texts(spark, sf_dir):
+    """Each day's ten best as one text, with its deals among the first two as signals."""
+    form, key = assembly.Form(), F.col("key").cast("string")
+    rows = S.log(spark, sf_dir).where("score >= 65").withColumn("edition", F.date_format("ts", "yyyy-MM-dd"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("edition").orderBy(F.col("score").desc(), "key"))).where("place <= 10")
+    name = F.when(F.col("action") == "deal", "🤝 Deals")
+    lede = F.when(F.col("key") % 2 == 0, F.concat("action", F.lit("  of "), F.col("score").cast("string")))
+    entry = assembly.edition_entry(F.col("place"), F.concat(F.lit("Item <"), key, F.lit(">")), F.concat(F.lit("https://example.com/"), key, F.lit("?a&b")), lede, F.when(F.col("key") % 3 == 0, "why"), assembly.icon(name, form), assembly.topic_name(name, F.col("action")), form)
+    signals = rows.where("place <= 2 AND action = 'deal'").groupBy("edition").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "action"))), lambda s: s["action"]).alias("signals"))
+    return assembly.edition(rows.select("edition", F.col("edition").alias("label"), "place", entry.alias("entry")), ["edition"], "label", form, "Brief", signals)
+
+
+@query(f"""WITH {_TEXTS}, d AS (SELECT edition, action, count(*) AS n, list('Item ' || key ORDER BY place) AS points FROM e GROUP BY 1, 2)
+ SELECT edition, action, '🗂 <b>' || action || ' · ' || edition || ' digest</b>' || chr(10) || chr(10) || n || ' &gt; 0' || CASE WHEN n % 2 = 0 THEN chr(10) || chr(10) || '<blockquote>' || array_to_string(list_transform(points[1:3], lambda x: '• ' || x), chr(10)) || '</blockquote>' ELSE '' END
+  || CASE WHEN n % 3 = 0 THEN chr(10) || chr(10) || '🐧 so' ELSE '' END || chr(10) || chr(10) || '<i>' || n || ' items</i>' AS text FROM d""")
+def digest_texts(spark, sf_dir):
+    """A digest of each day and category."""
+    rows = S.log(spark, sf_dir).where("score >= 65").withColumn("edition", F.date_format("ts", "yyyy-MM-dd"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("edition").orderBy(F.col("score").desc(), "key")))
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("edition", "action").orderBy("place"))).withColumn("point", F.when(F.col("rn") <= 3, F.concat(F.lit("Item "), F.col("key").cast("string"))))
+    points = F.transform(F.array_sort(F.collect_list(F.when(F.col("point").isNotNull(), F.struct("rn", "point")))), lambda s: s["point"])
+    days = first.groupBy("edition", "action").agg(F.count(F.lit(1)).alias("n"), points.alias("points"))
+    text = assembly.digest(F.col("action"), F.col("edition"), F.concat(F.col("n").cast("string"), F.lit(" > 0")), F.when(F.col("n") % 2 == 0, F.col("points")), F.when(F.col("n") % 3 == 0, "so"), F.col("n"), assembly.Form())
+    return days.select("edition", "action", text.alias("text"))
