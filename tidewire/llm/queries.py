@@ -34,7 +34,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "shard_bytes", "group_cut")
 
 
 def op10_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
