@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,20 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 
-#: Fixed values, the default of the parameter `suffixes`: suffixes of two labels under which names are registered. Others have one label.
-TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "ne.jp", "or.kr", "org.uk"]
+
+
+@dataclass(frozen=True)
+class Suffixes:
+    """Under which suffixes names are registered.
+
+    second: second-level labels that make a suffix with a country's two letters, as in `co.uk`; else the last label is the suffix.
+    rules: suffixes of an owner's list, which go before that: `a.b`, `*.b` (any label before b) and `!c.b` (c.b is a name after all);
+    exceptions win, then the longest.
+    """
+
+    second: tuple[str, ...] = ("ac", "co", "com", "edu", "go", "gov", "mil", "ne", "net", "nom", "or", "org")
+    rules: tuple[str, ...] = ()
+
 
 #: Bounds of the estimated strength of a prior, in pages.
 STRENGTH = (2.0, 1000.0)
@@ -44,15 +58,33 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def suffix_of(host: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(suffixes), two).otherwise(F.substring_index(host, ".", -1))
+def suffix_length(host: Column, suffixes: Suffixes = Suffixes()) -> Column:
+    """How many labels of a host are its suffix."""
+    by_country = rf"(^|\.)({'|'.join(suffixes.second)})\.[a-z][a-z]$" if suffixes.second else "(?!)"
+    usual = F.when(host.rlike(by_country), 2).otherwise(1)
+    listed, but = [], []
+    for rule in suffixes.rules:
+        name = rule.lstrip("!*").lstrip(".")
+        below, labels = host.endswith(f".{name}"), name.count(".") + 1
+        if rule.startswith("!"):
+            but.append(F.when(below | (host == name), labels - 1))
+        else:
+            listed.append(F.when(below, labels + 1) if rule.startswith("*") else F.when(below | (host == name), labels))
+    longest = F.array_max(F.array(*listed)) if listed else F.lit(None).cast("int")
+    return F.coalesce(*but, longest, usual)
+
+
+def _last_labels(host: Column, n: Column) -> Column:
+    return F.call_function("substring_index", host, F.lit("."), -n)
+
+
+def suffix_of(host: Column, suffixes: Suffixes = Suffixes()) -> Column:
+    return _last_labels(host, suffix_length(host, suffixes))
 
 
-def domain_of(host: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
+def domain_of(host: Column, suffixes: Suffixes = Suffixes()) -> Column:
     """The registered domain: the suffix and one label more, or the host where there is none."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(suffixes), F.substring_index(host, ".", -3)).otherwise(two)
+    return _last_labels(host, suffix_length(host, suffixes) + 1)
 
 
 def _shrunk(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
@@ -74,7 +106,7 @@ def _shrunk(children: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
     return rows.select(*children.columns, mean.alias("m"), spread.alias("v"))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: Suffixes = Suffixes()) -> DataFrame:
     """host, n, bad, mean, low (posterior lower bound of the bad rate), base (the rate of all) from labelled pages (host string, bad int 0 or 1, and perhaps n: how many such pages).
 
     Counts are taken per host, registered domain and suffix, and shrunk downwards: suffixes towards the mean of all,
@@ -95,7 +127,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645, suffixes: list[str] = TWO_
     return of_host.join(base, "top").select("host", "n", "bad", F.col("m").alias("mean"), (F.col("m") - z * F.sqrt("v")).alias("low"), "base")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], worse: float = 1.0, z: float = 1.645, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], worse: float = 1.0, z: float = 1.645, suffixes: Suffixes = Suffixes()) -> DataFrame:
     """page_id, host, path, rule, verdict, bad_mean, bad_low for every row of pages (page_id, url).
 
     The longest rule decides; else a page is blocked if the posterior lower bound of its host's bad rate is above `worse` times the

@@ -28,8 +28,8 @@ read AS (SELECT host, regexp_replace(replace(replace(replace(replace(replace(rep
   '(?is)<h1\b[^>]*>.*?</h1>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\s\x{A0}]+', '', 'g') AS t FROM u WHERE html IS NOT NULL),
 h0 AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM read JOIN texts USING (t) GROUP BY 1),
 two AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS d2 FROM h0),
-h AS (SELECT host, n, bad, CASE WHEN d2 IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'ne.jp', 'or.kr', 'org.uk') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE d2 END AS domain,
-  CASE WHEN d2 IN ('ac.uk', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'ne.jp', 'or.kr', 'org.uk') THEN d2 ELSE string_split(host, '.')[-1] END AS suffix FROM two),
+h AS (SELECT host, n, bad, CASE WHEN regexp_matches(d2, '^(ac|co|com|edu|go|gov|mil|ne|net|nom|or|org)\.[a-z][a-z]$') THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE d2 END AS domain,
+  CASE WHEN regexp_matches(d2, '^(ac|co|com|edu|go|gov|mil|ne|net|nom|or|org)\.[a-z][a-z]$') THEN d2 ELSE string_split(host, '.')[-1] END AS suffix FROM two),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
 t AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1) AS m, 0.0 AS v FROM s),
 s1 AS (SELECT s.*, t.m AS pm, t.v AS pv FROM s, t),
