@@ -68,3 +68,38 @@ def test_pages(spark):
     now = F.lit("2026-10-07").cast("timestamp")
     meta = df.select(pages.page_title(F.col("html")), pages.description(F.col("html")), pages.published_time(F.col("html"), now), pages.published_time(F.col("html"), F.lit("2026-10-05").cast("timestamp")), pages.readable(F.lit(10), F.col("url"), ["pay.com"])).first()
     assert tuple(meta) == ("Head line", "Lead & more", dt.datetime(2026, 10, 6), None, "short")
+
+
+def test_every_form_of_clock(spark):
+    """A feed's date without a zone is the zone's; a post's without one is UTC; notices are local; calendars have twelve hours; Z and offsets are read."""
+    when = ["Tue, 06 Oct 2026 09:00:00 +0900", "Tue, 06 Oct 2026 00:00:00 GMT", "6 Oct 2026 00:00:00 Z", "2026-10-06T00:00:00Z", "2026-10-06T09:00:00+09:00", "2026-10-06 09:00:00", "Tue, 06 Oct 2026 09:00:00"]
+    rss = "".join(f"<item><title>t</title><link>http://a/{k}</link><pubDate>{w}</pubDate></item>" for k, w in enumerate(when))
+    got = feeds.feed_items(rows(spark, [("r", rss)], "source string, payload string")).collect()
+    assert len(got) == 7 and {r.published_at for r in got} == {dt.datetime(2026, 10, 6)}
+    late = feeds.feed_items(rows(spark, [("r", "<item><title>t</title><link>http://a/1</link><pubDate>soon</pubDate></item>")], "source string, payload string")).first()
+    assert late.published_at is None
+    post = feeds.posts(rows(spark, [(1, "http://p", "coin", "", "2026-10-06T00:00:00")], "id long, link string, title string, content string, date string"), ["coin"], "c").first()
+    assert post.published_at == dt.datetime(2026, 10, 6)
+    clocks = "".join(f'<tr data-id="{k}" data-event="e"><td>2026-10-06</td><td>{c}</td></tr>' for k, c in enumerate(["12:05 AM", "12:05 PM", "9:30 PM"]))
+    at = [r["at"] for r in feeds.calendar_rows(rows(spark, [("u", clocks)], "url string, html string")).orderBy("id").collect()]
+    assert at == [dt.datetime(2026, 10, 6, 0, 5), dt.datetime(2026, 10, 6, 12, 5), dt.datetime(2026, 10, 6, 21, 30)]
+
+
+def test_search_results_and_landed_folders(spark, tmp_path):
+    good = '<item><title><![CDATA[A & b <i>c</i>]]></title><link>http://a</link><pubDate>Tue, 06 Oct 2026 00:00:01 GMT</pubDate><source url="http://o">Out &amp; In</source><description>&lt;p&gt;body&lt;/p&gt; x</description><guid isPermaLink="false">g</guid></item>'
+    broken = "<item><title>C &amp; d</title><link> http://b </link><pubDate>Tue, 06 Oct 2026 09:00:02 +0900</pubDate><description><b>open</description></item>"
+    others = "<item><title>no date</title><link>http://c</link></item><item><link>http://d</link><pubDate>Tue, 06 Oct 2026 00:00:03 GMT</pubDate></item><item><title>late</title><link>http://e</link><pubDate>Wed, 07 Oct 2026 00:00:00 GMT</pubDate></item>"
+    again = good.replace("A & b", "Again")
+    xml = lambda body: f"<rss><channel>{body}</channel></rss>"
+    replies = rows(spark, [("q2", 2, xml(again)), ("q", 1, xml(good + broken + others)), ("n", 0, None)], "query string, arrival int, xml string")
+    limit = lambda t: F.lit(t).cast("timestamp")
+    got = feeds.search_results(replies, limit("2026-10-06"), limit("2026-10-06 12:00:00")).orderBy("url").collect()
+    assert [(r.source, r.title, r.url, r.body, r.query, r.broken) for r in got] == [("Out & In", "A & b c", "http://a", "body x", "q", False), ("search", "C & d", "http://b", "open", "q", True)]
+    assert [r.published_at.second for r in got] == [1, 2]
+
+    for folder, name in (("x", "1.xml"), ("x", "2.xml"), ("y", "1.xml"), ("z", "1.xml")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(f"<item>\n{folder}{name}</item>")
+    dimension = rows(spark, [("x", "Ex", "home"), ("y", "Why", None), ("unused", "U", None)], "folder string, source string, region string")
+    landed = feeds.landed_feeds(spark, [f"{tmp_path}/{f}" for f in "xyz"], dimension).collect()
+    assert sorted((r.source or "", r.region or "", r.payload) for r in landed) == [("", "", "<item>\nz1.xml</item>"), ("Ex", "home", "<item>\nx1.xml</item>"), ("Ex", "home", "<item>\nx2.xml</item>"), ("Why", "", "<item>\ny1.xml</item>")]

@@ -11,6 +11,8 @@ from tidewire.functions import rules as R
 from tidewire.functions import text as T
 from tidewire.functions import times
 
+#: Forms of a time without a zone.
+LOCAL = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "d MMM yyyy HH:mm:ss"]
 ITEM_COLUMNS = ["source", "unique_id", "title", "url", "body", "published_at"]
 RFC822 = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z"]  # after the day's name
 
@@ -32,7 +34,9 @@ def feed_items(payloads: DataFrame, per_feed: int = 15, body: int = 2000, zone:
     link = F.coalesce(F.nullif(_tag(block, "link"), F.lit("")), F.nullif(F.regexp_extract(block, r"""(?i)<link\b[^>]*href=["']([^"']+)""", 1), F.lit("")))
     when = F.coalesce(F.nullif(_tag(block, "pubDate"), F.lit("")), F.nullif(_tag(block, "published"), F.lit("")), F.nullif(_tag(block, "updated"), F.lit("")))
     text = F.coalesce(F.nullif(_tag(block, "description"), F.lit("")), F.nullif(_tag(block, "summary"), F.lit("")), F.lit(""))
-    dated = F.coalesce(*(F.try_to_timestamp(F.regexp_replace(when, r"^[A-Za-z]{3},\s*", ""), F.lit(f)) for f in RFC822), F.try_to_timestamp(when), times.local_time(when, zone, ["yyyy-MM-dd HH:mm:ss"]))
+    bare = F.regexp_replace(when, r"^[A-Za-z]{3},\s*", "")
+    zoned = F.coalesce(*(F.try_to_timestamp(bare, F.lit(f)) for f in RFC822), F.try_to_timestamp(when))
+    dated = F.when(when.rlike(r"(GMT|UTC|[+-]\d\d:?\d\d|Z)\s*$"), zoned).otherwise(times.local_time(bare, zone, LOCAL))
     items = entries.select("source", "pos", link.alias("url"), T.plain(_tag(block, "title")).alias("title"), F.substring(T.squeeze(T.plain(T.unescape(text))), 1, body).alias("body"), F.coalesce(F.nullif(_tag(block, "guid"), F.lit("")), link).alias("unique_id"), dated.alias("published_at"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("pos"))
     return items.where("url IS NOT NULL").withColumn("place", place).where(F.col("place") <= per_feed).select(*ITEM_COLUMNS)
