@@ -11,8 +11,9 @@ from tidewire.llm.common import stage
 PARAGRAPH = r"[^\n]{1,200}"
 #: Cells of the sketch that a fingerprint shows: three tables of a third each.
 BASE_CELLS = 24
-#: Rounds of peeling, each over one of the three tables, for the base sketch and for the larger ones.
-BASE_ROUNDS, ROUNDS = 6, 15
+#: Rounds of peeling, each over one of the three tables: for the base sketch; for the larger ones at first; and then at a time, for pairs
+#: whose cells still change.
+BASE_ROUNDS, ROUNDS, FIRST_ROUNDS, MORE_ROUNDS = 6, 15, 9, 3
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -65,45 +66,64 @@ def _peel_round(cells: DataFrame, keys: list[str], table: int) -> DataFrame:
     return _folded(peeled, keys)
 
 
-def decode(pairs: DataFrame, rounds: int) -> DataFrame:
+def _difference(pairs: DataFrame) -> DataFrame:
+    """The cells of the sketch of a less that of b, from pairs (row, which, third, a, b)."""
+    keys = ["row", "which", "third"]
+    signed = F.concat(F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("n"))), F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("n"))))
+    each = pairs.select(*keys, F.explode(signed).alias("s")).select(*keys, "s.*")
+    entries = each.select(*keys, F.explode(F.array(*(_entry(c, F.col("n"), F.col("d"), _check(F.col("d"))) for c in _cells(F.col("d"), F.col("third"))))).alias("e")).select(*keys, "e.*")
+    return _folded(entries, keys)
+
+
+def decode(pairs: DataFrame, rounds: int, more: int = 0) -> DataFrame:
     """row, which, ok, only_a, only_b from pairs (row, which, third, a, b: arrays of distinct digests, third: cells in each of three tables).
 
     The sketch of b is subtracted from that of a, cell by cell, and the difference is peeled. ok: every cell came out
     empty, so that only_a and only_b are the numbers of digests that the other side lacks. Pairs with equal digests leave
-    no cell and are not in the result. Expects pairs partitioned by row, and then adds no shuffle.
+    no cell and are not in the result. Pairs with open cells get `more` rounds at a time for as long as that empties any; the others are done
+    with. Expects pairs partitioned by row, and then adds no shuffle to the first rounds.
     """
-    keys = ["row", "which", "third"]
-    signed = F.concat(F.transform("a", lambda d: F.struct(d.alias("d"), F.lit(1).alias("n"))), F.transform("b", lambda d: F.struct(d.alias("d"), F.lit(-1).alias("n"))))
-    each = pairs.select(*keys, F.explode(signed).alias("s")).select(*keys, "s.*")
-    entries = each.select(*keys, F.explode(F.array(*(_entry(c, F.col("n"), F.col("d"), _check(F.col("d"))) for c in _cells(F.col("d"), F.col("third"))))).alias("e")).select(*keys, "e.*")
-    cells = _folded(entries, keys)
-    for r in range(rounds):
-        cells = _peel_round(cells, keys, r % 3)
+    keys, cells, at, found, left = ["row", "which", "third"], _difference(pairs), 0, None, None
     count = lambda c: F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).cast("int")
-    return cells.groupBy("row", "which").agg((F.max("cell") < 0).alias("ok"), count(-1).alias("only_a"), count(-2).alias("only_b"))
+    while True:
+        for _ in range(rounds):
+            cells, at = _peel_round(cells, keys, at % 3), at + 1
+        cells = stage(cells) if more else cells
+        summed = cells.groupBy("row", "which").agg((F.max("cell") < 0).alias("ok"), count(-1).alias("only_a"), count(-2).alias("only_b"))
+        if not more:
+            return summed
+        summed = stage(summed)
+        open_ = cells.join(summed.where("NOT ok").select("row", "which").hint("merge"), ["row", "which"], "left_semi")
+        now = open_.where("cell >= 0").count()
+        stuck = now == 0 or now == left
+        found = summed.where("ok") if found is None else found.unionByName(summed.where("ok"))
+        if stuck:
+            return found.unionByName(summed.where("NOT ok"))
+        cells, rounds, left = open_, more, now
 
 
 def differences(rows: DataFrame, base_cells: int = BASE_CELLS) -> DataFrame:
     """row, which, only_a, only_b from rows (row, pairs: array of (which, a, b)): how many digests each side of a pair has alone; no row where none.
 
-    The base sketch is tried first. Where its difference can't be peeled, a larger one is made, of twice the cells that the
-    digests of both could need, and then of twice the last, until every difference has been peeled.
+    The base sketch is tried first, but where the counts of both sides already differ by more than its cells. Where its difference can't be
+    peeled, a larger one is made, of twice the cells that the digests of both could need, and then of twice the last, until every
+    difference has been peeled.
     """
-    each = rows.repartition("row").select("row", F.explode("pairs").alias("p")).select("row", "p.*")
-    got = stage(decode(each.withColumn("third", F.lit(base_cells // 3)), BASE_ROUNDS))
+    far = F.abs(F.size("a") - F.size("b")) > base_cells
+    each = rows.select("row", F.explode("pairs").alias("p")).select("row", "p.*")
+    got = stage(decode(each.where(~far).repartition("row").withColumn("third", F.lit(base_cells // 3)), BASE_ROUNDS))
     done = got.where("ok")
-    failed, factor = got.where("NOT ok"), 1
-    if failed.isEmpty():
-        return done.drop("ok")
+    failed, factor = got.where("NOT ok").select("row", "which"), 1
     bound = F.ceil((F.size("a") + F.size("b")) * 2 / 3 + 4).cast("int")
-    open_ = stage(rows.select("row", F.explode("pairs").alias("p")).select("row", "p.*").join(failed.select("row", "which").hint("merge"), ["row", "which"]).withColumn("bound", bound))
-    while True:
-        got = stage(decode(open_.withColumn("third", F.col("bound") * factor).repartition("row"), ROUNDS))
+    open_ = stage(each.where(far).unionByName(each.where(~far).join(failed.hint("merge"), ["row", "which"])).withColumn("bound", bound))
+    while not open_.isEmpty():
+        got = stage(decode(open_.withColumn("third", F.col("bound") * factor).repartition("row"), FIRST_ROUNDS, MORE_ROUNDS))
         done = done.unionByName(got.where("ok"))
         failed, factor = got.where("NOT ok"), factor * 2
         if failed.isEmpty():
-            return done.drop("ok")
+            break
         open_ = stage(open_.join(failed.select("row", "which").hint("merge"), ["row", "which"]))
+    return done.drop("ok")
 
 
 #: What tells a document: its id (0 for null), whether that is null, and a hash of its text.
