@@ -44,9 +44,9 @@ class PlainPpm:
         for k in range(self.order, -1, -1):
             known = self.contexts[k].get(context[len(context) - k :], {})
             left = {s: n for s, n in known.items() if s not in gone}
-            room = sum(left.values()) + len(left)
+            room = 2 * sum(left.values())
             if b in left:
-                return p * left[b] / room
+                return p * (2 * left[b] - 1) / room
             if left:
                 p *= len(left) / room
             gone |= set(known)

@@ -89,14 +89,13 @@ def trie(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
 
     nodes: a row for each context of each order: k, c, total, distinct, excluded, next (symbol -> count, at most 257). The counts of the whole
     order are those of the corpus; a symbol counts in a shorter context once for each longer one in which it was seen, as with
-    update exclusion. Escapes are by method C: a context gives distinct / (total + distinct) to the symbols that it lacks.
+    update exclusion. Escapes are by method D: a context gives distinct / (2 total) to the symbols that it lacks, half a count for each it has.
     excluded: what the context's symbols count in the next shorter context, which leaves them out after an escape. As each of them
     is known there too, sums are all that exclusion needs. Every level is a grouping by integers, no group of more than 258 rows.
     """
     level, nodes = stage(grams), None
     around = Window.partitionBy(F.shiftright("g", BITS))
-    total = F.sum("n").over(around) + F.count(F.lit(1)).over(around)
-    seen = stage(level.withColumn("lp", F.log10(F.col("n") / total)))
+    seen = stage(level.withColumn("lp", F.log10((2 * F.col("n") - 1) / (2 * F.sum("n").over(around)))))
     for k in range(order, -1, -1):
         shorter = F.count(F.lit(1)).over(Window.partitionBy(_suffix(k))) if k else F.lit(0).cast("long")
         symbol = F.col("g").bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
@@ -126,9 +125,9 @@ def escaped(grams: DataFrame, nodes: DataFrame, order: int) -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         new = x["distinct"] - acc["gone"]
-        room = x["total"] - acc["mass"] + new
+        room = 2 * (x["total"] - acc["mass"])
         state = lambda lp, mass, gone, done: F.struct(lp.alias("lp"), mass.alias("mass"), gone.alias("gone"), done.alias("done"))
-        known = state(acc["lp"] + F.log10(x["n"] / room), acc["mass"], acc["gone"], F.lit(True))
+        known = state(acc["lp"] + F.log10((2 * x["n"] - 1) / room), acc["mass"], acc["gone"], F.lit(True))
         missed = state(acc["lp"] + F.when(new > 0, F.log10(new / room)).otherwise(0.0), x["excluded"], x["distinct"], F.lit(False))
         return F.when(acc["done"] | x["total"].isNull(), acc).when(x["n"].isNotNull(), known).otherwise(missed)
 
