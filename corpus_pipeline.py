@@ -43,8 +43,8 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: The stages' models, hashes and tokenizer are out of SQL's reach. Tests hold the near-copy and passage stages against brute force and
-#: run the stages one after the other on odd documents; there is no plain version of the whole run.
+#: The stages' models, hashes and tokenizer are out of SQL's reach. A test holds the whole run, stage by stage, against a plain version in
+#: memory (tests/llm/test_whole_pipeline.py).
 ORACLE_SQL = None
 
 
