@@ -91,6 +91,10 @@ class Tags:
 _WRAPPERS = frozenset("div section span tbody thead tr table html center font".split())
 
 
+#: Said of a block that stands behind the end of an article or main part, and in none.
+_BEHIND = frozenset({"behind"})
+
+
 class Block(NamedTuple):
     """A leaf block: its text, its own tag, the two nearest elements around it that say something, all that any ancestor says, and its share of link text."""
 
@@ -112,7 +116,7 @@ def blocks(page: str | None) -> tuple[list[Block], str]:
     open_: Counter[str] = Counter()
     found: list[Block] = []
     text: list[str] = []
-    linked, link_depth, at, title, in_head = 0, 0, 0, "", False
+    linked, link_depth, at, title, in_head, ended = 0, 0, 0, "", False, False
     nothing = ("", (), frozenset())
 
     def flush() -> None:
@@ -124,13 +128,16 @@ def blocks(page: str | None) -> tuple[list[Block], str]:
             if whole and tag == "title":
                 title = title or whole
             elif whole and not in_head:
-                found.append(Block(whole, tag, near, above, min(1.0, linked / len(whole))))
+                behind = ended and not open_["article"] and not open_["main"]
+                found.append(Block(whole, tag, near, above | _BEHIND if behind else above, min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
     def pop() -> str:
+        nonlocal ended
         tag = stack.pop()[0]
         open_[tag] -= 1
+        ended = ended or tag in ("article", "main")
         return tag
 
     for start, end, tag, closing, attrs in Tags(page):

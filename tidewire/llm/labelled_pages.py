@@ -14,10 +14,12 @@ _NOISE = {
     "notice": ["notice", "cookie", "consent", "alert", "gdpr", "paywall", "message"],
     "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad"],
     "form": ["newsletter", "subscribe", "signup", "login", "search", "contact-form"],
-    "comments": ["comments", "comment", "comment-list", "discussion", "replies", "disqus"],
+    "comments": ["comments", "comment", "comment-list", "discussion", "replies", "disqus", "disqus_thread", "user-comments", "reactions", "responses", "thread", "feedback"],
     "share": ["share", "social", "toolbar", "sharing"],
 }
-_MAIN = ["content", "post", "entry-content", "article-body", "story", "main", "text", "body-copy"]
+_MAIN = ["content", "post", "post-body", "post-content", "entry", "entry-content", "article-body", "story", "main", "text", "body-copy"]
+#: What holds one reader's comment; some of it also names main text.
+_COMMENT = ["comment", "comment-body", "comment-text", "reply", "post", "message", "bubble"]
 _PHRASES = {
     "footer": ["All rights reserved", "Privacy policy", "Terms of use"],
     "notice": ["We use cookies", "Accept all cookies", "Subscribe to read on"],
@@ -40,11 +42,13 @@ class Page:
         self.out: list[str] = []
         self.truth: list[tuple[str, bool]] = []
         self.plain = self.r.random() < 0.3  # class names that say nothing
+        self.told = False  # whether a semantic article has ended
         self.layout = layout or self.r.choices(LAYOUTS, [5, 3, 3, 2, 1, 1, 2])[0]
 
     def words(self, n: int) -> str:
         r = self.r
-        text = " ".join("".join(r.choices(_SYLLABLES, k=r.randint(1, 3))) + ("," if r.random() < 0.07 else "") for _ in range(n))
+        word = lambda: str(r.choice([r.randint(0, 99), r.randint(1900, 2030), f"{r.randint(1, 999)},{r.randint(100, 999)}"])) if r.random() < 0.03 else "".join(r.choices(_SYLLABLES, k=r.randint(1, 3)))
+        text = " ".join(word() + ("," if r.random() < 0.07 else "") for _ in range(n))
         return text[:1].upper() + text[1:]
 
     def sentence(self) -> str:
@@ -57,10 +61,16 @@ class Page:
         return text.upper() if self.r.random() < 0.03 else text
 
     def names(self, kinds: list[str], vague: float = 0.8) -> str:
+        if self.told and self.r.random() < 0.3:  # behind an article that has ended, names needn't tell
+            return self.any_name()
         if self.plain and self.r.random() < vague:
             return "".join(self.r.choices("abcdefgxyz", k=5))
         return self.r.choice(kinds)
 
+    def any_name(self) -> str:
+        r = self.r
+        return "-".join("".join(r.choices("abcdefghijklmnoprstuvw", k=r.randint(3, 8))) for _ in range(r.randint(1, 2)))
+
     def put(self, tag: str, text: str, main: bool, link: bool = False) -> None:
         inner = html.escape(text, quote=False)
         if link:
@@ -85,7 +95,7 @@ class Page:
         elif kind == "comments":
             self.put("h3", r.choice(_PHRASES["comments"]), False)
             for _ in range(r.randint(1, 8)):
-                self.out.append(f'<div class="{self.names(["comment", "comment-body", "reply"], 0.5)}">')
+                self.out.append(f'<div class="{self.names(_COMMENT, 0.5)}">')
                 self.put("div" if r.random() < 0.05 else "p", self.prose(), False)
                 self.out.append("</div>")
         elif kind == "form":
@@ -140,7 +150,7 @@ class Page:
 
     def container(self) -> tuple[str, str]:
         r, layout = self.r, self.layout
-        named = f' {r.choice(["class", "class", "id"])}="{self.names(_MAIN)}"'
+        named = f' {r.choice(["class", "class", "id"])}="{self.any_name() if r.random() < 0.35 else self.names(_MAIN)}"'
         deep = r.randint(1, 4)
         if layout == "semantic":
             tag = r.choice(["article", "article", "main"])
@@ -150,10 +160,18 @@ class Page:
             return f"<{tag}>" + "<div>" * deep, "</div>" * deep + f"</{tag}>"
         if layout == "named":
             tag = r.choice(["div", "div", "section"])
-            return f"<{tag}{named}>" + "<div>" * (deep - 1), "</div>" * (deep - 1) + f"</{tag}>"
+            within = "".join(f'<div class="{self.any_name()}">' if r.random() < 0.4 else "<div>" for _ in range(deep - 1))
+            return f"<{tag}{named}>" + within, "</div>" * (deep - 1) + f"</{tag}>"
         if layout == "wrapped":
             return "".join(f'<div class="{self.names(["page", "wrapper", "container", "layout", "row", "col"])}">' for _ in range(deep)) + "<article>", "</article>" + "</div>" * deep
         if layout == "table":
+            if r.random() < 0.6:  # a menu or a notice in a cell of its own
+                self.out.append("<table><tr>")
+                for _ in range(r.randint(1, 3)):
+                    self.out.append("<td>")
+                    self._bare(self.words(r.randint(1, 3)))
+                    self.out.append("</td>")
+                return f"<td{r.choice(['', named])}>", "</td></tr></table>"
             return f"<table><tr><td{r.choice(['', named])}>", "</td></tr></table>"
         if layout == "plain":
             return "<div>" * deep, "</div>" * deep
@@ -169,6 +187,7 @@ class Page:
         if wrapped:
             self.out.append(f'<div class="{self.names(["page", "wrapper", "container", "layout"])}">')
         title = self.article()
+        self.told = self.layout in ("semantic", "nested", "wrapped")
         for kind, chance in (("share", 0.2), ("aside", 0.4), ("comments", 0.3), ("form", 0.3), ("notice", 0.15)):
             if r.random() < chance:
                 self.noise(kind)
