@@ -103,3 +103,25 @@ def test_search_results_and_landed_folders(spark, tmp_path):
     dimension = rows(spark, [("x", "Ex", "home"), ("y", "Why", None), ("unused", "U", None)], "folder string, source string, region string")
     landed = feeds.landed_feeds(spark, [f"{tmp_path}/{f}" for f in "xyz"], dimension).collect()
     assert sorted((r.source or "", r.region or "", r.payload) for r in landed) == [("", "", "<item>\nz1.xml</item>"), ("Ex", "home", "<item>\nx1.xml</item>"), ("Ex", "home", "<item>\nx2.xml</item>"), ("Why", "", "<item>\ny1.xml</item>")]
+
+
+def against_sql(spark, tmp_path, query: str, html: list) -> None:
+    """A query over pages gives what its SQL gives in DuckDB."""
+    import duckdb
+
+    from tidewire.plans import scalars
+
+    rows(spark, [(k, f"http://u/{k}", h) for k, h in enumerate(html)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = scalars.QUERIES[query](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(scalars.SQL[query]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 0
+
+
+ODD_TITLES = ["a &amp;&quot;b&quot; and cut &amp", "a &lt;&nbsp;b &amp;amp; c", " two  blanks\n and a line ", ""]
+
+
+def test_page_titles_as_in_sql(spark, tmp_path):
+    og = '<meta property="og:title" content="Other">'
+    against_sql(spark, tmp_path, "page_title", [f"<head>{og}<title>{t}</title></head>" for t in ODD_TITLES] + ['<title lang="en">x</title>', "<TITLE>x</TITLE>", None])

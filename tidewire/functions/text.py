@@ -23,6 +23,11 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
 
 
+def ampersands(text: Column) -> Column:
+    """Only &amp; decoded; other references stay as they stand in the source."""
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T
 
 CONTAINERS = [r"<article\b[^>]*>(.*?)</article>", r"<main\b[^>]*>(.*?)</main>", r"<body\b[^>]*>(.*?)</body>"]
+#: Where a page's title stands, the best place first.
+TITLES = [r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)""", r"(?is)<title[^>]*>(.*?)</title>"]
 
 
-def page_title(html: Column) -> Column:
-    og = F.regexp_extract(html, r"""(?is)<meta[^>]*property=["']og:title["'][^>]*content=["']([^"']*)""", 1)
-    return T.squeeze(T.unescape(F.coalesce(F.nullif(og, F.lit("")), F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")), F.lit(""))))
+def page_title(html: Column, places: list[str] = TITLES, decode: Callable[[Column], Column] = T.unescape) -> Column:
+    """The first of the places that isn't empty, decoded, with single spaces; empty if there is none."""
+    found = F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in places), F.lit(""))
+    return T.squeeze(decode(found))
 
 
 def description(html: Column) -> Column:
