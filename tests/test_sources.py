@@ -125,3 +125,10 @@ ODD_TITLES = ["a &amp;&quot;b&quot; and cut &amp", "a &lt;&nbsp;b &amp;amp; c",
 def test_page_titles_as_in_sql(spark, tmp_path):
     og = '<meta property="og:title" content="Other">'
     against_sql(spark, tmp_path, "page_title", [f"<head>{og}<title>{t}</title></head>" for t in ODD_TITLES] + ['<title lang="en">x</title>', "<TITLE>x</TITLE>", None])
+
+
+def test_page_paragraphs_as_in_sql(spark, tmp_path):
+    """A title's echo goes if it is the title as it stands in the source, with only &amp; decoded."""
+    long = ", and more words of the same long line"
+    echo = [f"<head><!-- <title>no</title> --><title>{t}{long}</title></head><body><p>{t}{long}</p><p>Another line that is long enough to be kept</p></body>" for t in ODD_TITLES]
+    against_sql(spark, tmp_path, "page_paragraphs", echo)

@@ -35,15 +35,15 @@ def published_time(html: Column, now: Column, zone: str = "Asia/Seoul") -> Colum
     return F.when(ts <= now, ts)
 
 
-def paragraphs(pages: DataFrame, least: int = 30, most: int = 40, budget: int = 12_000, boilerplate: str = "", tail: str = "", containers: list[str] = CONTAINERS) -> DataFrame:
+def paragraphs(pages: DataFrame, least: int = 30, most: int = 40, budget: int = 12_000, boilerplate: str = "", tail: str = "", containers: list[str] = CONTAINERS, title: Callable[[Column], Column] = page_title) -> DataFrame:
     """url, container, n_paras, body: the page's (url, html) paragraphs from the container that holds most text.
 
     Scripts, menus, headers, footers and forms go first, and what follows `tail`. Lines under `least` characters, echoes of the title, boilerplate
-    and repeated lines go; the line that crosses the budget is kept, and none after it.
+    and repeated lines go; the line that crosses the budget is kept, and none after it. title: the title of html whose echo goes.
     """
     bare = F.regexp_replace("html", r"(?is)<(script|style|nav|header|footer|aside|form|figure)\b.*?</\1\s*>|<!--.*?-->", " ")
     bare = F.regexp_replace(bare, f"(?is)({tail}).*$", "") if tail else bare
-    of = pages.select("url", page_title(F.col("html")).alias("title"), F.posexplode(F.array(*(F.regexp_extract(bare, f"(?is){c}", 1) for c in containers))).alias("container", "inner"))
+    of = pages.select("url", title(F.col("html")).alias("title"), F.posexplode(F.array(*(F.regexp_extract(bare, f"(?is){c}", 1) for c in containers))).alias("container", "inner"))
     lines = F.split(F.regexp_replace("inner", r"(?i)</?(p|div|br|li|h[1-6]|tr|section)\b[^>]*>", "\n"), "\n")
     each = of.select("url", "title", "container", F.posexplode(F.transform(lines, lambda x: T.squeeze(F.regexp_replace(x, r"<[^>]*>", "")))).alias("pos", "line"))
     kept = each.where((F.length("line") >= least) & (F.col("line") != F.col("title")))
