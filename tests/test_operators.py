@@ -29,6 +29,26 @@ def test_first_leaders_equal_the_greedy_pass(spark):
     assert {x.leader for x in clusters.first_leaders(nodes, links.where("false")).collect()} == set(range(n))
 
 
+def test_blocked_leaders_equal_the_greedy_pass(spark):
+    """Like rows share a word; within a scope they fold as in the plain loop, also where all rows hold one word."""
+    r = random.Random(3)
+    for hot in (False, True):
+        data = [(k, r.randrange(2), r.randrange(9), [f"w{r.randrange(30)}" for _ in range(r.randrange(4))] + ["all"] * hot) for k in range(150)]
+        like = lambda a, b: len(set(a[3]) & set(b[3])) >= 1 + hot
+        want, kept = {}, []
+        for row in sorted(data, key=lambda x: (x[2], x[0])):
+            hits = [q for q in kept if q[1] == row[1] and like(row, q)]
+            want[row[0]] = hits[0][0] if hits else row[0]
+            if not hits:
+                kept.append(row)
+        df = spark.createDataFrame(data, "id long, part int, c int, words array<string>").select("id", "part", F.struct("c", "id").alias("rank"), "words")
+        rule = lambda a, b: F.size(F.array_intersect(a["words"], b["words"])) >= 1 + hot  # noqa: E731, B023
+        assert {x.id: x.leader for x in clusters.blocked_leaders(df, ["words"], rule, ("part",)).collect()} == want
+    many = spark.range(30_000).select("id", F.struct("id").alias("rank"), F.array(F.lit("w")).alias("words"))
+    got = clusters.blocked_leaders(many, ["words"], lambda a, b: F.lit(True))
+    assert [tuple(x) for x in got.groupBy("leader").count().collect()] == [(0, 30_000)]
+
+
 def test_survivors_follow_chains_and_leave_out_circles(spark):
     rows = [(1, 2), (2, 3), (3, 4), (10, 11), (20, 21), (21, 20), (22, 20)]
     got = {(r.loser, r.survivor) for r in clusters.survivors(spark.createDataFrame(rows, "loser long, winner long")).collect()}

@@ -207,10 +207,10 @@ def unused_articles(spark, sf_dir):
 def fold_by_event(spark, sf_dir):
     """Leaders of greedy folding by coverage: order-dependent, so without SQL; tests hold it against the plain loop."""
     rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ents", "action", "coverage")
-    blocks = pairs.story_blocks(rows, S.GENERIC, "doc_id")
-    edges = pairs.blocked_pairs(blocks, blocks, ["ents", "telling", "rare"], "doc_id", same=True).where(pairs.same_story(F.col("a"), F.col("b"), S.GENERIC)).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
-    rank = F.struct((-F.col("coverage")).alias("c"), F.col("doc_id").alias("d"))
-    found = clusters.first_leaders(rows.select(F.col("doc_id").alias("id"), rank.alias("rank")), edges)
+    blocks = pairs.story_blocks(rows, S.GENERIC, "doc_id").withColumns({"id": F.col("doc_id"), "rank": F.struct((-F.col("coverage")).alias("c"), F.col("doc_id").alias("d"))})
+    # The rule isn't symmetric: of a pair, the row with the smaller id comes first.
+    same = lambda a, b: F.when(a["doc_id"] < b["doc_id"], pairs.same_story(a, b, S.GENERIC)).otherwise(pairs.same_story(b, a, S.GENERIC))
+    found = clusters.blocked_leaders(blocks, ["ents", "telling", "rare"], same)
     return found.select(F.col("id").alias("doc_id"), "leader")
 
 
