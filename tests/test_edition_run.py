@@ -198,3 +198,12 @@ def test_words_repeated_in_the_days_before(spark):
         if sum(until - 3 * E.DAY < at <= until for at, words in rows if "storm" in words) >= 3:
             expected.add((e, "storm"))
     assert got == expected and expected
+
+
+def test_many_copies_in_one_window_fold_without_a_table_of_pairs(spark):
+    n = 15_000
+    rows = spark.range(n).select(F.col("id").cast("string").alias("key"), F.lit(1).alias("edition"), F.lit(True).alias("inside"), F.lit(1).alias("coverage"), F.col("id").cast("int").alias("score"), F.lit("").alias("cluster"), F.array(F.lit("harbour"), F.lit("strike")).alias("tokens"), F.array().cast("array<string>").alias("ents"), F.lit("deal").alias("action"))
+    got = E.grouped(rows, ["edition"], lambda a, b: pairs.same_story(a, b, []), [], 1)
+    best = got.where(F.col("key") == str(n - 1)).select("id").first().id
+    counted = got.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.count_if("alone").alias("alone"), F.count_if("alone_in_slot").alias("slot")).collect()
+    assert [tuple(x) for x in counted] == [(best, n, 1, 1)]

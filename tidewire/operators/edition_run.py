@@ -71,29 +71,21 @@ def grouped(rows: DataFrame, by: list[str], rule: Callable[[Column, Column], Col
 
     Groups are folded in two steps: of each cluster the row that covers most, by score and key; then, in that order, a row joins the first leader
     whose story it tells by rule(row, leader). Rows without a cluster are clusters of their own. The refills fold all rows, not only
-    those of the first step. Like rows are found once, by pairs.story_blocks(), and all folds run as one clusters.first_leaders().
+    those of the first step. Like rows share a block of pairs.story_blocks(), and all folds run as one clusters.blocked_leaders().
     """
     rank = F.struct((-F.col("coverage")).alias("c"), (-F.col("score")).alias("s"), F.col("key").alias("k"))
     named = clusters.staged(rows.withColumns({"id": _name(by), "rank": rank}))
     known = [c for c in by if c != "edition"]
     light = pairs.story_blocks(named.select("id", "rank", *known, "edition", "tokens", "ents", "action"), generic, "id")
-    later = F.struct("a.rank.c", "a.rank.s", "a.rank.k") > F.struct("b.rank.c", "b.rank.s", "b.rank.k")
-    like = pairs.blocked_pairs(light, light, ["ents", "telling", "rare"], "id", later, equal=(*known, "edition"))
-    edges = like.where(rule(F.col("a"), F.col("b"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
-    # Which folds a row takes part in; a fold's nodes and edges carry its name.
+    # Which folds a row takes part in; only rows of one fold, audience and edition fold into each other.
     solo = F.when(F.coalesce(F.col("cluster").cast("string"), F.lit("")) == "", F.concat(F.lit("_solo:"), "key")).otherwise(F.concat(F.lit("_"), F.col("cluster").cast("string")))
     first = F.row_number().over(Window.partitionBy(*known, "edition", "inside", solo).orderBy("rank")) == 1
     folds = {"leader": F.col("inside") & first, "window": F.col("inside")} | ({"slot": F.lit(True)} if fill_days else {})
     part = F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in folds.items())))
-    nodes = clusters.staged(named.select("id", "rank", part.alias("folds")))
-    mark = lambda c: F.concat_ws("\u0002", "fold", c)
-    each = nodes.select("id", "rank", F.explode("folds").alias("fold"))
-    ends = nodes.select("id", "folds")
-    inner = edges.join(ends.withColumnsRenamed({"id": "a", "folds": "fa"}), "a").join(ends.withColumnsRenamed({"id": "b", "folds": "fb"}), "b")
-    inner = inner.select("a", "b", F.explode(F.array_intersect("fa", "fb")).alias("fold")).select(mark("a").alias("a"), mark("b").alias("b"))
-    led = clusters.first_leaders(each.select(mark("id").alias("id"), "rank"), inner).select(F.split("id", "\u0002", 2).alias("x"), F.split("leader", "\u0002", 2)[1].alias("l"))
-    led = led.select(F.col("x")[0].alias("fold"), F.col("x")[1].alias("id"), "l")
+    each = light.join(named.select("id", part.alias("folds")), "id").withColumn("fold", F.explode("folds")).drop("folds")
+    each = each.withColumn("id", F.struct("fold", "id"))
+    led = clusters.blocked_leaders(each, ["ents", "telling", "rare"], rule, ("fold", *known, "edition")).select("id.fold", "id.id", F.col("leader.id").alias("l"))
     of = lambda f: F.max(F.when(F.col("fold") == f, F.col("l")))
     flat = led.groupBy("id").agg(of("leader").alias("leader"), F.coalesce(of("window") == F.col("id"), F.lit(False)).alias("alone"), F.coalesce(of("slot") == F.col("id"), F.lit(False)).alias("alone_in_slot"))
     none = F.lit(False)
