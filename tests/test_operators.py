@@ -59,6 +59,22 @@ def test_jaccard_pairs_of_classes_become_pairs_of_rows(spark):
     assert sorted(map(tuple, got)) == want and len(want) > 1000
 
 
+def test_pairs_from_counts_of_words_equal_the_rules(spark):
+    """Rows that carry no words through the join give the pairs and the overlaps of their sets."""
+    r = random.Random(5)
+    words = ["acme", "bank", "acorn", "deal", "plan", "ab", "9", "court", "fraud", "the"]
+    data = [(k, r.sample(words, r.randrange(6)), r.sample(["acme", "Acorn", "Bo"], r.choice((0, 0, 1, 2))), r.choice(("x", "y")), r.randrange(4)) for k in range(90)]
+    df = spark.createDataFrame(data, "key long, tokens array<string>, ents array<string>, action string, bucket long").withColumn("ts", F.timestamp_seconds(F.col("bucket") * 86400)).withColumn("free", F.lit(True))
+    every = df.select(F.struct("*").alias("a")).crossJoin(df.select(F.struct("*").alias("b"))).where("a.key < b.key AND size(array_intersect(a.tokens, b.tokens)) > 0")
+    want = {(x.a.key, x.b.key) for x in every.where(pairs.same_event(F.col("a"), F.col("b"), ["the", "plan"])).collect()}
+    got = [(x.a.key, x.b.key) for x in pairs.event_pairs(df, ["the", "plan"], F.col("a.key") < F.col("b.key")).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    rows = {k: (set(w), b) for k, w, _, _, b in data}
+    part = lambda a, b: len(rows[a][0] & rows[b][0]) / min(len(rows[a][0]), len(rows[b][0])) if rows[a][0] and rows[b][0] else 0.0
+    best = {a: min(((-part(a, b), b) for b in rows if b != a and abs(rows[a][1] - rows[b][1]) <= 2 and part(a, b) >= 0.45), default=None) for a in rows}
+    assert {x.key: x.alt for x in pairs.alternatives(df, df).collect()} == {a: b[1] for a, b in best.items() if b}
+
+
 def test_survivors_follow_chains_and_leave_out_circles(spark):
     rows = [(1, 2), (2, 3), (3, 4), (10, 11), (20, 21), (21, 20), (22, 20)]
     got = {(r.loser, r.survivor) for r in clusters.survivors(spark.createDataFrame(rows, "loser long, winner long")).collect()}

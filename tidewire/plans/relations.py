@@ -125,7 +125,7 @@ _TELL = f"len(list_filter(list_intersect(a.telling, b.telling), lambda x: {_NAME
  SELECT a_id, b_id FROM p WHERE j >= 0.62 OR (tell >= 2 AND j >= 0.25) OR (shared AND (j >= 0.25 OR tell >= 1))""")
 def same_event_pairs(spark, sf_dir):
     rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ents", "action", "bucket")
-    hit = pairs.blocked_pairs(rows, rows, ["tokens"], "doc_id", same=True, equal=("action",), next_to="bucket").where(pairs.same_event(F.col("a"), F.col("b"), S.GENERIC))
+    hit = pairs.event_pairs(rows, S.GENERIC, F.col("a.doc_id") < F.col("b.doc_id"), "doc_id")
     return hit.select(F.col("a.doc_id").alias("a_id"), F.col("b.doc_id").alias("b_id"))
 
 
