@@ -133,7 +133,7 @@ def same_event_pairs(spark, sf_dir):
  SELECT loser, winner FROM (SELECT *, row_number() OVER (PARTITION BY loser ORDER BY c DESC, winner) AS rn FROM p WHERE j >= 0.62 OR (tell >= 2 AND j >= 0.25) OR (shared AND (j >= 0.25 OR tell >= 1))) WHERE rn = 1""")
 def dominated_pairs(spark, sf_dir):
     rows = S.described(spark, sf_dir).select("doc_id", "tokens", "ents", "action", "bucket", "coverage", "ts")
-    return pairs.dominated(rows, lambda a, b: pairs.same_event(a, b, S.GENERIC), ["tokens"], 36, "doc_id", ("action",), "bucket")
+    return pairs.dominated(rows, S.GENERIC, 36, "doc_id")
 
 
 @query(f"""WITH {S.DESCRIBED}, b AS (SELECT list_filter(list_distinct(list_filter(string_split({S.NORM}, ' '), lambda x: length(x) > 1)), lambda x: NOT list_contains({S._list(S.STOP)}, x)) AS tokens FROM (SELECT split_part(split_part(text, chr(10), 1), '. ', 1) AS title FROM benchmark)),
