@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.data import DOCS, odd_documents
@@ -66,3 +68,49 @@ def test_scores_are_exact_beyond_64_bits(spark):
     big = spark.createDataFrame([(3_000_000_001, 3_000_000_019, 3_000_000_037), (10**12, 10**12, 10**12 + 1)], "a long, l long, r long")
     got = [x[0] for x in big.select(phrases._score("a", "l", "r")).collect()]
     assert sorted(got) == sorted([1000000 * 3_000_000_001**2 // (3_000_000_019 * 3_000_000_037), 1000000 * 10**24 // (10**12 * (10**12 + 1))])
+
+
+def test_texts_are_held_over_batches():
+    """Small batches don't give small flushes: all texts of a language below FLUSH are one, and very many languages are handed over in time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de", "en"]), pa.array(["A b.", None, "c\td"])], names=["lang", "text"])
+    assert list(phrases._flushes([batch] * 3)) == [("en", b"\n".join([b"a b\n", b"c d"] * 3))]
+    many = [pa.RecordBatch.from_arrays([pa.array([f"l{k}"]), pa.array(["a b " * (phrases.FLUSH // 8)])], names=["lang", "text"]) for k in range(20)]
+    found = [lang for lang, _ in phrases._flushes(iter(many[:8]))]
+    assert sorted(found) == sorted(f"l{k}" for k in range(8))
+    seen = iter(many)
+    next(phrases._flushes(seen))
+    assert len(list(seen)) == 12  # 8 halves of FLUSH were held, not all 20
+
+
+@pytest.mark.parametrize("entries,chunk", [(1 << 21, 1 << 20), (1 << 21, 7), (40, 7), (3, 1)])
+@pytest.mark.parametrize("rows_a_batch", [1, 4, 1000])
+def test_merged_stripes_hold_all_occurrences(monkeypatch, entries, chunk, rows_a_batch):
+    """Prefix sums of the merged rows are the counts, wherever batches and chunks cut a stripe."""
+    monkeypatch.setattr(phrases, "ENTRIES", entries)
+    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    r = random.Random(chunk)
+    docs = [(lang, t) for t in texts(r, 40) for lang in ("en", "de")]
+    blocks = {b"the": 3, b"of": 2}
+    parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs[k : k + 20])], names=["lang", "text"]) for k in range(0, len(docs), 20)]
+    held = pa.Table.from_batches([b for p in parts for b in phrases._stripes(blocks)([p])])
+    held = held.sort_by([(k, "ascending") for k in ("lang", "w1", "block")]).combine_chunks()
+    found = Counter()
+    for batch in phrases._merged(blocks, 3)(held.to_batches(max_chunksize=rows_a_batch)):
+        for lang, w1, w2, w3, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for key in {(lang, w1), (lang, w1, w2), (lang, w1, w2, w3)}:
+                found[key] += n if None not in key else 0
+    expected = Counter()
+    for lang, text in docs:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", text.translate(LOWER)):
+            ws = re.findall("[^ \t]+", piece)
+            expected.update((lang, *ws[i : i + k]) for k in (1, 2, 3) for i in range(len(ws) - k + 1))
+    frequent = {k: n for k, n in expected.items() if n >= 3 or len(k) == 2}
+    assert {k: found[k] for k in frequent} == frequent
+
+
+def test_triples_of_very_many_words():
+    """Counts agree where three numbers fill more than 63 bits."""
+    one, two, three = (np.array(x) for x in ([5, 5, 9, 5], [1, 1, 0, 1], [7, 7, 0, 2]))
+    for n in (10, 1 << 22):
+        assert [x.tolist() for x in phrases._triples(one, two, three, n)] == [[5, 5, 9], [1, 1, 0], [2, 7, 0], [1, 2, 1]]
+    assert [len(x) for x in phrases._triples(one[:0], two[:0], three[:0], 2)] == [0] * 4

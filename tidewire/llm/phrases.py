@@ -19,6 +19,8 @@ FLUSH = 1 << 22
 HEAVY, LONGEST_HEAVY = 1 << 13, 256
 #: Entries that a stripe holds in a worker at most before they are passed on as they are.
 ENTRIES = 1 << 21
+#: Entries that a worker merges at a time, at least.
+CHUNK = 1 << 20
 #: Tasks into which the ranking of one language is dealt first.
 SALTS = 64
 
@@ -38,10 +40,13 @@ FOLDED = _folding()
 
 
 def _flushes(batches):
-    """(lang, folded bytes of whole pieces), about FLUSH bytes at a time; texts are parted by a line feed, and longer ones cut only at one."""
+    """(lang, folded bytes of whole pieces), about FLUSH bytes at a time; texts are parted by a line feed, and longer ones cut only at one.
+
+    A language's texts are held over batches; of very many languages, all are handed over once they hold 4 x FLUSH bytes together.
+    """
+    held: dict[str, list[bytes]] = {}
+    sizes: Counter = Counter()
     for batch in batches:
-        held: dict[str, list[bytes]] = {}
-        sizes: Counter = Counter()
         for k in range(batch.num_rows):
             lang, raw = batch.column(0)[k].as_py(), (batch.column(1)[k].as_py() or "").encode().translate(FOLDED)
             at = 0
@@ -54,34 +59,26 @@ def _flushes(batches):
                 if sizes[lang] >= FLUSH:
                     yield lang, b"\n".join(held.pop(lang))
                     sizes.pop(lang)
-        for lang, parts in held.items():
-            yield lang, b"\n".join(parts)
-
-
-class _Codes(dict):
-    """Numbers words in order of first sight. The end of a piece is 0, the empty string 1."""
+        if sizes.total() >= 4 * FLUSH:
+            for lang in list(held):
+                yield lang, b"\n".join(held.pop(lang))
+            sizes.clear()
+    for lang, parts in held.items():
+        yield lang, b"\n".join(parts)
 
-    def __init__(self):
-        super().__init__({b"\n": 0, b"": 1})
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-def _coded(text: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """The numbers of a text's words, a 0 at the end of each piece, and the words by number."""
-    codes = _Codes()
-    tokens = text.replace(b"\n", b" \n ").split(b" ")
-    found = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
-    return found[found != 1], list(codes)
+def _coded(text: bytes) -> tuple[np.ndarray, pa.Array]:
+    """The numbers of a text's words, a 0 at the end of each piece, and the words by number: 0 is the end of a piece, 1 the empty string."""
+    tokens = pc.split_pattern(pa.array([b"\n  " + text.replace(b"\n", b" \n ")], pa.large_binary()), b" ").flatten().dictionary_encode()
+    found = tokens.indices.to_numpy().astype(np.int64)
+    return found[found != 1][1:], tokens.dictionary.cast(pa.binary())
 
 
 def _word_counts(batches):
     for _, text in _flushes(batches):
         found, words = _coded(text)
         times = np.bincount(found, minlength=len(words))[2:]
-        yield pa.RecordBatch.from_arrays([pa.array(words[2:], pa.binary()), pa.array(times)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([words[2:], pa.array(times)], names=["word", "n"])
 
 
 def _joined(words: pa.Array, two: np.ndarray, three: np.ndarray, own: np.ndarray, stripes: int) -> pa.Array:
@@ -91,19 +88,30 @@ def _joined(words: pa.Array, two: np.ndarray, three: np.ndarray, own: np.ndarray
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), keys), pa.scalar(b"\n", pa.binary()))
 
 
+def _triples(one: np.ndarray, two: np.ndarray, three: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct triples of numbers below n, in order, and how often each comes."""
+    pairs, pair = None, one * n + two
+    if n > 1 << 21:  # three numbers fill more than 63 bits
+        pairs, pair = np.unique(pair, return_inverse=True)
+    keys = np.sort(pair * n + three)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    times = np.diff(np.r_[starts, len(keys)])
+    pair, three = np.divmod(keys[starts], n)
+    one, two = np.divmod(pair if pairs is None else pairs[pair], n)
+    return one, two, three, times
+
+
 def _stripes(blocks: dict[bytes, int]):
     """For mapInArrow over (lang, text): lang, w1, block, once, more, times. A stripe has the two words after w1 of every occurrence."""
 
     def run(batches):
         for lang, text in _flushes(batches):
-            c, words = _coded(text)
+            c, found = _coded(text)
+            words = found.to_pylist()
             c = np.r_[c, 0, 0]
             one, two, three = c[:-2], c[1:-1], np.where(c[1:-1] == 0, 0, c[2:])
             at, n = one > 0, len(words)
-            pairs, pair = np.unique(one[at] * n + two[at], return_inverse=True)
-            triples, times = np.unique(pair * n + three[at], return_counts=True)
-            pair, three = triples // n, triples % n
-            one, two = pairs[pair] // n, pairs[pair] % n
+            one, two, three, times = _triples(one[at], two[at], three[at], n)
 
             split = np.fromiter((blocks.get(w, 1) for w in words), np.int64, n)
             sums = np.fromiter(map(zlib.crc32, words), np.int64, n)
@@ -133,73 +141,129 @@ def _stripes(blocks: dict[bytes, int]):
     return run
 
 
+def _entries(batch: pa.RecordBatch, own: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The entries of a batch of stripes: of which stripe (own: of each row), their two words, how often."""
+    found = []
+    for name in ("once", "more"):
+        at = pc.greater(pc.binary_length(batch.column(name)), 0)
+        lists = pc.split_pattern(batch.column(name).filter(at), b"\n")
+        entries = lists.flatten()
+        times = np.ones(len(entries), np.int64) if name == "once" else np.frombuffer(b"".join(batch.column("times").to_pylist()), np.uint32).astype(np.int64)
+        found.append((own[at.to_numpy(zero_copy_only=False)][pc.list_parent_indices(lists).to_numpy()], entries, times))
+    own, entries, times = zip(*found)
+    return np.concatenate(own), pa.concat_arrays(entries), np.concatenate(times)
+
+
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of times of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    return keys[starts], np.add.reduceat(times[order], starts) if len(starts) else times[:0]
+
+
 def _merged(blocks: dict[bytes, int], least: int):
     """For mapInArrow over stripes in order of lang, w1, block: lang, w1, w2, w3, n, the merged stripes' entries of at least `least`.
 
     What is rarer is summed: triples into a row of their pair (w3 null), pairs into one of their first word (w2 null too), where also the
     ends of pieces count. A pair of heavy words lies in several blocks and isn't summed away; a stripe of more than ENTRIES entries
-    passes them all on.
+    passes them all on. Many stripes are merged at a time, as columns of at least CHUNK entries.
     """
 
     def run(batches):
-        out: list[tuple] = []
-        key, counts, passed = None, Counter(), False
-
-        def hand_over(everything: bool):
-            lang, w1, _ = key
-            partial = blocks.get(w1, 1) > 1
-            if not everything and not partial and counts.total() < least:
-                out.append((lang, w1, None, None, counts.total()))
+        names: list[tuple[str, bytes]] = []  # lang and first word of the stripes held, by number; the last one is open
+        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        last, passed, size, limit = None, False, 0, CHUNK
+
+        def rows(own, w2, w3, times):
+            lang, w1 = (pa.array([names[k][i] for k in own.tolist()], kind) for i, kind in enumerate((pa.string(), pa.binary())))
+            return pa.RecordBatch.from_arrays([lang, *(w.cast(pa.string()) for w in (w1, w2, w3)), pa.array(times, pa.int64())], names=["lang", "w1", "w2", "w3", "n"])
+
+        def merged(own, entries, times):
+            codes = entries.dictionary_encode()
+            n = max(len(codes.dictionary), 1)
+            keys, times = _summed(own * n + codes.indices.to_numpy(), times)
+            own, code = np.divmod(keys, n)
+            return own, codes.dictionary, code, times
+
+        def hand_over(own, entries, times, everything: np.ndarray):
+            """The rows of stripes; everything: whether a stripe passes on all its entries."""
+            if not len(own):
                 return
-            totals, kept, rest = Counter(), [], 0
-            for k, n in counts.items():
-                w2, _, w3 = k.partition(b" ")
-                totals[w2] += n
-                if n >= least or everything:
-                    kept.append((w2, w3, n))
-            stay = {w for w, n in totals.items() if w and (n >= least or everything or (partial and blocks.get(w, 1) > 1))}
-            for w2, w3, n in kept:
-                if w2 in stay and w3:
-                    out.append((lang, w1, w2, w3, n))
-                    totals[w2] -= n
-            for w2, n in totals.items():
-                if w2 not in stay:
-                    rest += n
-                elif n:
-                    out.append((lang, w1, w2, None, n))
-            if rest:
-                out.append((lang, w1, None, None, rest))
-
-        def rows():
-            columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            out.clear()
-            return pa.RecordBatch.from_arrays([arrays[0], *(a.cast(pa.string()) for a in arrays[1:4]), arrays[4]], names=["lang", "w1", "w2", "w3", "n"])
+            partial = np.fromiter((blocks.get(w, 1) > 1 for _, w in names), bool, len(names))
+            total = np.bincount(own, times, len(names)).astype(np.int64)
+            large = everything | partial | (total >= least)
+            null = lambda k: pa.nulls(k, pa.binary())
+            if len(few := np.flatnonzero(~large & (total > 0))):
+                yield rows(few, null(len(few)), null(len(few)), total[few])
+            at = large[own]
+            if not at.any():
+                return
+            own, entries, code, times = merged(own[at], entries.filter(pa.array(at)), times[at])
+            parts = pc.split_pattern(entries, b" ").flatten()
+            second, third = parts.take(pa.array(np.arange(0, len(parts), 2))).dictionary_encode(), parts.take(pa.array(np.arange(1, len(parts), 2)))
+            words, n = second.dictionary, len(second.dictionary)
+            ends, hot = pc.equal(words, b"").to_numpy(zero_copy_only=False), np.fromiter((blocks.get(w, 1) > 1 for w in words.to_pylist()), bool, n)
+            pair = own * n + second.indices.to_numpy()[code]
+            pairs, sums = _summed(pair, times)
+            pair, (first, w2) = np.searchsorted(pairs, pair), np.divmod(pairs, n)
+            stay = ~ends[w2] & ((sums >= least) | everything[first] | (partial[first] & hot[w2]))
+            kept = np.flatnonzero(((times >= least) | everything[own]) & stay[pair])
+            kept = kept[pc.greater(pc.binary_length(third.take(pa.array(code[kept]))), 0).to_numpy(zero_copy_only=False)]
+            yield rows(own[kept], words.take(pa.array(w2[pair[kept]])), third.take(pa.array(code[kept])), times[kept])
+            sums -= np.bincount(pair[kept], times[kept], len(pairs)).astype(np.int64)
+            left = np.flatnonzero(stay & (sums > 0))
+            yield rows(first[left], words.take(pa.array(w2[left])), null(len(left)), sums[left])
+            rest = np.bincount(first[~stay], sums[~stay], len(names)).astype(np.int64)
+            left = np.flatnonzero(rest)
+            yield rows(left, null(len(left)), null(len(left)), rest[left])
 
         for batch in batches:
-            for lang, w1, block, once, more, times in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, w1, block) != key:
-                    if key is not None:
-                        hand_over(passed)
-                    key, counts, passed = (lang, w1, block), Counter(), False
-                if once:
-                    counts.update(once.split(b"\n"))
-                if more:
-                    for k, n in zip(more.split(b"\n"), np.frombuffer(times, np.uint32).tolist()):
-                        counts[k] += n
-                if len(counts) > ENTRIES:
-                    hand_over(True)
-                    counts, passed = Counter(), True
-            if len(out) >= 1 << 15:
-                yield rows()
-        if key is not None:
-            hand_over(passed)
-        yield rows()
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k) for k in ("lang", "w1", "block")]
+            new = np.any([pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in keys], axis=0) if batch.num_rows > 1 else np.zeros(0, bool)
+            start = np.r_[tuple(c[0].as_py() for c in keys) != last, new]
+            last = tuple(c[-1].as_py() for c in keys)
+            if start.any() and passed:  # what was held is the end of a stripe that passes on everything
+                own = np.cumsum(start) > 0
+                cut = int(np.argmax(own)) if own.any() else batch.num_rows
+                held.append(_entries(batch.slice(0, cut), np.full(cut, len(names) - 1)))
+                yield from hand_over(*map(_together, zip(*held)), np.ones(len(names), bool))
+                names, held, passed, size, limit = [], [], False, 0, CHUNK
+                batch, start = batch.slice(cut), start[cut:]
+                keys = [c[cut:] for c in keys]
+            own = len(names) - 1 + np.cumsum(start)
+            at = pa.array(np.flatnonzero(start))
+            names += zip(keys[0].take(at).to_pylist(), keys[1].take(at).to_pylist())
+            held.append(_entries(batch, own))
+            size += len(held[-1][0])
+            if size < limit:
+                continue
+            own, entries, times = map(_together, zip(*held))
+            open_ = own == len(names) - 1
+            if not passed:
+                whole = ~open_
+                yield from hand_over(own[whole], entries.filter(pa.array(whole)), times[whole], np.zeros(len(names), bool))
+            names = names[-1:]
+            own, entries, code, times = merged(np.zeros(int(open_.sum()), np.int64), entries.filter(pa.array(open_)), times[open_])
+            entries = entries.take(pa.array(code))
+            held, size = [(own, entries, times)], len(own)
+            if size > ENTRIES:
+                passed = True
+                yield from hand_over(own, entries, times, np.ones(1, bool))
+                held, size = [], 0
+            limit = max(CHUNK, 2 * size)
+        if held:
+            yield from hand_over(*map(_together, zip(*held)), np.full(len(names), passed))
 
     return run
 
 
+def _together(parts):
+    return np.concatenate(parts) if isinstance(parts[0], np.ndarray) else pa.concat_arrays(parts)
+
+
 def stripes(docs: DataFrame, least: int) -> DataFrame:
     """lang, w1, w2, w3, n: the merged stripes of docs (lang, text), from which all else is read.
 
