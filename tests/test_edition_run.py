@@ -1,5 +1,6 @@
 """The edition job against a plain loop over days: folding, gates, swaps, quotas, refills, earlier days."""
 
+import os
 import random
 from collections import Counter
 
@@ -207,3 +208,31 @@ def test_many_copies_in_one_window_fold_without_a_table_of_pairs(spark):
     best = got.where(F.col("key") == str(n - 1)).select("id").first().id
     counted = got.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.count_if("alone").alias("alone"), F.count_if("alone_in_slot").alias("slot")).collect()
     assert [tuple(x) for x in counted] == [(best, n, 1, 1)]
+
+
+def test_folds_leave_nothing_staged_but_their_result(spark):
+    """Rounds carry numbers and are deleted; texts aren't staged with the candidates."""
+    from tidewire.operators import clusters
+    from tidewire.plans import curation
+
+    folder = clusters.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    rows = [(f"k{n:03}", 1, True, n % 9, n % 50, "", [f"w{n % 40}", f"v{n % 7}"], [], "deal") for n in range(200)]
+    rows = spark.createDataFrame(rows, "key string, edition int, inside boolean, coverage int, score int, cluster string, tokens array<string>, ents array<string>, action string")
+    got = E.grouped(rows, ["edition"], lambda a, b: pairs.same_story(a, b, []), [], 1)
+    kept = set(os.listdir(folder)) - before
+    assert len(kept) == 1 and got.count() == 200
+    assert not {"body", "title"} & set(curation._candidates(spark, "/root/testdata/sf0.001").columns)
+
+
+def test_known_stories_meet_by_what_they_share(spark):
+    r = random.Random(9)
+    rows = [(k, r.randrange(3), r.sample(WORDS, r.randint(1, 4)), r.sample(["Acme", "Bank", "Quay"], r.randrange(3)), r.choice("ab"), r.random() < 0.4) for k in range(120)]
+    df = spark.createDataFrame(rows, "key long, edition int, tokens array<string>, ents array<string>, action string, known boolean")
+    blocks = pairs.story_blocks(df, GENERIC)
+    rule = lambda a, b: pairs.same_story(a, b, GENERIC, strict=True)
+    known = blocks.where("known").withColumn("edition", F.col("edition") + 1)
+    got = [x.key for x in pairs.like_known(blocks, known, rule, ["ents", "telling", "rare"], ["tokens", "ents", "action"], equal=("edition",)).collect()]
+    every = df.select(F.struct("*").alias("a")).crossJoin(df.where("known").select(F.struct("*").alias("b"))).where("a.edition = b.edition + 1")
+    want = {x.key for x in every.where(rule(F.col("a"), F.col("b"))).select("a.key").collect()}
+    assert set(got) == want and len(got) == len(want) > 10

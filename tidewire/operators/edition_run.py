@@ -70,11 +70,12 @@ def grouped(rows: DataFrame, by: list[str], rule: Callable[[Column, Column], Col
     """rows of slotted() with id, leader (of the window's groups), alone and alone_in_slot (leads a group of all rows of the window, the slot).
 
     Groups are folded in two steps: of each cluster the row that covers most, by score and key; then, in that order, a row joins the first leader
-    whose story it tells by rule(row, leader). Rows without a cluster are clusters of their own. The refills fold all rows, not only
+    whose story it tells by rule(row, leader), which reads tokens, ents and action. Rows without a cluster are clusters of their own. The refills fold all rows, not only
     those of the first step. Like rows share a block of pairs.story_blocks(), and all folds run as one clusters.blocked_leaders().
     """
     rank = F.struct((-F.col("coverage")).alias("c"), (-F.col("score")).alias("s"), F.col("key").alias("k"))
     named = clusters.staged(rows.withColumns({"id": _name(by), "rank": rank}))
+    clusters.release(rows.sparkSession)
     known = [c for c in by if c != "edition"]
     light = pairs.story_blocks(named.select("id", "rank", *known, "edition", "tokens", "ents", "action"), generic, "id")
 
@@ -85,11 +86,15 @@ def grouped(rows: DataFrame, by: list[str], rule: Callable[[Column, Column], Col
     part = F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in folds.items())))
     each = light.join(named.select("id", part.alias("folds")), "id").withColumn("fold", F.explode("folds")).drop("folds")
     each = each.withColumn("id", F.struct("fold", "id"))
-    led = clusters.blocked_leaders(each, ["ents", "telling", "rare"], rule, ("fold", *known, "edition")).select("id.fold", "id.id", F.col("leader.id").alias("l"))
+    leaders = clusters.blocked_leaders(each, ["ents", "telling", "rare"], rule, ("fold", *known, "edition"), ["tokens", "ents", "action"])
+    led = leaders.select("id.fold", "id.id", F.col("leader.id").alias("l"))
     of = lambda f: F.max(F.when(F.col("fold") == f, F.col("l")))
     flat = led.groupBy("id").agg(of("leader").alias("leader"), F.coalesce(of("window") == F.col("id"), F.lit(False)).alias("alone"), F.coalesce(of("slot") == F.col("id"), F.lit(False)).alias("alone_in_slot"))
     none = F.lit(False)
-    return named.drop("rank").join(flat, "id", "left").withColumns({"alone": F.coalesce("alone", none), "alone_in_slot": F.coalesce("alone_in_slot", none)})
+    groups = clusters.staged(named.drop("rank").join(flat, "id", "left").withColumns({"alone": F.coalesce("alone", none), "alone_in_slot": F.coalesce("alone_in_slot", none)}))
+    clusters.drop_staged(named, leaders)
+    clusters.release(rows.sparkSession)
+    return groups
 
 
 def offers(groups: DataFrame, by: list[str], policy: Policy) -> DataFrame:

@@ -39,24 +39,27 @@ def _candidates(spark, sf_dir: str) -> DataFrame:
     rows = edition_run.slotted(S.described(spark, sf_dir))
     title, ents = F.col("title"), F.array_join("ents", ",")
     labels = S.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("__q")).distinct()
-    rows = rows.join(labels, "doc_id", "left")
     benchmark = S.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), T.tokens(F.split(F.split("text", "\n")[0], r"\. ")[0], S.STOP).alias("tokens"))
-    shared = pairs.shared_titles(rows.select("key", "tokens"), benchmark).withColumn("__shared", F.lit(True))
-    blocks = pairs.story_blocks(rows.select("key", "edition", "tokens", "ents", "action", "__q"), S.GENERIC)
-    before = blocks.where("__q = 0").withColumn("edition", F.col("edition") + 1)
-    told = pairs.blocked_pairs(blocks, before, ["ents", "telling", "rare"], equal=("edition",))
-    told = told.where(pairs.same_story(F.col("a"), F.col("b"), S.GENERIC, strict=True)).select("a.key").distinct().withColumn("__told", F.lit(True))
-    no = F.lit(False)
-    rows = rows.join(shared, "key", "left").join(told, "key", "left")
     tier = R.tier(title, F.lit(None).cast("string"), ents, F.lit(None).cast("string"), S.RULES, "trade", [], [])
     fit = R.score(title, F.lit(""), None, S.RULES)
     rows = rows.withColumns({
         "cluster": clusters.fingerprint(F.col("ents"), F.col("tokens"), F.col("action"), F.col("bucket")), "fit": fit.cast("int"), "score": (fit + R.risk_bonus(title, S.RULES)).cast("int"), "bonus": R.tier_bonus(tier),
         "category": R.primary_category(title, S.RULES), "head": F.coalesce(F.try_element_at("ents", F.lit(1)), F.lit("_")), "pr": R.is_promotion(title, S.RULES), "technical": R.is_technical(title, S.RULES),
-        "shared": F.coalesce("__shared", no), "published": F.coalesce("__told", no), "readable": F.length("body") >= 200, "fresh": F.col("material"), "fact": R.is_material(title, None, S.RULES, strict=True),
+        "readable": F.length("body") >= 200, "fresh": F.col("material"), "fact": R.is_material(title, None, S.RULES, strict=True),
         "themes": R.themes(title, ents, S.RULES), "issues": R.hits(F.concat_ws(" ", title, ents), S.ISSUES), "articles": F.array(F.sha2("body", 256)),
         "origin": F.when(F.length("body") % 11 != 0, F.unix_timestamp("ts") - F.length("body") % 30 * 3600),
     })
+    # Texts are read once, and nothing from here on carries them.
+    rows = clusters.staged(rows.drop("body", "title", "source", "lang", "material", "bucket").join(labels, "doc_id", "left").drop("doc_id"))
+    shared = clusters.staged(pairs.shared_titles(rows.select("key", "tokens"), benchmark).withColumn("__shared", F.lit(True)))
+    clusters.release(spark)
+    facts = ["tokens", "ents", "action"]
+    blocks = clusters.staged(pairs.story_blocks(rows.select("key", "edition", *facts, "__q"), S.GENERIC))
+    before = blocks.where("__q = 0").withColumn("edition", F.col("edition") + 1)
+    told = pairs.like_known(blocks, before, lambda a, b: pairs.same_story(a, b, S.GENERIC, strict=True), ["ents", "telling", "rare"], facts, equal=("edition",)).withColumn("__told", F.lit(True))
+    clusters.drop_staged(blocks)
+    no = F.lit(False)
+    rows = rows.join(shared, "key", "left").join(told, "key", "left").withColumns({"shared": F.coalesce("__shared", no), "published": F.coalesce("__told", no)})
     words = edition_run.repeated(rows.where("__q = 0").select("edition", "until", "ts", "telling"), ["edition"], _policy())
     return edition_run.with_running(rows, words, ["edition"]).withColumn("ts", F.unix_timestamp("ts"))
 

@@ -210,7 +210,7 @@ def fold_by_event(spark, sf_dir):
     blocks = pairs.story_blocks(rows, S.GENERIC, "doc_id").withColumns({"id": F.col("doc_id"), "rank": F.struct((-F.col("coverage")).alias("c"), F.col("doc_id").alias("d"))})
     # The rule isn't symmetric: of a pair, the row with the smaller id comes first.
     same = lambda a, b: F.when(a["doc_id"] < b["doc_id"], pairs.same_story(a, b, S.GENERIC)).otherwise(pairs.same_story(b, a, S.GENERIC))
-    found = clusters.blocked_leaders(blocks, ["ents", "telling", "rare"], same)
+    found = clusters.blocked_leaders(blocks, ["ents", "telling", "rare"], same, facts=["doc_id", "tokens", "ents", "action"])
     return found.select(F.col("id").alias("doc_id"), "leader")
 
 
